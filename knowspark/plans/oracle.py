@@ -119,3 +119,114 @@ JOIN (SELECT DISTINCT qid, nq, mode FROM qterms) q ON q.qid = tf.qid
 GROUP BY tf.qid, tf.store, tf.id
 HAVING (any_value(q.mode) = 'or' OR count(*) = any_value(q.nq))"""),
     ]
+
+
+def ptoks_cte(src: str = "entries") -> tuple[str, str]:
+    """(store, id, col, pos, term) with 1-based positions."""
+    parts = []
+    for c in ("name", "content", "tags"):
+        parts.append(f"SELECT store, id, '{c}' AS col, unnest(l) AS term, generate_subscripts(l, 1) AS pos "
+                     f"FROM (SELECT store, id, {tok(c)} AS l FROM {src})")
+    return ("ptoks", " UNION ALL ".join(parts))
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _phrase_occ(ph, tag: str) -> str:
+    """SQL of (store, id, col, pos) start positions of a phrase."""
+    n = len(ph.tokens)
+    if n == 0:
+        return "SELECT store, id, col, pos FROM ptoks WHERE false"
+    frm = ["ptoks a0"]
+    where = []
+    for i in range(1, n):
+        frm.append(f"JOIN ptoks a{i} ON a{i}.store = a0.store AND a{i}.id = a0.id "
+                   f"AND a{i}.col = a0.col AND a{i}.pos = a0.pos + {i}")
+    for i, t in enumerate(ph.tokens):
+        if ph.prefix and i == n - 1:
+            where.append(f"starts_with(a{i}.term, {_q(t)})")
+        else:
+            where.append(f"a{i}.term = {_q(t)}")
+    if ph.column:
+        where.append(f"a0.col = {_q(ph.column)}")
+    if ph.first:
+        where.append("a0.pos = 1")
+    return (f"SELECT a0.store, a0.id, a0.col, a0.pos FROM {' '.join(frm)} WHERE {' AND '.join(where)}")
+
+
+def expr_ctes(exprs: dict, name: str = "scored") -> list[tuple[str, str]]:
+    """CTEs ending in ``name``(qid, store, id, rank) for parsed SearchExprs.
+
+    NEAR groups are supported for single-token members.
+    """
+    from ..operators.search import Near
+    ctes, freq_rows, nhit_rows, match_rows, clause_sql = [], [], [], [], {}
+    for qid, expr in exprs.items():
+        ids = {}
+        for ci, clause in enumerate(expr.clauses):
+            for m in list(clause.must) + list(clause.must_not):
+                if m in ids:
+                    continue
+                mid = f"{name}_{qid}_{len(ids)}"
+                ids[m] = mid
+                if isinstance(m, Near):
+                    occ = []
+                    for j, ph in enumerate(m.phrases):
+                        ctes.append((f"{mid}_o{j}", _phrase_occ(ph, mid)))
+                        occ.append(f"{mid}_o{j}")
+                    k1 = m.k + 1
+                    for j, ph in enumerate(m.phrases):
+                        others = [o for jj, o in enumerate(occ) if jj != j]
+                        conds = " AND ".join(
+                            f"EXISTS (SELECT 1 FROM {o} b WHERE b.store = a.store AND b.id = a.id "
+                            f"AND b.col = a.col AND abs(b.pos - a.pos) <= {k1})" for o in others)
+                        ctes.append((f"{mid}_c{j}", f"SELECT store, id, count(*) AS freq FROM {occ[j]} a "
+                                                    f"WHERE {conds} GROUP BY store, id"))
+                        freq_rows.append(f"SELECT {qid} AS qid, '{mid}_{j}' AS pid, store, id, freq FROM {mid}_c{j}")
+                        nhit_rows.append(f"SELECT {qid} AS qid, '{mid}_{j}' AS pid, store, count(DISTINCT id) AS n_hit "
+                                         f"FROM {occ[j]} GROUP BY store")
+                        match_rows.append(f"SELECT {qid} AS qid, '{mid}' AS mid, store, id FROM {mid}_c{j}")
+                else:
+                    ctes.append((f"{mid}_o", _phrase_occ(m, mid)))
+                    ctes.append((f"{mid}_f", f"SELECT store, id, count(*) AS freq FROM {mid}_o GROUP BY store, id"))
+                    freq_rows.append(f"SELECT {qid} AS qid, '{mid}' AS pid, store, id, freq FROM {mid}_f")
+                    nhit_rows.append(f"SELECT {qid} AS qid, '{mid}' AS pid, store, count(*) AS n_hit "
+                                     f"FROM {mid}_f GROUP BY store")
+                    match_rows.append(f"SELECT {qid} AS qid, '{mid}' AS mid, store, id FROM {mid}_f")
+            conds = [f"list_contains(matched, '{ids[m]}')" for m in clause.must]
+            conds += [f"NOT list_contains(matched, '{ids[m]}')" for m in clause.must_not]
+            clause_sql.setdefault(qid, []).append("(" + " AND ".join(conds or ["false"]) + ")")
+    ctes.append((f"{name}_freq", " UNION ALL ".join(freq_rows)))
+    ctes.append((f"{name}_nhit", " UNION ALL ".join(nhit_rows)))
+    ctes.append((f"{name}_match", f"SELECT qid, store, id, list(DISTINCT mid) AS matched FROM "
+                                  f"({' UNION ALL '.join(match_rows)}) GROUP BY ALL"))
+    ctes.append((f"{name}_score", f"""
+SELECT f.qid, f.store, f.id,
+       -sum(CASE WHEN ln((s.n_docs - h.n_hit + 0.5) / (h.n_hit + 0.5)) <= 0 THEN 1e-6
+                 ELSE ln((s.n_docs - h.n_hit + 0.5) / (h.n_hit + 0.5)) END
+            * f.freq * 2.2 / (f.freq + 1.2 * (0.25 + 0.75 * dl.dl / s.avgdl))) AS rank
+FROM {name}_freq f JOIN {name}_nhit h USING (qid, pid, store)
+JOIN stats s ON s.store = f.store JOIN dl ON dl.store = f.store AND dl.id = f.id
+GROUP BY f.qid, f.store, f.id"""))
+    ok = " OR ".join(f"(m.qid = {qid} AND ({' OR '.join(cs)}))" for qid, cs in clause_sql.items())
+    ctes.append((name, f"SELECT sc.qid, sc.store, sc.id, sc.rank FROM {name}_score sc "
+                       f"JOIN {name}_match m ON m.qid = sc.qid AND m.store = sc.store AND m.id = sc.id "
+                       f"WHERE {ok}"))
+    return ctes
+
+
+ASCII_LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def like_any_cols(q: str) -> str:
+    pat = _q("%" + q + "%")
+    return " OR ".join(f"coalesce({ASCII_LOWER.format(x=c)} LIKE {ASCII_LOWER.format(x=pat)}, false)"
+                       for c in ("name", "content", "tags"))
+
+
+def source_cond(sources: list[str]) -> str:
+    return "(" + " OR ".join(
+        f"(starts_with({ASCII_LOWER.format(x='name')}, {_q(('observed/' + s + '/').lower())}) "
+        f"OR name = {_q('observed/' + s)})" for s in sources) + ")"
