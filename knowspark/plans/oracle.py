@@ -49,7 +49,7 @@ SELECT 'user' AS store, event_id AS id,
        event_type || ' user' || CAST(user_id AS VARCHAR) || ' k' || CAST(json_extract_string(props, '$.k') AS VARCHAR) AS content,
        'working,' || event_type AS tags,
        least(1.0, value / 500.0) AS weight,
-       CASE event_type WHEN 'purchase' THEN 0.99 WHEN 'signup' THEN 0.97 ELSE 0.95 END AS decay_rate,
+       CAST(CASE event_type WHEN 'purchase' THEN 0.99 WHEN 'signup' THEN 0.97 ELSE 0.95 END AS DOUBLE) AS decay_rate,
        0 AS accessed,
        (event_id % 10 = 0) AS pinned,
        CAST(ts AS TIMESTAMP) AS created, CAST(ts AS TIMESTAMP) AS updated
