@@ -77,10 +77,27 @@ class Index:
     stats: DataFrame
 
 
-def build_index(entries: DataFrame) -> Index:
-    lengths = doc_lengths(entries)
-    return Index(entries=entries, postings=postings(entries), lengths=lengths,
-                 stats=store_stats(lengths))
+def build_index(entries: DataFrame, tokens_df: DataFrame | None = None) -> Index:
+    """Index tables of an entry frame; pass ``tokens_df`` (a persisted
+    :func:`tokenized` frame) to tokenise once for postings and lengths."""
+    if tokens_df is None:
+        lengths = doc_lengths(entries)
+        return Index(entries=entries, postings=postings(entries), lengths=lengths,
+                     stats=store_stats(lengths))
+    post = (tokens_df.select("store", "id", "col", F.explode("toks").alias("term"))
+                     .groupBy("store", "id", "col", "term").agg(F.count(F.lit(1)).alias("tf")))
+    lengths = tokens_df.groupBy("store", "id").agg(F.sum(F.size("toks")).cast("long").alias("dl"))
+    return Index(entries=entries, postings=post, lengths=lengths, stats=store_stats(lengths))
+
+
+def write_index_from(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Tokenise once (persisted for the two consumers), write the index tables."""
+    from pyspark import StorageLevel
+    tok = tokenized(entries).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        write_index(build_index(entries, tok), path, mode)
+    finally:
+        tok.unpersist()
 
 
 def write_index(index: Index, path: str, mode: str = "overwrite") -> None:
