@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import paths as P
@@ -155,7 +156,7 @@ def pattern_filter(files: DataFrame, patterns: list[str], excludes: list[str] =
     return files.filter(inc & ~exc)
 
 
-@pandas_udf("struct<encoding:string,text:string>")
+@pandas_udf(T.StructType([T.StructField("encoding", T.StringType()), T.StructField("text", T.StringType())]))
 def detect_encoding(content):
     """First of utf-8, cp1252, latin-1 that decodes the bytes (Arrow batches)."""
     import pandas as pd
