@@ -162,3 +162,49 @@ SELECT doc_id AS id, CASE WHEN doc_id % 10 = 3 THEN NULL ELSE source END AS sour
        CAST(CASE WHEN doc_id % 10 = 3 THEN 0 ELSE 2 END AS BIGINT) AS n_keys
 FROM documents""",
     }
+
+
+def _write_archives(spark, sf, out: str) -> None:
+    """Pack the claude_code rendering into zip archives (one per 25 conversations),
+    written by the tasks to the shared scratch folder."""
+    import io
+    import os
+    import zipfile
+
+    import pandas as pd
+
+    lines = _render(spark, sf, "claude_code").withColumn(
+        "grp", (F.regexp_extract("stem", r"(\d+)", 1).cast("long") / 25).cast("long"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = int(pdf["grp"].iloc[0])
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+            for stem, part in pdf.sort_values(["stem", "line_no"]).groupby("stem"):
+                zf.writestr(f"s/{stem}/logs/transcript.jsonl", "\n".join(part["value"]) + "\n")
+            zf.writestr("s/meta.db", b"\x00\x01")
+        path = os.path.join(out.replace("file:", ""), f"archive-{g}.zip")
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as fh:
+            fh.write(buf.getvalue())
+        return pd.DataFrame({"grp": [g]})
+
+    lines.groupBy("grp").applyInPandas(pack, "grp long").collect()
+
+
+def q_src_zip(spark, sf):
+    from ..sources import archive as AR
+    out = scratch_path(spark, "archives")
+    _write_archives(spark, sf, out)
+    lines = AR.read_archive_lines(spark, out, inner="*.jsonl")
+    t = TR.turns(lines, "archive", "claude_code")
+    return t.select("key", "name", "role", "line_no", "fingerprint")
+
+
+_base_queries = queries
+
+
+def queries():  # noqa: F811
+    q = _base_queries()
+    q["src_zip"] = q_src_zip
+    return q
