@@ -57,7 +57,7 @@ ANY_SECRET = "(?U)" + "|".join(f"(?:{p})" for _, p in SECRET_PATTERNS)
 
 # Literal anchors: every pattern contains one of these (case-sensitive), except
 # the bearer header, which is matched case-insensitively on "uthorization".
-ANCHORS = ("sk-", "gh", "github_pat_", "A3T", "AKIA", "ASIA", "ABIA", "ACCA", "xox", "xapp-",
+ANCHORS = ("sk-", "ghp_", "gho_", "ghu_", "ghr_", "ghs_", "github_pat_", "A3T", "AKIA", "ASIA", "ABIA", "ACCA", "xox", "xapp-",
            "AIza", "glpat-", "npm_", "-----BEGIN")
 
 
