@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _OPS = {
+    "op2_token_counts": "token_counts",
     "op6_bpe": "bpe",
     "op7_url_filters": "urls",
     "op10_quality_rules": "quality",
