@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table
 
 PREFIX_HEX = 8
 MAX_PATH_LENGTHS = 4096
@@ -77,7 +77,8 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
     hit = e.join(r, "prefix").filter((F.col("_d") == F.col("digest")) & (F.length("_s") == F.col("host_len")))
     best = hit.groupBy("host", "_lead").agg(F.max(F.struct(
         F.length("rule").alias("n"), "host_len", "rule", "verdict")).alias("_b"))
-    out = d.join(best, ["host", "_lead"], "left")
+    # written first: the join then has plain shuffles on both sides, which Spark can split by skew
+    out = d.join(saved(best, "url-verdicts"), ["host", "_lead"], "left")
     keep = [c for c in d.columns if c != "_lead"]
     return out.select(*keep, F.col("_b.rule").alias("rule"),
                       F.coalesce(F.col("_b.verdict"), F.lit(default)).alias("verdict"))
