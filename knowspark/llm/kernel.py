@@ -17,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 19
-_P = np.uint64(0x9E3779B97F4A7C55)  # odd base of the polynomial hash
+#: odd bases of the polynomial hashes
+BASE, SECOND_BASE = 0x9E3779B97F4A7C55, 0xD1B54A32D192ED03
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 #: A-Z lower-cased, all other bytes as they are
@@ -57,31 +58,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> np.ndarray:
-    out = np.full(1 << bits, _P, np.uint64)
+@lru_cache(maxsize=3)
+def _powers(bits: int, base: int) -> np.ndarray:
+    out = np.full(1 << bits, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans; equal bytes give equal hashes wherever they lie.
+class Hasher:
+    """64-bit hashes of byte spans; equal bytes give equal hashes wherever they lie.
 
-    Sums of ``byte * P**position`` over a prefix array; the span's start is
-    taken out by a shift to the common exponent, so one pass hashes all spans.
+    Sums of ``byte * base**position`` over a prefix array; the span's start is
+    taken out by a shift to the common exponent, so one pass serves all spans.
     """
-    n = len(buf)
-    power = _powers(max(12, int(n + 1).bit_length()))
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * power[n - starts] * _shift(len(power), n)
-               + (ends - starts).astype(np.uint64) * _M2)
+
+    def __init__(self, buf: np.ndarray, base: int = BASE):
+        n = self.n = len(buf)
+        self.base = base
+        self.power = _powers(max(12, int(n + 1).bit_length()), base)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * self.power[:n], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[starts]) * self.power[self.n - starts] * _shift(self.n, self.base)
+                   + (ends - starts).astype(np.uint64) * _M2)
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return Hasher(buf)(starts, ends)
 
 
 @lru_cache(maxsize=4096)
-def _shift(size: int, n: int) -> np.uint64:
-    """P ** (2**40 - n): brings the hashes of slices of different length to one exponent."""
-    return np.uint64(pow(int(_P), (1 << 40) - n, 1 << 64))
+def _shift(n: int, base: int) -> np.uint64:
+    """base ** (2**40 - n): brings the hashes of slices of different length to one exponent."""
+    return np.uint64(pow(base, (1 << 40) - n, 1 << 64))
 
 
 def ascii_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -6,8 +6,10 @@ from importlib import import_module
 
 _OPS = {
     "op2_token_counts": "token_counts",
+    "op4_line_dedup": "lines",
     "op6_bpe": "bpe",
     "op7_url_filters": "urls",
+    "op8_toxicity": "toxicity",
     "op10_quality_rules": "quality",
 }
 
