@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _OPS = {
+    "op1_minhash": "minhash",
     "op2_token_counts": "token_counts",
     "op4_line_dedup": "lines",
     "op6_bpe": "bpe",
