@@ -7,6 +7,7 @@ from importlib import import_module
 _OPS = {
     "op1_minhash": "minhash",
     "op2_token_counts": "token_counts",
+    "op3_decontamination": "decontam",
     "op4_line_dedup": "lines",
     "op6_bpe": "bpe",
     "op7_url_filters": "urls",
