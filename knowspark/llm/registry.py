@@ -12,6 +12,7 @@ _OPS = {
     "op6_bpe": "bpe",
     "op7_url_filters": "urls",
     "op8_toxicity": "toxicity",
+    "op9_chat_format": "chat",
     "op10_quality_rules": "quality",
 }
 
