@@ -9,6 +9,7 @@ _OPS = {
     "op2_token_counts": "token_counts",
     "op3_decontamination": "decontam",
     "op4_line_dedup": "lines",
+    "op5_pii": "pii",
     "op6_bpe": "bpe",
     "op7_url_filters": "urls",
     "op8_toxicity": "toxicity",
