@@ -36,6 +36,7 @@ VOCABULARY = "byte_bpe_50k.json"
 BLOCK_BYTES = 24 << 20
 PARTS_PER_PARTITION = 4
 MAX_PIECES = 2_000_000
+FREQUENT = 240
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -123,6 +124,38 @@ def _unzip(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.stack(out, 1)).view("<u4").ravel()
 
 
+def _zip_words(x: np.ndarray) -> bytes:
+    """Word positions of a block: one byte for a frequent word, one for the first use of any other (these are
+    numbered by first use), and otherwise its number in three parts."""
+    rare = x >= FREQUENT
+    r = x[rare].astype(np.int64) - FREQUENT
+    first = r == np.maximum.accumulate(np.append(-1, r))[:-1] + 1
+    high = r >> 16
+    head = x.astype(np.uint8)
+    head[rare] = np.where(first, 255, FREQUENT + np.minimum(high, 254 - FREQUENT))
+    again = r[~first]
+    planes = [head, (again & 255).astype(np.uint8), (again >> 8 & 255).astype(np.uint8),
+              (again[again >> 16 >= 254 - FREQUENT] >> 16).astype("<u4")]
+    c = zstandard.ZstdCompressor(level=3)
+    packed = [c.compress(p.tobytes()) for p in planes]
+    return np.array([len(p) for p in packed], "<u4").tobytes() + b"".join(packed)
+
+
+def _unzip_words(b: bytes) -> np.ndarray:
+    d, at, planes = zstandard.ZstdDecompressor(), 16, []
+    for n, kind in zip(np.frombuffer(b, "<u4", 4), (np.uint8, np.uint8, np.uint8, "<u4")):
+        planes.append(np.frombuffer(d.decompress(b[at: at + int(n)]), kind))
+        at += int(n)
+    out = planes[0].astype(np.int64)
+    new = out == 255
+    out[new] = FREQUENT + np.arange(int(new.sum()))
+    again = (planes[0] >= FREQUENT) & ~new
+    high = planes[0][again].astype(np.int64) - FREQUENT
+    high[high == 254 - FREQUENT] = planes[3]
+    out[again] = FREQUENT + (high << 16 | planes[2].astype(np.int64) << 8 | planes[1])
+    return out
+
+
 def _block(ids: list, texts: list[tuple[np.ndarray, np.ndarray]], special, parts: int) -> Iterator[dict]:
     """Rows of one block: a row of words for each part, and one row with the documents."""
     hashes, counts, spans, base = [], [], [], 0
@@ -137,11 +170,15 @@ def _block(ids: list, texts: list[tuple[np.ndarray, np.ndarray]], special, parts
     raw = b"".join(buf.tobytes() for buf, _ in texts)
     h, span = np.concatenate(hashes), np.concatenate(spans)
     u, first, inv, freq = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    order = np.argsort(-freq, kind="stable")
+    often = np.argsort(-freq, kind="stable")[:FREQUENT]
+    other = np.ones(len(u), bool)
+    other[often] = False
+    other = np.flatnonzero(other)
+    order = np.concatenate([often, other[np.argsort(first[other])]])
     rank = np.empty(len(u), np.uint32)
     rank[order] = np.arange(len(u), dtype=np.uint32)
     seq, n_words = rank[inv], np.concatenate(counts)
-    body = _zip(seq) if len(seq) else b""
+    body = _zip_words(seq) if len(seq) else b""
     key = int.from_bytes(hashlib.blake2b(repr(ids).encode() + body, digest_size=8).digest(), "little") >> 1
     at = span[first[order]]
     part = (u[order] >> np.uint64(20)) % np.uint64(parts)
@@ -230,7 +267,7 @@ def _documents(given):
         flat = np.concatenate(flat)
         out = []
         for doc, n_words, seq in zip(docs["ids"].to_pylist(), docs["n_words"].to_pylist(), docs["seq"].to_pylist()):
-            seq, ends = _unzip(seq) if seq else np.zeros(0, "<u4"), np.cumsum(_unzip(n_words).astype(np.int64))
+            seq, ends = _unzip_words(seq) if seq else np.zeros(0, np.int64), np.cumsum(_unzip(n_words).astype(np.int64))
             at = 0
             for i, e in zip(doc, ends.tolist()):
                 w = seq[at:e]
