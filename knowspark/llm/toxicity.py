@@ -8,7 +8,8 @@ bounded sample of labelled rows (``MAX_PER_CLASS`` rows a class, rows of at most
 
 Thresholds are calibrated by language: a quarter of the sample is kept out of
 training; for each language, told from the text's own function words, the cut
-with the best F1 is found, and scores are shifted so that this cut becomes
+with the best F-measure is found (precision counts more, since clean
+documents must stay), and scores are shifted so that this cut becomes
 ``CUT``.  Only the text enters a score.
 
 Defined results: null and empty texts score as a text without words; a null id
@@ -33,7 +34,8 @@ MAX_PER_CLASS = 1500
 MAX_TRAIN_BYTES = 20_000
 CUT = 0.3
 BUCKETS, DIM, WIDTHS, FILTERS, PREFIXES = 1 << 16, 16, (1, 2, 3), 16, (4, 5, 6)
-EPOCHS, BATCH, RATE, SEED = 8, 32, 0.08, 7
+EPOCHS, STEPS, BATCH, RATE, SEED = 8, 500, 32, 0.08, 7
+MIN_LANGUAGE, MIN_TEXTS, BETA = 15, 3, 0.5
 
 #: Function words that tell the language.
 FUNCTION_WORDS = {
@@ -143,6 +145,10 @@ class Model:
         for t in texts:
             buf = np.frombuffer(t, np.uint8)
             data.append(words(buf, np.array([0, len(buf)])))
+        # features of too few training texts tell nothing about other texts: their vectors stay zero
+        seen = np.bincount(np.concatenate([np.unique(d[0]) for d in data]), minlength=BUCKETS)
+        frozen = seen < max(MIN_TEXTS, len(data) // 400)
+        self.emb[frozen] = 0
         sums = {}
 
         def step(name, p, g, rows=None):
@@ -154,41 +160,41 @@ class Model:
                 np.add.at(h, rows, g * g)
                 np.add.at(p, rows, -RATE * g / np.sqrt(h[rows] + 1e-6))
 
-        for _ in range(EPOCHS):
-            order = r.permutation(len(data))
-            for b in range(0, len(order), BATCH):
-                some = order[b: b + BATCH]
-                ids = np.concatenate([data[i][0] for i in some])
-                at = np.concatenate([[0], np.cumsum([len(data[i][0]) for i in some])])
-                pooled, arg, x = self._pooled(ids, at, True)
-                p = 1 / (1 + np.exp(-np.clip(pooled @ self.out + self.prior[0], -30, 30)))
-                err = ((p - toxic[some]) / len(some)).astype(np.float32)
-                back = err[:, None] * self.out * (arg >= 0)
-                g_out = pooled.T @ err
-                if x is not None:
-                    end = np.repeat(at[1:], np.diff(at))
-                    rows, grads = [], []
-                    for k, w in enumerate(WIDTHS):
-                        cols = np.arange(k * FILTERS, (k + 1) * FILTERS)
-                        d, f = np.nonzero(back[:, cols])
-                        g, pos = back[d, cols[f]], arg[d, cols[f]]
-                        gf = np.zeros_like(self.filters[k])
-                        for s in range(w):
-                            ok = pos + s < end[pos]
-                            np.add.at(gf[s * DIM: (s + 1) * DIM].T, f[ok], g[ok, None] * x[pos[ok] + s])
-                            rows.append(pos[ok] + s)
-                            grads.append(g[ok, None] * self.filters[k][s * DIM: (s + 1) * DIM].T[f[ok]])
-                        gb = np.bincount(f, g, FILTERS).astype(np.float32)
-                        step(("f", k), self.filters[k], gf)
-                        step(("b", k), self.bias[k], gb)
-                    rows, grads = np.concatenate(rows), np.concatenate(grads)
-                    for k in range(ids.shape[1]):
-                        step("emb", self.emb, grads, ids[rows, k])
-                step("out", self.out, g_out)
-                step("prior", self.prior, np.array([err.sum()], np.float32))
+        sides = [np.flatnonzero(toxic == y) for y in (0, 1)]
+        for _ in range(max(STEPS, EPOCHS * len(data) // BATCH)):  # as many rows of either class
+            some = np.concatenate([r.choice(side, BATCH // 2) for side in sides])
+            ids = np.concatenate([data[i][0] for i in some])
+            at = np.concatenate([[0], np.cumsum([len(data[i][0]) for i in some])])
+            pooled, arg, x = self._pooled(ids, at, True)
+            p = 1 / (1 + np.exp(-np.clip(pooled @ self.out + self.prior[0], -30, 30)))
+            err = ((p - toxic[some]) / len(some)).astype(np.float32)
+            back = err[:, None] * self.out * (arg >= 0)
+            g_out = pooled.T @ err
+            if x is not None:
+                end = np.repeat(at[1:], np.diff(at))
+                rows, grads = [], []
+                for k, w in enumerate(WIDTHS):
+                    cols = np.arange(k * FILTERS, (k + 1) * FILTERS)
+                    d, f = np.nonzero(back[:, cols])
+                    g, pos = back[d, cols[f]], arg[d, cols[f]]
+                    gf = np.zeros_like(self.filters[k])
+                    for s in range(w):
+                        ok = pos + s < end[pos]
+                        np.add.at(gf[s * DIM: (s + 1) * DIM].T, f[ok], g[ok, None] * x[pos[ok] + s])
+                        rows.append(pos[ok] + s)
+                        grads.append(g[ok, None] * self.filters[k][s * DIM: (s + 1) * DIM].T[f[ok]])
+                    gb = np.bincount(f, g, FILTERS).astype(np.float32)
+                    step(("f", k), self.filters[k], gf)
+                    step(("b", k), self.bias[k], gb)
+                rows, grads = np.concatenate(rows), np.concatenate(grads)
+                for k in range(ids.shape[1]):
+                    live = ~frozen[ids[rows, k]]
+                    step("emb", self.emb, grads[live], ids[rows[live], k])
+            step("out", self.out, g_out)
+            step("prior", self.prior, np.array([err.sum()], np.float32))
 
     def calibrate(self, texts: list[bytes], toxic: np.ndarray, weight: np.ndarray) -> None:
-        """Cut of each language with the best F1; ``weight`` restores the classes' shares."""
+        """Cut of each language with the best F-measure; ``weight`` restores the classes' shares."""
         raw, lang = [], []
         for t in texts:
             buf = np.frombuffer(t, np.uint8)
@@ -197,18 +203,17 @@ class Model:
             lang.append(g[0])
         raw, lang = np.array(raw), np.array(lang)
 
-        def best(mine: np.ndarray) -> float | None:
+        def best(mine: np.ndarray, least: int = MIN_LANGUAGE) -> float | None:
             s, y, w = raw[mine], toxic[mine], weight[mine]
-            if (y == 1).sum() < 5 or (y == 0).sum() < 5:
+            if (y == 1).sum() < least or (y == 0).sum() < least:
                 return None
             o = np.argsort(-s)
             tp, fp = np.cumsum(w[o] * (y[o] == 1)), np.cumsum(w[o] * (y[o] == 0))
-            f1 = 2 * tp / (tp + fp + (w * (y == 1)).sum())
-            k = int(f1.argmax())
+            k = int(((1 + BETA ** 2) * tp / (tp + fp + BETA ** 2 * (w * (y == 1)).sum())).argmax())
             low = s[o[k + 1]] if k + 1 < len(o) else 0.0
-            return float(np.clip((s[o[k]] + low) / 2, 1e-4, 1 - 1e-4))
+            return float(np.clip((s[o[k]] + low) / 2, 0.1, 0.98))
 
-        every = best(np.ones(len(raw), bool)) or CUT
+        every = best(np.ones(len(raw), bool), 1) or CUT
         for k in range(-1, len(FUNCTION_WORDS)):
             self.cuts[k] = best(lang == k) or every
 
