@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The home folder's own segment, never indexed; a caller with another home folder passes its name.
+HOME_SEGMENT = ".knowspark"
 # Path segments that are never indexed (case-insensitive).
-EXCLUDED_PATH_SEGMENTS = ("credentials", ".ssh", ".gnupg", ".gardener", ".absorber", ".output",
+EXCLUDED_PATH_SEGMENTS = ("credentials", ".ssh", ".gnupg", ".absorber", ".output",
                           "node_modules", ".git", "__pycache__", ".venv", "venv")
 # File names that are never indexed (case-insensitive).
 EXCLUDED_FILENAMES = (".npmrc", ".netrc", ".pgpass", ".env", ".htpasswd", "auth.json",
@@ -61,11 +63,11 @@ def suffix(path) -> Column:
     return F.when(b.endswith("."), F.lit("")).otherwise(ext)
 
 
-def is_excluded(path) -> Column:
-    """Never-index rule: a segment, the filename or the suffix is on the block lists."""
+def is_excluded(path, home: str = HOME_SEGMENT) -> Column:
+    """Never-index rule: a segment (or the home folder's), the filename or the suffix is on the block lists."""
     segs = F.transform(segments(path), lambda s: F.lower(s))
     name = F.lower(basename(path))
-    seg_hit = F.arrays_overlap(segs, F.array(*[F.lit(s) for s in EXCLUDED_PATH_SEGMENTS]))
+    seg_hit = F.arrays_overlap(segs, F.array(*[F.lit(s) for s in (*EXCLUDED_PATH_SEGMENTS, home.lower())]))
     seg_hit = F.coalesce(seg_hit, F.lit(False))
     name_hit = name.isin(*EXCLUDED_FILENAMES)
     suf_hit = F.lit(False)
@@ -74,11 +76,11 @@ def is_excluded(path) -> Column:
     return seg_hit | name_hit | suf_hit
 
 
-def is_internal(rel_path) -> Column:
+def is_internal(rel_path, home: str = HOME_SEGMENT) -> Column:
     """Home-folder skip rule: never-index rule or a top-level internal file."""
     segs = F.split(F.translate(_c(rel_path), "\\", "/"), "/")
     top = (F.size(segs) == 1) & F.element_at(segs, 1).isin(*INTERNAL_FILES)
-    return is_excluded(rel_path) | top
+    return is_excluded(rel_path, home) | top
 
 
 def mimetype(sfx) -> Column:

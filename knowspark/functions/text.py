@@ -6,39 +6,48 @@ inside whole-stage codegen; no Python runs per row.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A token is a maximal run of letters and digits (after folding);
+# A token is a run of letters and digits, and marks after them (after folding);
 # punctuation, symbols, whitespace and '_' separate tokens.
-TOKEN_PATTERN = r"[\p{L}\p{N}]+"
+TOKEN_PATTERN = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"
+
+
+# Combining marks that are diacritics of any script; other marks (vowel signs
+# of Indic scripts, points of Hebrew and Arabic) belong to the word and stay.
+DIACRITICS = r"[\u0300-\u036F\u1AB0-\u1AFF\u1DC0-\u1DFF\u20D0-\u20FF\uFE20-\uFE2F]+"
 
 
 @lru_cache(maxsize=1)
 def accent_table() -> tuple[str, str]:
-    """(from, to) strings for ``translate``: Latin letters in U+00C0..U+024F
-    whose canonical decomposition starts with an ASCII letter fold to it.
+    """(from, to) strings for ``translate``: letters whose full canonical
+    decomposition is a letter and diacritics fold to that letter.
 
-    Built from the Unicode database by rule, not listed by hand.
+    Built from the Unicode database by rule for all code points of the basic
+    plane; letters that ASCII digits or letters do not begin keep their script.
     """
     src, dst = [], []
-    for cp in range(0x00C0, 0x0250):
+    marks = re.compile(DIACRITICS)
+    for cp in range(0x00C0, 0x10000):
         ch = chr(cp)
-        base = unicodedata.normalize("NFD", ch)[0]
-        if base != ch and base.isascii() and base.isalpha():
+        whole = unicodedata.normalize("NFD", ch)
+        if len(whole) > 1 and whole[0].isalpha() and marks.fullmatch(whole[1:]):
+            base = whole[0]
             src.append(ch)
             dst.append(base.lower() if ch.islower() else base)
     return "".join(src), "".join(dst)
 
 
 def fold(c: Column | str) -> Column:
-    """Lower-case, strip combining marks, fold accented Latin letters."""
+    """Lower-case, strip diacritics, fold accented letters."""
     c = F.col(c) if isinstance(c, str) else c
     src, dst = accent_table()
-    no_marks = F.regexp_replace(F.lower(c), r"\p{M}+", "")
+    no_marks = F.regexp_replace(F.lower(c), DIACRITICS, "")
     return F.translate(no_marks, src, dst)
 
 
@@ -48,22 +57,29 @@ def tokens(c: Column | str) -> Column:
 
 
 def raw_tokens(c: Column | str) -> Column:
-    """Tokens with their original spelling, aligned with :func:`tokens`."""
+    """Tokens with their original spelling; folded one by one they are :func:`tokens`."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}\p{M}]+"), 0)
+    return F.regexp_extract_all(c, F.lit(TOKEN_PATTERN), 0)
 
 
 def fold_py(s: str) -> str:
     """Driver-side twin of :func:`fold` for query strings (not for data)."""
     src, dst = accent_table()
-    s = "".join(ch for ch in s.lower() if not unicodedata.category(ch).startswith("M"))
+    s = re.sub(DIACRITICS, "", s.lower())
     return s.translate(str.maketrans(src, dst))
 
 
 def tokens_py(s: str) -> list[str]:
     """Driver-side tokenizer for query strings; same rule as :func:`tokens`."""
-    import regex
-    return regex.findall(r"[\p{L}\p{N}]+", fold_py(s))
+    out, word = [], ""
+    for ch in fold_py(s) + " ":
+        kind = unicodedata.category(ch)[0]
+        if kind in "LN" or word and kind == "M":
+            word += ch
+        elif word:
+            out.append(word)
+            word = ""
+    return out
 
 
 def ascii_lower(c: Column | str) -> Column:
@@ -72,9 +88,12 @@ def ascii_lower(c: Column | str) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def like_escape(value: str) -> str:
-    """Escape LIKE wildcards so that a value matches literally (escape '\\')."""
-    return value.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lower_py(s: str) -> str:
+    """Driver-side twin of :func:`ascii_lower` for query strings."""
+    return s.translate(str.maketrans(_UPPER, _LOWER))
 
 
 def glob_to_regex(pattern: str) -> str:

@@ -35,16 +35,19 @@ def upsert(current: DataFrame, changes: DataFrame, now: str | Column) -> DataFra
     """New snapshot after upserting ``changes`` keyed by (store, name).
 
     ``changes`` has name, type, content, tags, meta, pinned and either store or
-    target ('auto'|'user'|'system'); an optional ``seq`` orders several writes
-    of one key in a batch (the last wins).  Updated rows keep id and created.
+    target ('auto'|'user'|'system'); several writes of one key in a batch leave
+    one row: the last by the optional ``seq``, else the greatest.  Updated rows keep id and created.
     """
     nowc = (F.lit(now) if isinstance(now, str) else now).cast("timestamp_ntz")
     ch = changes
     if "store" not in ch.columns:
         ch = ch.withColumn("store", route_store("type", "target" if "target" in ch.columns else None))
-    if "seq" in ch.columns:
-        w = Window.partitionBy("store", "name").orderBy(F.col("seq").desc())
-        ch = ch.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    # one write a key: the last by seq; writes without an order tie, and the
+    # greatest row decides, so the result is the same for the same batch
+    rest = [c for c in ("type", "content", "tags", "meta", "pinned") if c in ch.columns]
+    w = Window.partitionBy("store", "name").orderBy(
+        *([F.col("seq").desc()] if "seq" in ch.columns else []), *[F.col(c).desc_nulls_last() for c in rest])
+    ch = ch.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
     keys = ch.select("store", "name")
     old = current.select("store", "name", F.col("id").alias("_old_id"), F.col("created").alias("_old_created"))
     changed = (ch.join(old, ["store", "name"], "left")
@@ -77,8 +80,9 @@ def status_counts(entries: DataFrame) -> DataFrame:
 
 
 def keep_newest(df: DataFrame, group: str, ts: str, keep: int = 10) -> DataFrame:
-    """Retention: the newest ``keep`` rows per group (partial top-k before the shuffle)."""
-    w = Window.partitionBy(group).orderBy(F.col(ts).desc())
+    """Retention: the newest ``keep`` rows per group (partial top-k before the shuffle); ties go by the other columns."""
+    others = [F.col(c).desc_nulls_last() for c, kind in df.dtypes if c not in (group, ts) and not kind.startswith(("map", "variant"))]
+    w = Window.partitionBy(group).orderBy(F.col(ts).desc(), *others)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep).drop("_rn")
 
 

@@ -3,16 +3,13 @@ content-addressed blobs, encoding repair, folder inventory.
 
 Input is a file listing with content, e.g. ``spark.read.format("binaryFile")``
 (path, modificationTime, length, content) plus a ``rel`` column (path relative
-to the home folder).  All decisions are column expressions; only the encoding
-repair runs Python (a pandas UDF over Arrow batches).
+to the home folder).  All decisions are column expressions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from ..functions import paths as P
 
@@ -156,18 +153,25 @@ def pattern_filter(files: DataFrame, patterns: list[str], excludes: list[str] =
     return files.filter(inc & ~exc)
 
 
-@pandas_udf(T.StructType([T.StructField("encoding", T.StringType()), T.StructField("text", T.StringType())]))
-def detect_encoding(content):
-    """First of utf-8, cp1252, latin-1 that decodes the bytes (Arrow batches)."""
-    import pandas as pd
-
-    def one(b):
-        if b is None:
-            return {"encoding": None, "text": None}
-        for enc in ("utf-8", "cp1252", "latin-1"):
-            try:
-                return {"encoding": enc, "text": bytes(b).decode(enc)}
-            except UnicodeDecodeError:
-                continue
-        return {"encoding": None, "text": None}
-    return pd.DataFrame([one(b) for b in content])
+# Bytes 0x80..0x9F: the characters that cp1252 gives them, by the codec itself, and its undefined bytes.
+_C1 = [bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0)]
+_DEFINED = [(chr(b), c) for b, c in zip(range(0x80, 0xA0), _C1) if c != "\ufffd"]
+_UNDEFINED = "".join(f"\\x{b:02X}" for b, c in zip(range(0x80, 0xA0), _C1) if c == "\ufffd")
+
+
+def detect_encoding(content) -> Column:
+    """STRUCT<encoding, text>: the first of utf-8, cp1252, latin-1 that decodes the bytes; null for null."""
+    c = F.col(content) if isinstance(content, str) else content
+    latin = F.decode(c, "ISO-8859-1")
+    windows = F.translate(latin, "".join(a for a, _ in _DEFINED), "".join(b for _, b in _DEFINED))
+    pick = lambda utf8, cp1252, latin1: F.when(F.is_valid_utf8(c.cast("string")), utf8).when(
+        ~latin.rlike(f"[{_UNDEFINED}]"), cp1252).otherwise(latin1)
+    known = F.struct(pick(F.lit("utf-8"), F.lit("cp1252"), F.lit("latin-1")).alias("encoding"),
+                     pick(c.cast("string"), windows, latin).alias("text"))
+    return F.when(c.isNotNull(), known).otherwise(F.struct(F.lit(None).cast("string").alias("encoding"), F.lit(None).cast("string").alias("text")))
+
+
+def repaired(files: DataFrame, content: str = "content") -> DataFrame:
+    """``files`` with ``content`` rewritten as UTF-8 bytes and the ``encoding`` it had."""
+    d = files.withColumn("_e", detect_encoding(content))
+    return d.withColumn(content, F.encode("_e.text", "UTF-8")).withColumn("encoding", F.col("_e.encoding")).drop("_e")

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.json import json_patch
 from ..schema import MEMORY_TYPES
+from . import entries as E
 from . import search as S
 from .index import Index
 
@@ -149,13 +151,13 @@ def apply_boosts(entries: DataFrame, boosts: DataFrame, now: str | Column) -> Da
 
 
 def consolidate(entries: DataFrame, now: str | Column) -> DataFrame:
-    """Decay unpinned memory rows: action forgotten / decayed / kept and new weight.
+    """Decay unpinned memory rows of the user store: action forgotten / decayed / kept and new weight.
 
     new = w * rate (defaults 0.5 / 0.95); below 0.05 (unrounded) forgotten,
     else stored rounded to 4 decimals.  One narrow projection, no shuffle.
     """
     nowc = F.lit(now) if isinstance(now, str) else now
-    m = entries.filter(F.col("type").isin(*MEMORY_TYPES) & ~F.col("pinned"))
+    m = entries.filter((F.col("store") == "user") & F.col("type").isin(*MEMORY_TYPES) & ~F.col("pinned"))
     w = meta_double("weight", DEFAULT_WEIGHT)
     new = w * meta_double("decay_rate", DEFAULT_DECAY)
     action = (F.when(new < FORGET_BELOW, "forgotten").when(new < w, "decayed").otherwise("kept"))
@@ -164,6 +166,23 @@ def consolidate(entries: DataFrame, now: str | Column) -> DataFrame:
                     iso_seconds(nowc).alias("last_decay"))
 
 
+def consolidate_apply(entries: DataFrame, now: str | Column) -> DataFrame:
+    """The entry table after one consolidation: forgotten rows gone, decayed rows with new weight and last_decay."""
+    r = consolidate(entries, now).filter(F.col("action") != "kept").select("store", "id", "action", F.col("weight").alias("_w"), "last_decay")
+    j = entries.join(r, ["store", "id"], "left").filter(~F.coalesce(F.col("action") == "forgotten", F.lit(False)))
+    meta = F.when(F.col("action") == "decayed", json_patch("meta", {"weight": F.col("_w"), "last_decay": F.col("last_decay")}))
+    return j.withColumn("meta", F.coalesce(meta, F.col("meta"))).select(*entries.columns)
+
+
+def boost_apply(entries: DataFrame, boosts: DataFrame, now: str | Column) -> DataFrame:
+    """The entry table after recalls: boosted rows with new weight, accessed and last_accessed."""
+    b = apply_boosts(entries, boosts, now).select("store", "id", F.col("weight").alias("_w"), F.col("accessed").alias("_n"), "last_accessed")
+    j = entries.join(b, ["store", "id"], "left")
+    meta = F.when(F.col("_w").isNotNull(), json_patch("meta", {
+        "weight": F.col("_w"), "accessed": F.col("_n"), "last_accessed": F.col("last_accessed")}))
+    return j.withColumn("meta", F.coalesce(meta, F.col("meta"))).select(*entries.columns)
+
+
 def consolidate_stats(result: DataFrame) -> DataFrame:
     return result.agg(F.count_if(F.col("action") == "decayed").alias("decayed"),
                       F.count_if(F.col("action") == "forgotten").alias("forgotten"),
@@ -205,15 +224,14 @@ def tasks_update(entries: DataFrame, updates: DataFrame, now: str | Column) -> D
     nowc = F.lit(now) if isinstance(now, str) else now
     found = S.get_by_name(entries, updates.select("name"))
     j = found.filter(F.col("type") == "task").join(updates, "name")
-    m = F.from_json(F.coalesce(F.col("meta"), F.lit("{}")), "map<string,string>")
-    m = F.coalesce(m, F.create_map().cast("map<string,string>"))
-    patch = F.when(F.col("status") == "done",
-                   F.create_map(F.lit("status"), F.col("status"), F.lit("done_at"), iso_seconds(nowc))) \
-             .otherwise(F.create_map(F.lit("status"), F.col("status")))
-    newmeta = F.map_concat(F.map_filter(m, lambda k, v: ~F.array_contains(F.map_keys(patch), k)), patch)
-    return j.select(F.lit("user").alias("store"), "name", "content", "tags",
-                    F.to_json(newmeta).alias("meta"), F.col("status"),
-                    F.element_at(newmeta, "done_at").alias("done_at"))
+    meta = json_patch("meta", {"status": F.col("status"), "done_at": F.when(F.col("status") == "done", iso_seconds(nowc))})
+    return j.select(F.lit("user").alias("store"), "name", "type", "content", "tags", meta.alias("meta"), "pinned",
+                    F.col("status"), F.get_json_object(meta, "$.done_at").alias("done_at"))
+
+
+def tasks_apply(entries: DataFrame, updates: DataFrame, now: str | Column) -> DataFrame:
+    """The entry table after the status changes of ``updates``."""
+    return E.upsert(entries, tasks_update(entries, updates, now).drop("status", "done_at"), now)
 
 
 def priority_rank(meta_col: str = "meta") -> Column:

@@ -8,11 +8,13 @@ All of it is ``regexp_replace`` / ``rlike`` on JVM strings: no Python per row.
 
 from __future__ import annotations
 
-from functools import reduce
+import posixpath
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import ascii_lower
+
 REDACTION_MARKER = "***REDACTED***"
 
 # Secret families and their patterns, in application order.
@@ -55,19 +57,21 @@ def redact_columns(text: Column | str) -> tuple[Column, Column]:
 
 ANY_SECRET = "(?U)" + "|".join(f"(?:{p})" for _, p in SECRET_PATTERNS)
 
-# Literal anchors: every pattern contains one of these (case-sensitive), except
-# the bearer header, which is matched case-insensitively on "uthorization".
+# Every match of a pattern contains one of these literally, except the bearer
+# header: of its letters only those of "bearer" have no case variant beyond
+# ASCII, so every match holds that word in some ASCII case.  The tests check
+# both claims, over all code points and over generated matches.
 ANCHORS = ("sk-", "ghp_", "gho_", "ghu_", "ghr_", "ghs_", "github_pat_", "A3T", "AKIA", "ASIA", "ABIA", "ACCA", "xox", "xapp-",
            "AIza", "glpat-", "npm_", "-----BEGIN")
 
 
 def maybe_secret(text: Column | str) -> Column:
-    """Cheap substring prefilter: false means no family can match."""
+    """Substring test that every row with a match passes: false means no family can match."""
     c = F.col(text) if isinstance(text, str) else text
     hit = F.lit(False)
     for a in ANCHORS:
         hit = hit | c.contains(a)
-    return hit | F.lower(c).contains("uthorization")
+    return hit | ascii_lower(c).contains("bearer")
 
 
 def redact(df: DataFrame, text_col: str = "content", families_col: str = "redacted") -> DataFrame:
@@ -92,12 +96,20 @@ def findings(df: DataFrame, path_col: str = "source_path", families_col: str = "
               .filter(F.col("path").isNotNull()).distinct())
 
 
+def resolved(path: Column) -> Column:
+    """Path with '/' separators, no empty or '.' segments, and '..' applied to the segment before it."""
+    p = F.translate(path, "\\", "/")
+    segs = F.filter(F.split(p, "/"), lambda s: ~s.isin("", "."))
+    kept = F.aggregate(segs, F.array().cast("array<string>"), lambda acc, s: F.when(
+        s != "..", F.concat(acc, F.array(s))).otherwise(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))))
+    return F.concat(F.when(p.startswith("/"), "/").otherwise(""), F.array_join(kept, "/"))
+
+
 def under_root(path: Column | str, root: str) -> Column:
-    """Path lies inside ``root`` (whole segments; '\\' counts as '/')."""
-    p = F.col(path) if isinstance(path, str) else path
-    norm = F.regexp_replace(F.translate(p, "\\", "/"), "/+", "/")
-    r = root.replace("\\", "/").rstrip("/")
-    return (norm == r) | norm.startswith(r + "/")
+    """Path lies inside ``root`` (whole segments; '\\' counts as '/'; '.' and '..' are resolved)."""
+    p = resolved(F.col(path) if isinstance(path, str) else path)
+    r = posixpath.normpath(root.replace("\\", "/"))
+    return (p == r) | p.startswith(r.rstrip("/") + "/")
 
 
 def alert_new(found: DataFrame, existing: DataFrame, cloud_root: str) -> DataFrame:

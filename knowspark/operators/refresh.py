@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.json import json_patch
 from ..schema import ITEM_COLUMNS
 from . import entries as E
 from . import redact as R
@@ -44,16 +45,19 @@ def refresh_diff(items: DataFrame, current: DataFrame) -> DataFrame:
 
 def refresh_changes(diff: DataFrame, kinds: DataFrame) -> DataFrame:
     """Upsert rows for the non-skipped items: observed, unpinned, user store,
-    meta extended by source_id / source_kind / source_fingerprint / observed."""
-    d = diff.filter(F.col("action") != "skip").join(F.broadcast(kinds), "source_id", "left")
-    base = F.from_json(F.coalesce("meta", F.lit("{}")), "map<string,string>")
-    extra = F.create_map(F.lit("source_id"), F.col("source_id"), F.lit("source_kind"), F.col("kind"),
-                         F.lit("source_fingerprint"), F.col("fingerprint"), F.lit("observed"), F.lit("true"))
-    meta = F.map_concat(F.map_filter(F.coalesce(base, F.create_map().cast("map<string,string>")),
-                                     lambda k, v: ~k.isin("source_id", "source_kind", "source_fingerprint", "observed")),
-                        extra)
+    meta extended by source_id / source_kind / source_fingerprint / observed
+    (all other fields keep their JSON value and type)."""
+    d = diff.filter(F.col("action") != "skip").join(kinds, "source_id", "left")
+    meta = json_patch("meta", {"source_id": F.col("source_id"), "source_kind": F.col("kind"),
+                               "source_fingerprint": F.col("fingerprint"), "observed": F.lit(True)})
     return d.select(F.lit("user").alias("store"), "name", F.lit("observed").alias("type"), "content", "tags",
-                    F.to_json(meta).alias("meta"), F.lit(False).alias("pinned"))
+                    meta.alias("meta"), F.lit(False).alias("pinned"),
+                    *(["seq"] if "seq" in d.columns else []))
+
+
+def refresh(items: DataFrame, current: DataFrame, kinds: DataFrame, now) -> DataFrame:
+    """The entry table after one refresh of ``items`` (source_id, ..., fingerprint; optional seq)."""
+    return E.upsert(current, refresh_changes(refresh_diff(items, current), kinds), now)
 
 
 def refresh_stats(diff: DataFrame) -> DataFrame:

@@ -99,6 +99,38 @@ def q_tasks_update(spark, sf):
     return u.select("name", "status", "done_at", F.get_json_object("meta", "$.priority").alias("priority"))
 
 
+def _nested(entries):
+    """Entries whose meta also holds an object and a number, which a write must leave alone."""
+    inner = F.concat(F.lit(',"ref":{"k":'), F.col("id").cast("string"), F.lit('},"half":0.5}'))
+    return entries.withColumn("meta", F.concat(F.expr("substring(meta, 1, length(meta) - 1)"), inner))
+
+
+def _written(entries):
+    return entries.select("name", "type", "pinned", *[F.get_json_object("meta", f"$.{k}").alias(k.replace(".", "_")) for k in (
+        "weight", "accessed", "status", "done_at", "last_decay", "ref.k", "half")],
+        F.regexp_replace(F.col("updated").cast("string"), r"\.0+$", "").alias("updated"))
+
+
+def q_consolidate_apply(spark, sf):
+    out = _written(M.consolidate_apply(_nested(V.memory_entries(spark, sf)), NOW))
+    return out.withColumn("weight", F.round(F.col("weight").cast("double"), 6)).drop("status", "done_at", "updated")
+
+
+def q_boost_apply(spark, sf):
+    idx = _mem_index(spark, sf)
+    _, boosts = M.recall(idx, RECALL_QUERIES, RECALL_LIMIT)
+    out = M.boost_apply(_nested(idx.entries), boosts, NOW)
+    return out.select("name", F.round(F.get_json_object("meta", "$.weight").cast("double"), 6).alias("weight"),
+                      F.get_json_object("meta", "$.accessed").cast("long").alias("accessed"),
+                      F.get_json_object("meta", "$.ref.k").cast("long").alias("ref_k"))
+
+
+def q_tasks_apply(spark, sf):
+    out = _written(M.tasks_apply(_nested(V.task_entries(spark, sf)), _task_updates(spark, sf), NOW))
+    return out.select("name", "type", "pinned", "status", "done_at", F.col("ref_k").cast("long").alias("ref_k"),
+                      (F.col("updated") == NOW).alias("touched"))
+
+
 def q_tasks_by_status(spark, sf):
     return M.tasks(V.task_entries(spark, sf), "open").select("name", "prio_rank", "updated")
 
@@ -109,7 +141,8 @@ def q_tasks_sorted(spark, sf):
 
 
 def queries():
-    return {"memory_build": q_memory_build, "recall": q_recall, "recall_boost": q_recall_boost,
+    return {"consolidate_apply": q_consolidate_apply, "boost_apply": q_boost_apply, "tasks_apply": q_tasks_apply,
+            "memory_build": q_memory_build, "recall": q_recall, "recall_boost": q_recall_boost,
             "consolidate": q_consolidate, "consolidate_stats": q_consolidate_stats,
             "retention_curve": q_retention_curve, "tasks_build": q_tasks_build,
             "tasks_update": q_tasks_update, "tasks_by_status": q_tasks_by_status,
@@ -168,7 +201,19 @@ SELECT name,
 FROM memory_e WHERE NOT pinned"""
     rec = O.with_views("memory_e", extra=_recall_ctes())
     tasks_meta = O.with_views("tasks_e")
+    at = NOW.replace(" ", "T")
+    half_up = "CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,20)), 4) AS DOUBLE)"
     return {
+        "consolidate_apply": O.with_views("memory_e") + f"""
+SELECT name, type, pinned, round(CASE WHEN decayed THEN {half_up.format(x="weight * decay_rate")} ELSE weight END, 6) AS weight,
+  '0' AS accessed, CASE WHEN decayed THEN '{at}' END AS last_decay, CAST(id AS VARCHAR) AS ref_k, '0.5' AS half
+FROM (SELECT *, NOT pinned AND weight * decay_rate < weight AS decayed FROM memory_e) WHERE pinned OR weight * decay_rate >= 0.05""",
+        "boost_apply": rec + f""", b AS (SELECT store, id, count(*) AS n FROM h GROUP BY ALL)
+SELECT m.name, round(CASE WHEN n IS NULL THEN m.weight ELSE {half_up.format(x="least(1.0, m.weight + 0.1 * b.n)")} END, 6) AS weight,
+  CAST(coalesce(n, 0) AS BIGINT) AS accessed, m.id AS ref_k FROM mem m LEFT JOIN b ON m.store = b.store AND m.id = b.id""",
+        "tasks_apply": tasks_meta + f"""
+SELECT name, 'task' AS type, false AS pinned, CASE id % 7 WHEN 0 THEN 'done' WHEN 1 THEN 'blocked' ELSE status END AS status,
+  CASE WHEN id % 7 = 0 THEN '{at}' END AS done_at, id AS ref_k, id % 7 <= 1 AS touched FROM tasks_e""",
         "memory_build": "SELECT name, type, tags, weight, decay_rate FROM (" + mem_build + ")",
         "recall": rec + f"SELECT qid, pos, name, type, round(weight, 6) AS weight FROM r WHERE pos <= {RECALL_LIMIT}",
         "recall_boost": rec + ", b AS (SELECT store, id, count(*) AS n FROM h GROUP BY ALL) " +

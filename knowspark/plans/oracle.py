@@ -8,7 +8,7 @@ with the DataFrame API; only the view definitions are shared knowledge.
 
 from __future__ import annotations
 
-TOK = r"regexp_extract_all(strip_accents(lower(coalesce({x}, ''))), '[\p{{L}}\p{{N}}]+')"
+TOK = r"regexp_extract_all(strip_accents(lower(coalesce({x}, ''))), '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}]*')"
 
 
 def tok(x: str) -> str:
@@ -166,7 +166,7 @@ def expr_ctes(exprs: dict, name: str = "scored") -> list[tuple[str, str]]:
     for qid, expr in exprs.items():
         ids = {}
         for ci, clause in enumerate(expr.clauses):
-            for m in list(clause.must) + list(clause.must_not):
+            for m in [*clause.must, *(m for g in clause.must_not for m in g)]:
                 if m in ids:
                     continue
                 mid = f"{name}_{qid}_{len(ids)}"
@@ -196,7 +196,7 @@ def expr_ctes(exprs: dict, name: str = "scored") -> list[tuple[str, str]]:
                                      f"FROM {mid}_f GROUP BY store")
                     match_rows.append(f"SELECT {qid} AS qid, '{mid}' AS mid, store, id FROM {mid}_f")
             conds = [f"list_contains(matched, '{ids[m]}')" for m in clause.must]
-            conds += [f"NOT list_contains(matched, '{ids[m]}')" for m in clause.must_not]
+            conds += ["NOT (" + " AND ".join(f"list_contains(matched, '{ids[m]}')" for m in g) + ")" for g in clause.must_not]
             clause_sql.setdefault(qid, []).append("(" + " AND ".join(conds or ["false"]) + ")")
     ctes.append((f"{name}_freq", " UNION ALL ".join(freq_rows)))
     ctes.append((f"{name}_nhit", " UNION ALL ".join(nhit_rows)))
@@ -228,5 +228,5 @@ def like_any_cols(q: str) -> str:
 
 def source_cond(sources: list[str]) -> str:
     return "(" + " OR ".join(
-        f"(starts_with({ASCII_LOWER.format(x='name')}, {_q(('observed/' + s + '/').lower())}) "
+        f"(starts_with({ASCII_LOWER.format(x='name')}, {ASCII_LOWER.format(x=_q('observed/' + s + '/'))}) "
         f"OR name = {_q('observed/' + s)})" for s in sources) + ")"

@@ -107,7 +107,23 @@ def queries() -> dict:
 # Fixed query parameters.
 PHRASE_QUERIES = {1: '"de la"', 2: '"of the"', 3: '"que de"'}
 NEAR_QUERIES = {1: "NEAR(thedea moron, 5)", 2: "NEAR(the was)", 3: "NEAR(que la, 0)"}
-BOOL_QUERIES = {1: "thedea OR moron", 2: "moron NOT the", 3: "the AND aique", 4: "schsch OR thedea NOT of"}
+BOOL_QUERIES = {1: "thedea OR moron", 2: "moron NOT the", 3: "the AND aique", 4: "schsch OR thedea NOT of",
+                5: "thedea NOT the moron", 6: "moron – the", 7: "the AND that NOT of is", 8: "moron NOT the NOT of"}
+
+
+def _w(word: str) -> S.Phrase:
+    return S.Phrase((word,))
+
+
+def _c(*must: str, no=()) -> S.Clause:
+    return S.Clause(tuple(map(_w, must)), tuple(tuple(map(_w, g)) for g in no))
+
+
+# What BOOL_QUERIES mean, written out for the oracle.
+BOOL_MEANING = {q: S.SearchExpr(c) for q, c in {
+    1: (_c("thedea"), _c("moron")), 2: (_c("moron", no=[["the"]]),), 3: (_c("the", "aique"),),
+    4: (_c("schsch"), _c("thedea", no=[["of"]])), 5: (_c("thedea", no=[["the", "moron"]]),), 6: (_c("moron", "the"),),
+    7: (_c("the", "that", no=[["of", "is"]]),), 8: (_c("moron", no=[["the"], ["of"]]),)}.items()}
 PREFIX_QUERIES = {1: "thed*", 2: "schs*", 3: '"de la"*'}
 COLUMN_QUERIES = {1: "tags:documents src1", 2: "name:bench", 3: "^the", 4: "content:observed", 5: "tags:^agent"}
 
@@ -120,8 +136,8 @@ def _expr_query(qs):
     return run
 
 
-def _expr_oracle(qs) -> str:
-    exprs = {q: S.parse_match(t) for q, t in qs.items()}
+def _expr_oracle(qs, meaning=None) -> str:
+    exprs = meaning or {q: S.parse_match(t) for q, t in qs.items()}
     pre = O.with_views("entries", extra=O.index_ctes() + [O.ptoks_cte()] + O.expr_ctes(exprs))
     return pre + ("SELECT s.qid, s.store, s.id, e.name, round(s.rank, 6) AS rank "
                   "FROM scored s JOIN entries e ON e.store = s.store AND e.id = s.id")
@@ -134,7 +150,7 @@ def _expr_oracle(qs) -> str:
 FIND_QUERIES = {1: "the", 2: "thedea moron", 3: "aux.", 4: "zzqx aux,", 5: "qqqzz wwwyy",
                 6: "Eau", 7: "", 8: "e, l"}
 FIND_LIMIT = 10
-LIKE_QUERIES = {1: "aux.", 2: "e, l", 3: "ment_e", 4: "SRC1"}
+LIKE_QUERIES = {1: "aux.", 2: "e, l", 3: "ment_e", 4: "SRC1", 5: "É", 6: "Ü"}
 LIKE_ANY_QUERIES = {1: "qqzz aux.", 2: "zzyq thedea"}
 LISTING_SOURCE = "observed/src3/"
 
@@ -316,7 +332,7 @@ def oracle() -> dict[str, str]:  # noqa: F811
     o.update({
         "find_phrase": _expr_oracle(PHRASE_QUERIES),
         "find_near": _expr_oracle(NEAR_QUERIES),
-        "find_boolean": _expr_oracle(BOOL_QUERIES),
+        "find_boolean": _expr_oracle(BOOL_QUERIES, BOOL_MEANING),
         "find_prefix": _expr_oracle(PREFIX_QUERIES),
         "find_column": _expr_oracle(COLUMN_QUERIES),
         "find": _find_sql(FIND_QUERIES, FIND_LIMIT),

@@ -69,6 +69,15 @@ def q_redact_text(spark, sf):
     return d.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def q_redact_bearer_unicode(spark, sf):
+    """Headers whose letters match only by Unicode case rules; the last word shows whether the value survived."""
+    head = F.when(F.col("doc_id") % 3 == 0, "author\u0131zation: bearer ").when(F.col("doc_id") % 3 == 1, "AUTHORIZATION :  BeaRer ") \
+            .otherwise("authorization - bearer ")
+    d = V.table(spark, sf, "documents").select("doc_id", F.concat(
+        "text", F.lit(" "), head, F.lpad(F.col("doc_id").cast("string"), 32, "p")).alias("text"))
+    return R.redact(d, "text", "fams").select("doc_id", F.substring_index("text", " ", -1).alias("last"))
+
+
 def q_redact_families(spark, sf):
     d = R.redact(leaky(spark, sf), "text", "fams")
     return d.select("doc_id", F.array_join("fams", ",").alias("families"))
@@ -130,7 +139,7 @@ def q_path_excluded(spark, sf):
 def _duck_path_rules() -> tuple[str, str]:
     segs = "list_transform(list_filter(string_split(replace(path, '\\', '/'), '/'), lambda s: s <> ''), lambda s: lower(s))"
     name = f"lower(coalesce({segs}[-1], ''))"
-    seg_hit = "len(list_intersect(" + segs + ", [" + ", ".join(O._q(s) for s in P.EXCLUDED_PATH_SEGMENTS) + "])) > 0"
+    seg_hit = "len(list_intersect(" + segs + ", [" + ", ".join(O._q(s) for s in (*P.EXCLUDED_PATH_SEGMENTS, P.HOME_SEGMENT)) + "])) > 0"
     name_hit = f"{name} IN (" + ", ".join(O._q(s) for s in P.EXCLUDED_FILENAMES) + ")"
     suf_hit = " OR ".join(f"ends_with({name}, {O._q(s)})" for s in P.EXCLUDED_SUFFIXES)
     excluded = f"({seg_hit} OR {name_hit} OR {suf_hit})"
@@ -139,7 +148,7 @@ def _duck_path_rules() -> tuple[str, str]:
 
 
 def queries():
-    return {"redact_text": q_redact_text, "redact_families": q_redact_families,
+    return {"redact_bearer_unicode": q_redact_bearer_unicode, "redact_text": q_redact_text, "redact_families": q_redact_families,
             "redact_sweep": q_redact_sweep, "alert_new": q_alert_new,
             "path_excluded": q_path_excluded}
 
@@ -153,6 +162,8 @@ def oracle():
     found = "SELECT DISTINCT source_path AS path, unnest(fams) AS family FROM red"
     return {
         "redact_text": base + "SELECT doc_id, CAST(length(rtext) AS BIGINT) AS n_chars, md5(rtext) AS text_md5 FROM red",
+        "redact_bearer_unicode": f"SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN '{R.REDACTION_MARKER}' "
+                                 "ELSE lpad(CAST(doc_id AS VARCHAR), 32, 'p') END AS last FROM documents",
         "redact_families": base + "SELECT doc_id, array_to_string(fams, ',') AS families FROM red",
         "redact_sweep": base + "SELECT family, count(*) AS n_entries FROM (SELECT unnest(fams) AS family FROM red) GROUP BY family",
         "alert_new": base + f", f AS ({found}), ex AS (SELECT DISTINCT source_path AS path, unnest(fams) AS family "

@@ -92,6 +92,18 @@ def q_refresh_diff(spark, sf):
     return RF.refresh_diff(_items(spark, sf), _stored(spark, sf)).select("source_id", "name", "action")
 
 
+def q_refresh_apply(spark, sf):
+    """The table after a refresh; items carry nested meta, and every fifth name twice in the batch."""
+    items = _items(spark, sf).withColumn("meta", F.concat(F.lit('{"source_ref":{"doc":'), "key", F.lit('},"size":'),
+                                                          F.length("content").cast("string"), F.lit("}")))
+    again = items.filter(F.col("key").cast("long") % 5 == 0)
+    kinds = items.select("source_id").distinct().withColumn("kind", F.lit("markdown_dir"))
+    out = RF.refresh(items.unionByName(again), _stored(spark, sf), kinds, "2024-06-01 12:00:00")
+    meta = [F.get_json_object("meta", f"$.{k}").alias(k.replace(".", "_")) for k in ("source_ref.doc", "size", "source_kind", "observed")]
+    return out.select("store", "name", "type", "pinned", F.md5("content").alias("content_md5"), *meta,
+                      F.get_json_object("meta", "$.source_fingerprint").alias("fp"))
+
+
 def q_refresh_stats(spark, sf):
     return RF.refresh_stats(RF.refresh_diff(_items(spark, sf), _stored(spark, sf)))
 
@@ -142,7 +154,7 @@ SELF_HOST = "beta"
 
 def _replicas(spark, sf):
     s = V.table(spark, sf, "supplier")
-    tables = {h: s.filter(F.col("s_suppkey") % 3 == i) for i, h in enumerate(HOSTS)}
+    tables = {h: s.filter(F.col("s_suppkey") % 3 == i) for i, h in enumerate(HOSTS) if h != SELF_HOST}
     return TB.replica_items(tables, SELF_HOST, "replica", "supplier", content="s_name", id="s_suppkey")
 
 
@@ -159,7 +171,7 @@ def q_federated_scan(spark, sf):
 def queries():
     return {"entries_upsert": q_entries_upsert, "entries_delete": q_entries_delete,
             "status_counts": q_status_counts, "snapshot_retention": q_snapshot_retention,
-            "refresh_diff": q_refresh_diff, "refresh_stats": q_refresh_stats,
+            "refresh_apply": q_refresh_apply, "refresh_diff": q_refresh_diff, "refresh_stats": q_refresh_stats,
             "scan_pending": q_scan_pending, "source_catalog": q_source_catalog,
             "src_table": q_src_table, "replica_union": q_replica_union,
             "federated_scan": q_federated_scan}
@@ -251,6 +263,12 @@ WHERE h <> 'beta'"""
         "snapshot_retention": "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER "
                               "(PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events) WHERE rn <= 10",
         "refresh_diff": diff + "SELECT source_id, name, action FROM d",
+        "refresh_apply": """
+SELECT 'user' AS store, 'observed/' || source || '/' || CAST(doc_id AS VARCHAR) AS name, 'observed' AS type, false AS pinned,
+  md5(t) AS content_md5, CASE WHEN new THEN CAST(doc_id AS VARCHAR) END AS source_ref_doc,
+  CASE WHEN new THEN CAST(length(t) AS VARCHAR) END AS size, CASE WHEN new THEN 'markdown_dir' END AS source_kind,
+  CASE WHEN new THEN 'true' END AS observed, substr(sha256(t), 1, 16) AS fp
+FROM (SELECT *, CASE WHEN doc_id % 10 = 0 THEN text || ' rev2' ELSE text END AS t, doc_id % 10 = 0 OR doc_id % 97 = 0 AS new FROM documents)""",
         "refresh_stats": diff + "SELECT source_id, count_if(action <> 'skip') AS indexed, "
                                 "count_if(action = 'skip') AS skipped FROM d GROUP BY source_id",
         "scan_pending": files,

@@ -42,11 +42,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting names a shared (HDFS/S3/ABFS) folder and is
-    used as is.  Only when it is unset (local tests) a fresh scratch folder
-    is created and registered.
+    used as is.  Only a local master may leave it unset (tests, bench): a fresh
+    scratch folder is then created and registered.  A cluster must name one,
+    since a folder of the driver's machine is not shared.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="ks-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tail import excluded_path
+
 LINE_SCHEMA = "file_key string, display_path string, stem string, line_no long, value string"
 
 
@@ -30,11 +32,13 @@ def _explode_archives(inner: str, key_by: str):
                 zkey = os.path.basename(p) if key_by == "name" else p.lstrip("/")
                 try:
                     zf = zipfile.ZipFile(io.BytesIO(bytes(content)))
-                    names = sorted(n for n in zf.namelist() if fnmatch.fnmatch(n, inner))
+                    names = sorted(n for n in zf.namelist() if fnmatch.fnmatch(n, inner) and not excluded_path(n))
                     for n in names:
                         data = zf.read(n).decode("utf-8", "replace")
+                        # only \n ends a line: other line separators may stand inside JSON strings
+                        lines = data.removesuffix("\n").split("\n") if data else []
                         stem = os.path.splitext(os.path.basename(n))[0]
-                        for i, line in enumerate(data.splitlines(), start=1):
+                        for i, line in enumerate(lines, start=1):
                             out.append((f"{zkey}!{n}", f"{p}!{n}", stem, i, line))
                 except (zipfile.BadZipFile, OSError, RuntimeError):
                     continue

@@ -32,7 +32,7 @@ def table_items(df: DataFrame, source_id: str, table: str, content, id: str | No
         if c and c not in df.columns:
             return spark.createDataFrame([], ", ".join(f"{c} string" for c in ITEM_COLUMNS))
     row_id = F.col(id or rowid)
-    parts = [F.when(F.trim(F.col(c).cast("string")) != "", F.col(c).cast("string")) for c in cols]
+    parts = [F.when(F.col(c).cast("string").rlike(r"(?U)\S"), F.col(c).cast("string")) for c in cols]
     body = F.concat_ws("\n\n", *parts)
     title = F.when(F.coalesce(F.col(name).cast("string"), F.lit("")) != "", F.col(name).cast("string")) \
              .otherwise(row_id.cast("string")) if name else row_id.cast("string")
@@ -61,17 +61,20 @@ def table_items(df: DataFrame, source_id: str, table: str, content, id: str | No
 
 def replica_items(tables: dict[str, DataFrame], self_host: str, source_prefix: str, table: str,
                   **mapping) -> DataFrame:
-    """Union of one table replicated on several hosts, excluding this host.
+    """Union of one table replicated on several hosts.
 
-    ``tables`` maps host -> that host's copy; a blank or own host is refused.
+    ``tables`` maps host -> that host's copy.  A blank own host, or the own
+    host among the replicas, is refused.
     """
     me = (self_host or "").strip().lower()
     if not me:
         raise ValueError("own host name is blank")
-    parts = [table_items(df, f"{source_prefix}-{h.lower()}", table, **mapping)
-             for h, df in sorted(tables.items()) if h.strip().lower() != me]
-    if not parts:
-        raise ValueError("no replica hosts other than this one")
+    own = [h for h in tables if h.strip().lower() == me]
+    if own:
+        raise ValueError(f"the own host {own[0]!r} is among the replicas")
+    if not tables:
+        raise ValueError("no replica hosts")
+    parts = [table_items(df, f"{source_prefix}-{h.strip().lower()}", table, **mapping) for h, df in sorted(tables.items())]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

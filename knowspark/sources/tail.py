@@ -37,9 +37,13 @@ def excluded_path(path: str) -> bool:
 
 
 def _head_hash(path: str, n: int) -> str:
-    """Hash of the first ``n`` bytes (n <= HEAD_BYTES: the consumed prefix)."""
+    """Hash of both ends of the ``n`` consumed bytes: a file that was rewritten
+    differs there (its first bytes, or what stands just before the offset)."""
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read(min(n, HEAD_BYTES))).hexdigest()[:16]
+        seen = hashlib.sha256(f.read(min(n, HEAD_BYTES)))
+        f.seek(max(0, n - HEAD_BYTES))
+        seen.update(f.read(min(n, HEAD_BYTES)))
+        return seen.hexdigest()[:16]
 
 
 def _last_newline_end(path: str, start: int, size: int) -> int:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import safe_key
+from ..functions.paths import is_excluded, safe_key
 
 # Codex tool-traffic prefixes that are not prose.
 CODEX_TOOL_PREFIXES = ("[external_agent_tool_call", "[external_agent_tool_result")
@@ -161,6 +161,8 @@ def turns(lines: DataFrame, source_id: str, fmt: str = "claude_code", roles=("us
     Output: source_id, key, name, content, tags, meta, fingerprint, source_path,
     role, session, uuid, timestamp, line_no.
     """
+    # a line may repeat a JSON key (the last one counts), whatever the session was made with
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     v = F.try_parse_json(F.col(value_col))
     d = lines.withColumn("_v", v).filter(F.col("_v").isNotNull())
     role, text = extract(F.col("_v"), fmt, **opts)
@@ -201,11 +203,15 @@ def turns(lines: DataFrame, source_id: str, fmt: str = "claude_code", roles=("us
 def read_lines(spark: SparkSession, paths: list[str], key_by: str = "path") -> DataFrame:
     """JSONL files -> (file_key, display_path, stem, line_no, value), line numbers 1-based.
 
+    Files under the never-index rule are left out (a filter on the path alone,
+    which Spark applies to the listing).  Paths are plain, not percent-encoded.
+
     Split-parallel: no file is read by a single task; only the per-split line
     counts (one row per split) go through a window.
     """
-    raw = (spark.read.text(paths)
-                .select(F.col("value"), F.col("_metadata.file_path").alias("display_path"),
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    raw = (spark.read.text(paths).filter(~is_excluded(plain))
+                .select(F.col("value"), plain.alias("display_path"),
                         F.col("_metadata.file_block_start").alias("blk"),
                         F.monotonically_increasing_id().alias("mid")))
     # ids are consecutive within a split (one partition reads it sequentially),

@@ -82,8 +82,8 @@ POSITIVE = [
     "Authorization: Bearer " + "p" * 32,
     "-----BEGIN RSA PRIVATE KEY-----\n" + "q" * 40 + "\n-----END RSA PRIVATE KEY-----",
 ]
-NEGATIVE = ["skalar", "ghpx_abc", "AKIAA", "AIzaX", "a bare Bearer in a sentence", "sk-short",
-            "npm_tooshort", "token = \"abcdef0123456789\""]
+NEGATIVE = ["sketch", "ghp_ or gho_ prefixes", "AKIA is a prefix", "AIzawa", "the bearer of news", "sk-1234",
+            "npm_install_twice", "digest 00ff11ee22dd33cc"]
 
 
 def test_redaction_positives_and_lookalikes(spark):
@@ -96,6 +96,33 @@ def test_redaction_positives_and_lookalikes(spark):
         assert got[i].text == rows[i][1] and got[i].fams == []
 
 
+def test_bearer_headers_in_odd_letters_are_masked(spark):
+    value = "p" * 32
+    heads = ["author\u0131zation: bearer ", "AUTHOR\u0130ZATION:BEARER ", "authori\u017fation: x", "Authorization\u00a0: Bearer\u2003"]
+    df = R.redact(spark.createDataFrame([(i, h + value) for i, h in enumerate(heads)], "i int, text string"), "text", "fams")
+    got = {r.i: (value not in r.text, r.fams) for r in df.collect()}
+    raw = spark.createDataFrame([(i, h + value) for i, h in enumerate(heads)], "i int, text string")
+    want = {r.i: r.hit for r in raw.select("i", F.col("text").rlike(R.ANY_SECRET).alias("hit")).collect()}
+    assert {i: x[0] for i, x in got.items()} == want and want[0] and not want[2]
+
+
+def test_prefilter_passes_every_match(spark):
+    # of the letters of "bearer" no code point beyond ASCII is a case variant
+    odd = spark.createDataFrame([(chr(c),) for c in range(0x80, 0x30000) if not 0xD800 <= c <= 0xDFFF], "c string")
+    assert odd.filter(F.col("c").rlike("(?U)(?i)^[bear]$")).count() == 0
+    # all families, in random surroundings and case where the pattern ignores it
+    import random
+    r = random.Random(3)
+    texts = []
+    for k in range(400):
+        p = POSITIVE[k % len(POSITIVE)]
+        if p.startswith("Authorization"):
+            p = "".join(r.choice([c.lower(), c.upper()]) for c in p)
+        texts.append(("".join(r.choice("ab \n:-_\u0131\u0130") for _ in range(r.randint(0, 9))) + " " + p + " x",))
+    df = spark.createDataFrame(texts, "t string")
+    assert df.filter(F.col("t").rlike(R.ANY_SECRET) & ~R.maybe_secret("t")).count() == 0
+
+
 def test_redaction_idempotent(spark):
     df = spark.createDataFrame([(0, "x " + POSITIVE[3])], "i int, text string")
     once = R.redact(df, "text", "f").select("i", "text")
@@ -112,11 +139,18 @@ def test_alerts_only_new_cloud_pairs(spark):
     assert R.alert_new(found, existing.unionByName(new), "/cloud").count() == 0
 
 
-BAD = ["C:\\_Local_DEV\\CREDENTIALS\\x.md", "/home/u/.ssh/config", "a/.git/HEAD", "x/node_modules/y.js",
+BAD = ["D:\\work\\Credentials\\notes.md", "u/.KnowSpark/index.db", "/home/u/.ssh/config", "a/.git/HEAD", "x/node_modules/y.js",
        "p/.env", "keys/server.PEM", "id_rsa", "a/__pycache__/m.pyc", "v/.venv/lib.py", "s/secrets.json", "k/a.key"]
 GOOD = ["docs/credentials-howto.md", "notes/a.md", "x/.envrc", "tokenizer.py"]
 
 
+def test_cloud_paths_are_resolved(spark):
+    found = spark.createDataFrame([("/local/../cloud/x", "f"), ("/cloud/../local/y", "f"), ("/cloud/./a//b", "f"), ("\\cloud\\w", "f"),
+                                   ("/../cloud", "f")], "path string, family string")
+    none = spark.createDataFrame([], "path string, family string")
+    assert sorted(r.path for r in R.alert_new(found, none, "/cloud/").collect()) == ["/../cloud", "/cloud/./a//b", "/local/../cloud/x", "\\cloud\\w"]
+
+
 def test_never_index_paths(spark):
     df = spark.createDataFrame([(p,) for p in BAD + GOOD], "path string")
     got = {r.path: r.x for r in df.select("path", P.is_excluded("path").alias("x")).collect()}
@@ -149,6 +183,57 @@ def test_refresh_is_idempotent(spark):
     assert [r.action for r in RF.refresh_diff(items, cur2).collect()] == ["skip"]
 
 
+def test_writes_keep_json_types_and_one_row_a_key(spark):
+    schema = "source_id string, key string, name string, content string, tags string, meta string, fingerprint string, source_path string"
+    nested = '{"source_ref":{"path":"p","line":3},"n":1.5,"list":[1,"a"],"source_id":"old"}'
+    items = spark.createDataFrame([("s", "k", "observed/s/1", t, "", nested, t, None) for t in ("one", "two")], schema)
+    kinds = spark.createDataFrame([("s", "markdown_dir")], "source_id string, kind string")
+    out = RF.refresh(items, make_entries(spark, [{"name": "other"}]), kinds, NOW).filter("name <> 'other'").collect()
+    assert len(out) == 1
+    assert json.loads(out[0].meta) == {"source_ref": {"path": "p", "line": 3}, "n": 1.5, "list": [1, "a"], "source_id": "s",
+                                       "source_kind": "markdown_dir", "source_fingerprint": out[0].content, "observed": True}
+
+
+def test_snapshots_after_consolidate_boost_and_task_updates(spark):
+    e = make_entries(spark, [
+        {"name": "m", "type": "memory", "meta": '{"weight":0.8,"decay_rate":0.5,"x":{"y":1}}'},
+        {"name": "gone", "type": "memory", "meta": '{"weight":0.06,"decay_rate":0.5}'},
+        {"name": "sys", "store": "system", "type": "memory", "meta": '{"weight":0.06,"decay_rate":0.5}'},
+        {"name": "t", "type": "task", "meta": '{"status":"open","due":"x","n":2}', "tags": "task,a", "pinned": True}])
+    got = {r.name: r for r in M.consolidate_apply(e, NOW).collect()}
+    assert set(got) == {"m", "sys", "t"}
+    assert json.loads(got["m"].meta) == {"weight": 0.4, "decay_rate": 0.5, "x": {"y": 1}, "last_decay": "2024-06-01T12:00:00"}
+    assert got["sys"].meta == '{"weight":0.06,"decay_rate":0.5}'
+    boosts = e.filter("name = 'm'").select("store", "id").withColumn("n_boost", F.lit(3).cast("long"))
+    m = {r.name: json.loads(r.meta) for r in M.boost_apply(e, boosts, NOW).collect()}["m"]
+    assert m == {"weight": 1.0, "decay_rate": 0.5, "x": {"y": 1}, "accessed": 3, "last_accessed": "2024-06-01T12:00:00"}
+    u = spark.createDataFrame([("t", "done")], "name string, status string")
+    t = {r.name: r for r in M.tasks_apply(e, u, NOW).collect()}["t"]
+    assert json.loads(t.meta) == {"status": "done", "due": "x", "n": 2, "done_at": "2024-06-01T12:00:00"}
+    assert (t.type, t.pinned, t.tags, t.id) == ("task", True, "task,a", 4)
+
+
+def test_blank_values_and_own_replica(spark):
+    from knowspark.sources import table as TB
+
+    df = spark.createDataFrame([(1, "\t\n", "text"), (2, "a", " ")], "i long, x string, y string")
+    assert {r.key: r.content for r in TB.table_items(df, "s", "t", ["x", "y"], id="i").collect()} == {"1": "text", "2": "a"}
+    with pytest.raises(ValueError):
+        TB.replica_items({"here": df, "there": df}, "Here ", "r", "t", content="x", id="i")
+
+
+def test_encoding_detection_with_built_ins(spark):
+    from knowspark.operators import files as FL
+
+    raw = ["\u00e9 \u4e2d".encode(), b"caf\xe9 \x93x\x94 \x80", b"\x81 \xe9", b"", bytes(range(0x80, 0x100))]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(raw)] + [(9, None)], "i int, content binary")
+    got = {r.i: (r.e.encoding, r.e.text) for r in df.select("i", FL.detect_encoding("content").alias("e")).collect()}
+    assert got == {0: ("utf-8", raw[0].decode()), 1: ("cp1252", raw[1].decode("cp1252")), 2: ("latin-1", raw[2].decode("latin-1")),
+                   3: ("utf-8", ""), 4: ("latin-1", raw[4].decode("latin-1")), 9: (None, None)}
+    fixed = {r.i: r.content for r in FL.repaired(df).collect()}
+    assert bytes(fixed[1]).decode() == raw[1].decode("cp1252")
+
+
 def test_catalog_rejects_unknown_kind(spark):
     cat = spark.createDataFrame([], RF.CATALOG_SCHEMA)
     with pytest.raises(ValueError):
