@@ -1,6 +1,6 @@
 """Inverted index over the entry table.
 
-``postings``  (store, id, col, term, tf)  -- one row per term per column of an entry
+``postings``  (store, id, col, term, tf, positions)  -- one row per term per column of an entry
 ``doc_lengths`` (store, id, dl)           -- tokens of name+content+tags
 ``store_stats`` (store, n_docs, n_tokens, avgdl)
 
@@ -9,9 +9,10 @@ over a filtered subset (ranking of a filtered search still uses whole-store
 document frequencies).
 
 At scale the index is built once per snapshot and written with
-``write_index``: postings partitioned by store and clustered by term, so a
-lookup of a handful of query terms reads only the row groups whose term
-min/max covers them (Parquet pushdown of ``term IN (...)``).
+``write_index``: postings partitioned by store and sorted by (term, id), so a
+search, which filters ``term`` by literals, reads only the row groups whose
+term bounds cover its terms.  The range key ends with ``id``: the postings of
+one frequent term can spread over several files.
 """
 
 from __future__ import annotations
@@ -34,16 +35,21 @@ def tokenized(entries: DataFrame) -> DataFrame:
     return (entries.select("store", "id", F.inline(cols)))
 
 
+_KEY = ["store", "id", "col", "term"]
+
+
+def _postings(toks: DataFrame) -> DataFrame:
+    return (toks.select("store", "id", "col", F.posexplode("toks").alias("pos", "term")).groupBy(*_KEY)
+                .agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")))
+
+
 def postings(entries: DataFrame) -> DataFrame:
-    """(store, id, col, term, tf): term frequency per entry column.
+    """(store, id, col, term, tf, positions): uses of a term in an entry column.
 
-    The groupBy key (store, id, col, term) is high-cardinality and the
-    aggregation is partial (map-side), so frequent terms do not skew it.
+    The groupBy key is high-cardinality, so frequent terms do not skew it, and
+    the list of a key is bounded by one column of one entry.
     """
-    t = tokenized(entries)
-    return (t.select("store", "id", "col", F.explode("toks").alias("term"))
-             .groupBy("store", "id", "col", "term")
-             .agg(F.count(F.lit(1)).alias("tf")))
+    return _postings(tokenized(entries))
 
 
 def doc_lengths(entries: DataFrame) -> DataFrame:
@@ -84,33 +90,41 @@ def build_index(entries: DataFrame, tokens_df: DataFrame | None = None) -> Index
         lengths = doc_lengths(entries)
         return Index(entries=entries, postings=postings(entries), lengths=lengths,
                      stats=store_stats(lengths))
-    post = (tokens_df.select("store", "id", "col", F.explode("toks").alias("term"))
-                     .groupBy("store", "id", "col", "term").agg(F.count(F.lit(1)).alias("tf")))
+    post = _postings(tokens_df)
     lengths = tokens_df.groupBy("store", "id").agg(F.sum(F.size("toks")).cast("long").alias("dl"))
     return Index(entries=entries, postings=post, lengths=lengths, stats=store_stats(lengths))
 
 
 def write_index_from(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Tokenise once (persisted for the two consumers), write the index tables."""
+    """Write the entries, then tokenise what was written once for postings and lengths."""
     from pyspark import StorageLevel
+    entries.write.mode(mode).partitionBy("store", "type").parquet(f"{path}/entries")
+    entries = entries.sparkSession.read.parquet(f"{path}/entries")
     tok = tokenized(entries).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        write_index(build_index(entries, tok), path, mode)
+        _write_terms(build_index(entries, tok), path, mode)
     finally:
         tok.unpersist()
 
 
 def write_index(index: Index, path: str, mode: str = "overwrite") -> None:
-    """Persist postings clustered by term (range-partitioned, sorted) and lengths."""
-    (index.postings.repartitionByRange("store", "term")
+    """Write all tables of an index."""
+    index.entries.write.mode(mode).partitionBy("store", "type").parquet(f"{path}/entries")
+    _write_terms(index, path, mode)
+
+
+def _write_terms(index: Index, path: str, mode: str) -> None:
+    """Postings range-partitioned and sorted by (store, term, id), lengths, and the statistics over them."""
+    (index.postings.repartitionByRange("store", "term", "id")
           .sortWithinPartitions("store", "term", "id")
           .write.mode(mode).partitionBy("store").parquet(f"{path}/postings"))
     index.lengths.write.mode(mode).partitionBy("store").parquet(f"{path}/lengths")
-    index.entries.write.mode(mode).partitionBy("store", "type").parquet(f"{path}/entries")
+    lengths = index.lengths.sparkSession.read.parquet(f"{path}/lengths")
+    store_stats(lengths).coalesce(1).write.mode(mode).parquet(f"{path}/stats")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
     entries = spark.read.parquet(f"{path}/entries")
     lengths = spark.read.parquet(f"{path}/lengths")
     return Index(entries=entries, postings=spark.read.parquet(f"{path}/postings"),
-                 lengths=lengths, stats=store_stats(lengths))
+                 lengths=lengths, stats=spark.read.parquet(f"{path}/stats"))
