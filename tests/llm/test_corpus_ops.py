@@ -46,6 +46,29 @@ def test_minhash_components_match_all_pairs(spark, words):
     assert got == {i: (n, c, i == c) for i, (n, c) in want.items()}
 
 
+def test_far_members_of_a_group_are_linked_where_they_should(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 8)
+    r = random.Random(32)
+    base = [f"w{r.randrange(5000)}" for _ in range(90)]
+    passage = [f"p{k}" for k in range(40)]
+    rows = []
+    for i in range(60):  # copies with more or fewer own words, cut ones, and ones that share a passage or another's changes
+        kind = i % 4
+        x = base[:]
+        for _ in range(r.randrange(2, 14)):
+            x[r.randrange(len(x))] = f"own{r.randrange(60)}"
+        if kind == 1:
+            x = base[:r.randrange(55, 90)]
+        elif kind == 2:
+            x = x[:50] + passage + x[50:]
+        elif kind == 3 and i > 20:
+            x = rows[r.randrange(len(rows))][1].split()
+            x[r.randrange(len(x))] = f"new{i}"
+        rows.append((i, " ".join(x)))
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(frame(spark, rows), 2).collect()}
+    assert got == {i: c for i, (_, c) in brute.components(rows, 2).items()}
+
+
 def test_minhash_edges(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
     rows = [(None, "a b c"), (5, "a b c"), (7, "a b c"), (7, "a b c"), (9, "x y z"), (9, "a b c")]
