@@ -32,6 +32,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared checkpoint folder; for small steps of a loop."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """``name``, with underscores before it until no column is called so."""
     taken = {c.lower() for c in columns}

@@ -12,14 +12,22 @@ Links: documents whose shingle sets have a Jaccard similarity of at least
 2. Signatures are cut into ``BANDS`` bands of ``ROWS``; representatives that
    agree in a band share a bucket.  At a similarity of 0.8 a pair shares none
    with a chance of 6e-6, above it less.
-3. Each representative is compared with the smallest one it shares a bucket
-   with; the confirmed links form components.
-4. Buckets that still hold several components are worked off: members outside
-   the bucket's largest component become centres, ``WIDTH`` (growing) a round,
-   are compared with all members of other components and retired.  A bucket
-   is done when its members are in one component or retired, so every pair
-   that shares a bucket is linked, compared or already in one component, while
-   a group of near copies costs pairs in proportion to its size.
+3. Every bucket has a head h, the member that shares most buckets with others
+   (in a group of near copies, the one that all are near to).  All members are
+   compared with the heads of their buckets; confirmed links form components.
+4. Two members x, y of one head that are in different components still can be
+   linked.  Without a common element outside h, they share at most
+   min(|x & h|, |y & h|) elements.  So they need a common element that h lacks
+   (an equi-join on head and element; by the prefix filter the rarest fifth of
+   a set's elements will do), or sizes that this bound allows (a join on the
+   head with the bound as its condition); all such pairs are compared.
+   Where more than ``SMALL`` members outside the head's component share one
+   such element, all that share it become a bucket of their own and go through
+   step 3 again; otherwise each of these few is compared with the others.
+
+   So every pair that shares a bucket is linked, compared, excluded by the
+   bound, or in one component already, while a group of near copies costs pairs
+   in proportion to its size and not to the square.
 
 Defined results: a text without words, or a null one, has an empty set and is
 linked with nothing; a row without id is linked with nothing, its component is
@@ -42,7 +50,7 @@ from .graph import components
 
 WORDS, PERCENT = 5, 80
 ROWS, BANDS = 6, 40
-WIDTH, WIDER = 8, 4
+SMALL = 256
 BYTES = 6  # of a shingle's hash that the confirmation compares
 
 
@@ -148,23 +156,30 @@ def _set(raw: bytes) -> np.ndarray:
     return x.view("<u8").ravel()
 
 
-def confirm(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) whose full sets are similar enough."""
+_COMPARED = "a long, b long, linked boolean, common long, size long, added array<long>"
+
+
+def compared(pairs: DataFrame, known: DataFrame, percent: int, details: bool) -> DataFrame:
+    """pairs(a, b) -> a, b, linked by the full sets; with ``details`` also what b shares with a, its size and what a lacks of it."""
     x = pairs.join(known.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    x = x.join(known.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
-    small, large = F.least(F.length("sa"), F.length("sb")), F.greatest(F.length("sa"), F.length("sb"))
-    x = x.filter(100 * small >= percent * large).select("a", "b", "sa", "sb")
+    x = x.join(known.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("common", pa.int64()), ("size", pa.int64()),
+                        ("added", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            keep = []
+            out = []
             for sa, sb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 p, q = _set(sa), _set(sb)
-                same = int((q[np.searchsorted(q, p).clip(max=len(q) - 1)] == p).sum())
-                keep.append(100 * same >= percent * (len(p) + len(q) - same))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                held = p[np.searchsorted(p, q).clip(max=len(p) - 1)] == q
+                same = int(held.sum())
+                out.append((100 * same >= percent * (len(p) + len(q) - same), same, len(q),
+                            q[~held].astype(np.int64) if details else None))
+            linked, same, size, added = zip(*out) if out else ([],) * 4
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(linked, pa.bool_()), pa.array(same, pa.int64()),
+                                              pa.array(size, pa.int64()), pa.array(added, pa.list_(pa.int64()))], schema=schema)
 
-    return x.mapInArrow(run, "a long, b long")
+    return x.mapInArrow(run, _COMPARED)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -178,38 +193,57 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         "doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"),
         F.when((F.col("doc_id") == F.col("node")) & (F.col("n") > 0), F.col("keys")).alias("keys")), "minhash-rows")
     band = rows.filter("keys is not null").select("node", F.explode("keys").alias("key"))
-    buckets = saved(band.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-                    .filter("first <> last").select("key", "first"), "minhash-buckets")
-    members = saved(band.join(buckets, "key").select("key", "node", "first").distinct(), "minhash-members")
-    texts = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    known = saved(sets(texts, words), "minhash-sets")
-
-    first = members.filter("node <> first").groupBy("node").agg(F.min("first").alias("a")).select("a", F.col("node").alias("b"))
-    tried = saved(first, "minhash-pairs")
-    links = saved(confirm(tried, known, percent), "minhash-links")
-    label, left, width = components(links), members.select("key", "node"), WIDTH
+    buckets = saved(band.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"))
+                    .filter("first <> last").select("key", "n"), "minhash-buckets")
+    members = saved(band.join(buckets, "key").distinct(), "minhash-members")
+    degree = saved(members.groupBy("node").agg(F.sum("n").alias("degree")), "minhash-degrees")
+    known = saved(sets(docs.join(degree.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), words), "minhash-sets")
+
+    active, links, label = members.join(degree, "node").select("key", "node", "degree"), None, None
     while True:
-        now = left.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        now = saved(now, "minhash-state")
-        mixed = saved(now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"), "minhash-mixed")
-        if mixed.isEmpty():
+        heads = saved(active.groupBy("key").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("a")), "minhash-heads")
+        pairs = active.join(heads, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+        family = saved(compared(pairs, known, percent, True), "minhash-families")
+        new = family.filter("linked").select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        label = components(links)
+        of = label.select(F.col("node").alias("a"), F.col("label").alias("of"))
+        own = label.select(F.col("node").alias("b"), "label")
+        family = family.join(of, "a", "left").join(own, "b", "left").withColumns(
+            {"of": F.coalesce("of", "a"), "label": F.coalesce("label", "b")}).withColumn("far", F.col("label") != F.col("of"))
+        # cap: the largest partner with which b's share of the head alone would do
+        family = family.withColumn("cap", F.floor((100 + percent) * F.col("common") / percent).cast("long") - F.col("size"))
+        limits = family.groupBy("a").agg(F.max(F.when(F.col("far"), F.col("cap"))).alias("most"), F.min("size").alias("least"))
+        family = saved(family.join(limits.filter("most is not null"), "a"), "minhash-mixed")
+        if family.isEmpty():
             break
-        now = saved(now.join(mixed, "key"), "minhash-state")
-        sizes = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-        major = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m")).select("key", F.col("m.label").alias("major"))
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
-        centres = saved(now.join(major, "key").filter("label <> major").withColumn("r", rank).filter(F.col("r") <= width)
-                        .select("key", F.col("node").alias("centre"), F.col("label").alias("of")), "minhash-centres")
-        pairs = now.join(centres, "key").filter("label <> of").select(
-            F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
-        more = saved(confirm(pairs, known, percent), "minhash-links")
-        left = saved(now.join(centres, (now["key"] == centres["key"]) & (now["node"] == centres["centre"]), "left_anti")
-                     .select("key", "node"), "minhash-left")
-        tried, width = tried.unionByName(pairs), width * WIDER
-        if not more.isEmpty():
-            links = links.unionByName(more)
+        x = family.filter("far and cap >= least").select("a", F.col("b").alias("x"), F.col("label").alias("lx"),
+                                                         F.col("size").alias("size_x"), F.col("cap").alias("cap_x"))
+        y = family.filter("size <= most").select("a", F.col("b").alias("y"), F.col("label").alias("ly"),
+                                                 F.col("size").alias("size_y"), F.col("cap").alias("cap_y"))
+        pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+        close = x.join(y, "a").filter("x <> y and lx <> ly and size_y <= cap_x and size_x <= cap_y").select(*pair)
+        # x needs percent of its size in common with y, so all but so many of its added elements: the rarest of these must hold one
+        e = family.select("a", "b", "label", "far", "size", F.explode("added").alias("e"))
+        often = e.groupBy("a", "e").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("any_far"))
+        rarest = F.row_number().over(Window.partitionBy("a", "b").orderBy("n", "e"))
+        e = e.join(often, ["a", "e"]).withColumn("r", rarest).filter(
+            F.col("r") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).filter("n > 1 and any_far")
+        e = saved(e.select("a", "e", "b", "label", "far"), "minhash-rarest")
+        groups = saved(e.groupBy("a", "e").agg(F.count_if("far").alias("n_far"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+                       .filter("n_far > 0 and lo <> hi").select("a", "e", "n_far"), "minhash-groups")
+        e = saved(e.join(groups, ["a", "e"]), "minhash-shared")
+        few = e.filter(F.col("n_far") <= SMALL)
+        x = few.filter("far").select("a", "e", F.col("b").alias("x"), F.col("label").alias("lx"))
+        y = few.select("a", "e", F.col("b").alias("y"), F.col("label").alias("ly"))
+        shared = x.join(y, ["a", "e"]).filter("x <> y and lx <> ly").select(*pair)
+        more = saved(compared(close.unionByName(shared).distinct(), known, percent, False), "minhash-pairs")
+        links = links.unionByName(more.filter("linked").select("a", "b"))
+        many = e.filter(F.col("n_far") > SMALL).select(F.xxhash64("a", "e").alias("key"), F.col("b").alias("node"))
+        active = saved(many.join(degree, "node").select("key", "node", "degree"), "minhash-members")
+        if active.isEmpty():
             label = components(links)
+            break
     out = rows.join(label, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
