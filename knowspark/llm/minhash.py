@@ -230,8 +230,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         e = e.join(often, ["a", "e"]).withColumn("r", rarest).filter(
             F.col("r") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).filter("n > 1 and any_far")
         e = saved(e.select("a", "e", "b", "label", "far"), "minhash-rarest")
-        groups = saved(e.groupBy("a", "e").agg(F.count_if("far").alias("n_far"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-                       .filter("n_far > 0 and lo <> hi").select("a", "e", "n_far"), "minhash-groups")
+        groups = e.groupBy("a", "e").agg(
+            F.count_if("far").alias("n_far"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"),
+            *[F.bit_xor(F.xxhash64("b", F.lit(k))).alias(f"m{k}") for k in (0, 1)]).filter("n_far > 0 and lo <> hi")
+        # elements with the same members (the shingles around one changed word) give the same pairs: one of them will do
+        groups = saved(groups.groupBy("a", "n", "n_far", "m0", "m1").agg(F.min("e").alias("e")).select("a", "e", "n_far"), "minhash-groups")
         e = saved(e.join(groups, ["a", "e"]), "minhash-shared")
         few = e.filter(F.col("n_far") <= SMALL)
         x = few.filter("far").select("a", "e", F.col("b").alias("x"), F.col("label").alias("lx"))
