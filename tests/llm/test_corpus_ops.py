@@ -241,6 +241,22 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert got[50] == got[51] == [(2, False)] and got[52] == [] and all(got[i] == [(2, True)] for i in range(len(good)))
 
 
+def test_patterns_discover_forms_that_the_base_misses(spark):
+    rows = [(i, f"please call +1 555 123 {4000 + i} before monday") for i in range(20)]
+    rows += [(50, "please call (555) 555-0199 before monday"), (51, "please call 5551234567 before monday"), (52, "so (555) 555-0199 again"),
+             (53, "sold 5559876543 pieces"), (54, "10.0.0.1 5551234567 2024 x")]
+    # a chain of contexts, each made confident by the round before: more rounds than two
+    rows += [(100 + i, f"ring +1 555 123 {6000 + i} soon") for i in range(130)]
+    words = [("ring", "soon"), ("ask", "today"), ("try", "later"), ("dial", "twice")]
+    number = lambda k, i: f"{7000 + k}-{9000 + i}"
+    for k, n in enumerate((32, 8, 2)):
+        rows += [(1000 * (k + 1) + 10 * i + c, f"{words[c][0]} {number(k, i)} {words[c][1]}") for i in range(n) for c in (k, k + 1)]
+    got = {x["doc_id"]: [(s["kind"], s["start"], s["end"], s["base"]) for s in x["spans"]] for x in pii.personal_data(frame(spark, rows)).collect()}
+    assert got[50] == [(3, 12, 26, False)] and got[51] == [(3, 12, 22, False)] and got[52] == [(3, 3, 17, False)]
+    assert got[53] == [] and got[54] == [(1, 0, 8, True), (3, 9, 19, False)]
+    assert all(len(got[1000 * (k + 1) + 10 * i + k]) == 1 for k, n in enumerate((32, 8, 2)) for i in range(n))
+
+
 # -- 7
 def test_url_rules(spark):
     cases = {"http://a.com/x": ("a.com", "/x", "com/", "allow"), "HTTPS://EXAMPLE.com/en/1?q#f": ("example.com", "/en/1", "example.com/en/", "block"),
