@@ -6,10 +6,12 @@ before it, the added part is the turn's span, where it does not, the template
 has rewritten history and the turn is marked.  Inside the span the turn's text
 is found by rendering the same prefix with a sentinel as its text.
 
-Turns are streamed in order, so a conversation is never held as a whole: after
-``WINDOW`` turns, prefixes begin at the last turn again.  The turn at such a
-point is rendered in both ways; if the results differ, the template looks
-further back and the conversation's prefixes keep growing instead.
+Turns are streamed in order.  Prefixes are whole, as a template may rewrite at
+any turn, unless the template is declared free of them (``prefix_free = True``
+on the function: a turn's rendering depends on that turn only).  Then a
+conversation is never held as a whole: after ``WINDOW`` turns, prefixes begin at
+the last turn again.  The turn at such a point is rendered in both ways; if the
+results differ, or once a turn was rewritten, prefixes stay whole nevertheless.
 
 Defined results: a null role or text is empty; rows of equal turn number go by
 role, then text; a null ``conv_id`` is one conversation, a null turn comes
@@ -54,6 +56,7 @@ def marked(turns: list[tuple[str, str]]) -> str:
     return "".join(f"{OPEN}{escape(role, ':')}: {escape(text)}{CLOSE}" for role, text in turns)
 
 
+marked.prefix_free = True
 _TURN = re.compile(r"### ((?:\\.|[^\\#<:])*): ((?:\\.|[^\\#<])*)</turn>\n", re.S)
 
 
@@ -72,11 +75,12 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 def located(turns: Iterable[tuple[str, str]], template: Template, window: int = WINDOW) -> Iterator[tuple[str, int, int, bool]]:
     """(added text, start and end of the turn's own text in it or -1, history rewritten) for each turn of one conversation."""
     context: list[tuple[str, str]] = []
-    before, growing = "", False
+    before, growing = "", not getattr(template, "prefix_free", False)
     for role, text in turns:
         context.append((role, text))
         now = template(context)
         rewritten = not now.startswith(before)
+        growing |= rewritten
         added = now if rewritten else now[len(before):]
         start = end = -1
         if not rewritten:
@@ -91,8 +95,8 @@ def located(turns: Iterable[tuple[str, str]], template: Template, window: int =
         if len(context) >= window and not growing:
             pair = context[-2:]
             first, both = template(pair[:1]), template(pair)
-            if rewritten or not both.startswith(first) or both[len(first):] != added:
-                growing = True  # this template looks further back
+            if not both.startswith(first) or both[len(first):] != added:
+                growing = True  # this template looks further back than declared
             else:
                 context, before = pair[1:], template(pair[1:])
 

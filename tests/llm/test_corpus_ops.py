@@ -333,6 +333,23 @@ def test_chat_detects_rewritten_history():
         assert [x[0][x[1]:x[2]] for x in found] == [t for _, t in turns]
 
 
+def test_chat_keeps_whole_prefixes_of_rewriting_templates():
+    def thinks_once(turns):  # reasoning stays until the next user turn
+        last = max((k for k, (r, _) in enumerate(turns) if r == "user"), default=-1)
+        return "".join(f"[{r}|{t if k > last else t.split('~')[-1]}]" for k, (r, t) in enumerate(turns))
+
+    def last_hundred(turns):
+        return "".join(f"[{r}|{t}]" for r, t in turns[-100:])
+
+    turns = [("user", f"q{k}") if k % 2 == 0 else ("assistant", f"why{k}~a{k}") for k in range(200)]
+    for template, marks in ((thinks_once, [k > 0 and k % 2 == 0 for k in range(200)]), (last_hundred, [k >= 100 for k in range(200)])):
+        whole, found = "", list(chat.located(turns, template))
+        for k, (added, a, e, rewritten) in enumerate(found):
+            whole = added if rewritten else whole + added
+            assert whole == template(turns[: k + 1]) and (a < 0 or added[a:e] == turns[k][1])
+        assert [x[3] for x in found] == marks
+
+
 # -- 10
 def test_quality_counts_match_plain_version(spark):
     texts = random_texts(600, ["a ", "b ", "a b c d e ", "x\n", "\n", "#", "<|> ", "\t", "\u00a0", "\u00c9 "], 7, 40) + [None, "", "w " * 3000, "line one here\n" * 50]
