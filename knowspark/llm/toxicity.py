@@ -6,11 +6,15 @@ over the whole text feeds a logistic output.  It is trained on the driver on a
 bounded sample of labelled rows (``MAX_PER_CLASS`` rows a class, rows of at most
 ``MAX_TRAIN_BYTES`` bytes), then every whole text is scored in the tasks.
 
-Thresholds are calibrated by language: a quarter of the sample is kept out of
-training; for each language, told from the text's own function words, the cut
-with the best F-measure is found (precision counts more, since clean
-documents must stay), and scores are shifted so that this cut becomes
-``CUT``.  Only the text enters a score.
+Thresholds are calibrated by language over all labelled rows that are not held
+out, of any length: the tasks score them, and rows are counted by language (told
+from the text's own function words), score bin and label.  For each language the
+cut with the best F-measure of these counts is taken (precision counts more,
+since clean documents must stay), and scores are shifted so that this cut
+becomes ``CUT``.  Scores of rows that the model was trained on say nothing about
+other rows, so these rows count with the scores of the others of their language,
+label and length (under or over ``MAX_TRAIN_BYTES``), if there are any; a quarter
+of the sample is kept out of training for that.  Only the text enters a score.
 
 Defined results: null and empty texts score as a text without words; a null id
 is not held out; repeated rows score equally; without labels of both classes
@@ -36,6 +40,8 @@ CUT = 0.3
 BUCKETS, DIM, WIDTHS, FILTERS, PREFIXES = 1 << 16, 16, (1, 2, 3), 16, (4, 5, 6)
 EPOCHS, STEPS, BATCH, RATE, SEED = 8, 500, 32, 0.08, 7
 MIN_LANGUAGE, MIN_TEXTS, BETA = 15, 3, 0.5
+#: Score bins of the calibration: log-odds in steps of 1 / STEP, from -EDGE to EDGE.
+STEP, EDGE = 32, 21
 
 #: Function words that tell the language.
 FUNCTION_WORDS = {
@@ -92,6 +98,7 @@ class Model:
         self.prior = np.zeros(1, np.float32)
         self.cuts = np.full(len(FUNCTION_WORDS) + 1, CUT)
         self.constant: float | None = None
+        self.fitted_on = np.zeros(0, np.int64)  # ids
 
     def _vectors(self, ids: np.ndarray) -> np.ndarray:
         x = self.emb[ids[:, 0]]
@@ -193,66 +200,94 @@ class Model:
             step("out", self.out, g_out)
             step("prior", self.prior, np.array([err.sum()], np.float32))
 
-    def calibrate(self, texts: list[bytes], toxic: np.ndarray, weight: np.ndarray) -> None:
-        """Cut of each language with the best F-measure; ``weight`` restores the classes' shares."""
-        raw, lang = [], []
-        for t in texts:
-            buf = np.frombuffer(t, np.uint8)
-            ids, at, g = words(buf, np.array([0, len(buf)]))
-            raw.append(self.raw(ids, at)[0])
-            lang.append(g[0])
-        raw, lang = np.array(raw), np.array(lang)
+    def bins(self, ids, at) -> np.ndarray:
+        p = np.clip(self.raw(ids, at), 1e-9, 1 - 1e-9)
+        return np.floor(np.log(p / (1 - p)) * STEP).astype(np.int64) + EDGE * STEP
+
+    def calibrate(self, counts: list[tuple[int, int, int, bool, bool, int]]) -> None:
+        """Cut of each language with the best F-measure from (language, bin, toxic, over MAX_TRAIN_BYTES, trained on, rows)."""
+        n = np.zeros((len(FUNCTION_WORDS) + 1, 2, 2, 2, 2 * EDGE * STEP))  # the last language: none
+        for lang, at, toxic, large, trained, rows in counts:
+            n[lang, toxic, int(large), int(trained), at] += rows
+        every, others = n.sum(axis=3), n[:, :, :, 0]
+        size, rest = every.sum(-1, keepdims=True), others.sum(-1, keepdims=True)
+        by_label = np.where(rest > 0, others * size / np.maximum(rest, 1), every).sum(axis=2)
+        edge = 1 / (1 + np.exp(-(np.arange(2 * EDGE * STEP + 1) / STEP - EDGE)))
 
         def best(mine: np.ndarray, least: int = MIN_LANGUAGE) -> float | None:
-            s, y, w = raw[mine], toxic[mine], weight[mine]
-            if (y == 1).sum() < least or (y == 0).sum() < least:
+            if mine.sum(1).min() < least:
                 return None
-            o = np.argsort(-s)
-            tp, fp = np.cumsum(w[o] * (y[o] == 1)), np.cumsum(w[o] * (y[o] == 0))
-            k = int(((1 + BETA ** 2) * tp / (tp + fp + BETA ** 2 * (w * (y == 1)).sum())).argmax())
-            low = s[o[k + 1]] if k + 1 < len(o) else 0.0
-            return float(np.clip((s[o[k]] + low) / 2, 0.1, 0.98))
+            used = np.flatnonzero(mine.sum(0))[::-1]
+            tp, fp = np.cumsum(mine[1, used]), np.cumsum(mine[0, used])
+            k = int(((1 + BETA ** 2) * tp / (tp + fp + BETA ** 2 * tp[-1])).argmax())
+            low = edge[used[k + 1] + 1] if k + 1 < len(used) else 0.0
+            return float(np.clip((edge[used[k]] + low) / 2, 0.1, 0.98))
 
-        every = best(np.ones(len(raw), bool), 1) or CUT
+        overall = best(by_label.sum(0), 1) or CUT
         for k in range(-1, len(FUNCTION_WORDS)):
-            self.cuts[k] = best(lang == k) or every
+            self.cuts[k] = best(by_label[k]) or overall
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> list:
-    """(text, toxic, share) of at most ``per_class`` rows a class, the same for the same rows; share = class size / rows taken."""
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic), a row an id, of the labels that are not held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    size = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> list:
+    """(doc_id, text, toxic) of at most ``per_class`` rows a class, the same for the same rows."""
+    known = labelled(labels)
     parts = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(per_class) for y in (0, 1)]
     ids = parts[0].unionByName(parts[1])
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = d.filter(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(
         F.max("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows = sorted(rows, key=lambda r: r["doc_id"])[: 2 * per_class]
-    got = {y: sum(r["toxic"] == y for r in rows) for y in (0, 1)}
-    return [(r["text"].encode(), r["toxic"], size[r["toxic"]] / got[r["toxic"]]) for r in rows]
+    return [(r["doc_id"], r["text"].encode(), r["toxic"]) for r in rows]
 
 
 def train(rows: list) -> Model:
+    """Model of rows of ``sample``, not calibrated."""
     m = Model()
-    y = np.array([r[1] for r in rows])
+    y = np.array([r[2] for r in rows])
     if not len(y) or y.min() == y.max():
         m.constant = 0.0
         return m
     keep = np.arange(len(rows)) % 4 != 3
     if min((y[~keep] == 1).sum(), (y[~keep] == 0).sum(), (y[keep] == 1).sum(), (y[keep] == 0).sum()) == 0:
         keep[:] = True
-    m.fit([r[0] for r, k in zip(rows, keep) if k], y[keep])
-    rest = ~keep if not keep.all() else keep
-    m.calibrate([r[0] for r, k in zip(rows, rest) if k], y[rest], np.array([r[2] for r, k in zip(rows, rest) if k]))
+    m.fit([r[1] for r, k in zip(rows, keep) if k], y[keep])
+    m.fitted_on = np.array([r[0] for r, k in zip(rows, keep) if k], np.int64)
     return m
 
 
+def score_counts(docs: DataFrame, labels: DataFrame, model: Model) -> list[tuple[int, int, int, bool, bool, int]]:
+    """What ``calibrate`` takes, over all labelled rows; texts are scored where they are read, only ids and bins are joined."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    names = ["doc_id", "lang", "bin", "large", "trained"]
+
+    def run(batches):
+        m = sent.value
+        for batch in batches:
+            buf, off = K.utf8(batch.column(1))
+            lang, at_bin = np.zeros((2, len(off) - 1), np.int64)
+            for i, j, b, o in K.slices(buf, off):
+                ids, at, lang[i:j] = words(b, o)
+                at_bin[i:j] = m.bins(ids, at)
+            trained = np.isin(batch.column(0).to_numpy(), m.fitted_on)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (lang, at_bin, np.diff(off) > MAX_TRAIN_BYTES, trained))], names=names)
+
+    scored = d.mapInArrow(run, "doc_id long, lang long, bin long, large boolean, trained boolean")
+    n = scored.join(labelled(labels), "doc_id").groupBy("lang", "bin", "toxic", "large", "trained").agg(F.count(F.lit(1)).alias("n"))
+    return [tuple(r) for r in n.collect()]  # languages x bins x 8 rows at most
+
+
 def toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (double) and ``predicted`` (int), which replace columns of these names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -274,7 +309,10 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> Model:
-    return train(sample(docs, labels, per_class))
+    model = train(sample(docs, labels, per_class))
+    if model.constant is None:
+        model.calibrate(score_counts(docs, labels, model))
+    return model
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -291,6 +291,28 @@ def test_toxicity_learns_and_scores(spark):
     assert toxicity.toxicity(docs, none).filter("score <> 0").count() == 0 and toxicity.toxicity(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_cuts_count_long_texts(spark, monkeypatch):
+    def fit(self, texts, toxic):  # log-odds of the worst word: wretch 3, awful 0.2, bad 0, others -3
+        self.emb[:], self.out[:], self.prior[:] = 0, 0, -3
+        for f in self.filters:
+            f[:] = 0
+        self.filters[0][0, 0] = self.out[0] = 1
+        for word, x in ((b"wretch", 6), (b"awful", 3.2), (b"bad", 3)):
+            self.emb[toxicity.words(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[0][0, 0], 0] = x
+
+    monkeypatch.setattr(toxicity.Model, "fit", fit)
+    kinds = [("the wretch", 1, 100), ("the bad", 1, 40), ("the day", 0, 100), ("the awful " + "day " * 6000, 0, 40)]
+    rows = [(i, text, toxic) for i, (text, toxic) in enumerate((t, y) for t, y, n in kinds for _ in range(n))]
+    docs = frame(spark, [r[:2] for r in rows])
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fitted(docs, labels)
+    counts = toxicity.score_counts(docs, labels, model)
+    used = labels.filter(~toxicity.held_out(F.col("doc_id"))).count()
+    assert sum(x[-1] for x in counts) == used and {x[2] for x in counts if x[3]} == {0}
+    got = {x["text"][:9]: x["predicted"] for x in toxicity.toxicity(docs, model).collect()}
+    assert got == {"the wretc": 1, "the bad": 0, "the day": 0, "the awful": 0}
+
+
 # -- 9
 def test_chat_spans_and_round_trip(spark):
     r = random.Random(2)
