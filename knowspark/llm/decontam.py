@@ -1,9 +1,14 @@
 """Benchmark decontamination by the q-gram lemma (operator 3).
 
 A document leaks a benchmark item if a region of it is within an edit distance
-of ``BUDGET`` percent of the item's length (items longer than ``LONG`` code
-points are matched by windows of ``UNIT`` that overlap by half).  Texts are
-compared with letters lower-cased and white space runs as one space.
+of ``BUDGET`` percent of the length of one of the item's units.  An item up to
+``SHORT`` code points is one unit.  Any longer one is cut into equal units of at
+most SHORT, and once more with the cuts moved by half a unit; items over
+``LONG`` have windows of ``UNIT`` that overlap by half besides.  So a verbatim
+quote of 3 / 2 SHORT code points always holds a whole unit, and an item that is
+within the budget as a whole has a unit that is.  The region found is the whole
+item's if that is within the budget (up to LONG), else that of the longest unit.
+Texts are compared with letters lower-cased and white space runs as one space.
 
 1. Every q-gram of a document is looked up among the benchmark's q-grams.
 2. A shared q-gram lies on the diagonal (document position - unit position).
@@ -35,7 +40,7 @@ from pyspark.sql import types as T
 from . import kernel as K
 from .common import documents, table
 
-Q, BUDGET, UNIT, LONG = 8, 10, 200, 300
+Q, BUDGET, UNIT, LONG, SHORT = 8, 10, 200, 300, 100
 MAX_BLOCK = 4_000_000
 FILTER_BITS = 23
 SLICE = 2 << 20
@@ -85,17 +90,25 @@ class Index:
     """Units of benchmark items: folded code points, postings of their q-grams, budgets and least counts."""
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, budget: int = BUDGET):
-        self.item, self.units = [], []
+        self.item, self.units, self.offset, self.whole, self.wholes, self.budget = [], [], [], [], [], budget
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             cp, _, _ = normal(raw, np.array([0, len(raw)]))
             cp = cp[int(len(cp) > 0 and cp[0] == 32): len(cp) - int(len(cp) > 1 and cp[-1] == 32)]
             if not len(cp):
                 continue
-            starts = [0] if len(cp) <= LONG else [*range(0, len(cp) - UNIT, UNIT // 2), len(cp) - UNIT]
-            for a in starts:
+            n, k = len(cp), -(-len(cp) // SHORT)
+            cuts = [i * n // (2 * k) for i in range(2 * k + 1)]
+            spans = [(0, n)] if k == 1 else list(zip(cuts, cuts[2:]))
+            if n > LONG:
+                spans += [(a, a + UNIT) for a in (*range(0, n - UNIT, UNIT // 2), n - UNIT)]
+            if 1 < k and n <= LONG:
+                self.wholes.append(cp)
+            for a, e in spans:
                 self.item.append(item)
-                self.units.append(cp[a: a + UNIT] if len(cp) > LONG else cp)
+                self.units.append(cp[a:e])
+                self.offset.append(a)
+                self.whole.append(len(self.wholes) - 1 if 1 < k and n <= LONG else -1)
         self.item = np.array(self.item, np.int64)
         self.size = np.array([len(u) for u in self.units], np.int64)
         self.edits = self.size * budget // 100
@@ -111,7 +124,7 @@ class Index:
         order = np.argsort(h, kind="stable")
         self.gram, begin = np.unique(h[order], return_index=True)
         self.begin = np.append(begin, len(h))
-        self.unit, self.pos = unit[order], pos[order]
+        self.unit, self.pos = unit[order].astype(np.int32), pos[order].astype(np.int32)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.gram >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         #: units below q code points are found as they stand
@@ -212,33 +225,45 @@ def search(buf: np.ndarray, off: np.ndarray, index: Index) -> list[tuple[int, in
     pos, unit, upos = index.hits(cp)
     inside = at[text_of[pos] + 1] - pos >= Q if len(pos) else np.zeros(0, bool)
     pos, unit, upos = pos[inside], unit[inside], upos[inside]
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    found: dict[tuple[int, int], tuple[int, int, int, int]] = {}
 
-    def note(t: int, u: int, a: int, e: int, edits: int) -> None:
+    def note(t: int, u: int, a: int, e: int, edits: int, size: int) -> None:
         key = (t, int(index.item[u]))
-        if key not in found or (edits, a) < (found[key][2], found[key][0]):
-            found[key] = (a, e, edits)
-
-    if len(pos):
-        text = text_of[pos]
-        found_bands = bands(pos - at[text], unit, upos, text, index)
-        work = []
-        for t, u, first, last in zip(*(x.tolist() for x in found_bands)):
-            k, seq, mine = int(index.edits[u]), index.units[u], cp[at[t]: at[t + 1]]
+        if key not in found or (-size, edits, a) < (-found[key][3], found[key][2], found[key][0]):
+            found[key] = (a, e, edits, size)
+
+    def verified(work):
+        """(text, unit, start, end, edits) of those of (text, unit, sequence, budget, first diagonal, last diagonal) within the budget."""
+        ready = []
+        for t, u, seq, k, first, last in work:
+            mine = cp[at[t]: at[t + 1]]
             a, e = max(first - k, 0), min(last + len(seq) + 2 * k, len(mine))
-            work.append((t, u, a, mine[a:e], first - k - a, last + k - a))
-        work.sort(key=lambda w: (w[5] - w[4], len(w[3])))
-        for c in range(0, len(work), 64):
-            some = work[c: c + 64]
-            units = [index.units[w[1]] for w in some]
+            ready.append((t, u, a, mine[a:e], first - k - a, last + k - a, seq, k))
+        ready.sort(key=lambda w: (w[5] - w[4], len(w[3])))
+        for c in range(0, len(ready), 64):
+            some = ready[c: c + 64]
+            units = [w[6] for w in some]
             edits, ends = align(units, [w[3] for w in some], np.array([w[4] for w in some]), np.array([w[5] for w in some]))
-            good = [i for i in range(len(some)) if edits[i] <= index.edits[some[i][1]]]
+            good = [i for i in range(len(some)) if edits[i] <= some[i][7]]
             if good:  # the same region from its end gives its start
-                k = np.array([index.edits[some[i][1]] for i in good])
+                k = np.array([some[i][7] for i in good])
                 _, sizes = align([units[i][::-1] for i in good], [some[i][3][: ends[i]][::-1] for i in good], -k, k)
                 for i, n in zip(good, sizes.tolist()):
                     t, u, a = some[i][:3]
-                    note(t, u, a + int(ends[i]) - min(n, int(ends[i])), a + int(ends[i]), int(edits[i]))
+                    yield t, u, a + int(ends[i]) - min(n, int(ends[i])), a + int(ends[i]), int(edits[i])
+
+    if len(pos):
+        text = text_of[pos]
+        found_bands = bands(pos - at[text], unit, upos, text, index)
+        work = [(t, u, index.units[u], int(index.edits[u]), first, last) for t, u, first, last in zip(*(x.tolist() for x in found_bands))]
+        around = {}
+        for t, u, a, e, edits in verified(work):
+            note(t, u, a, e, edits, int(index.size[u]))
+            if (w := index.whole[u]) >= 0:
+                k, d = len(index.wholes[w]) * index.budget // 100, a - index.offset[u]
+                around.setdefault((t, w, d // max(k, 1)), (t, u, index.wholes[w], k, d - k, d + k))
+        for t, u, a, e, edits in verified(around.values()):
+            note(t, u, a, e, edits, len(index.wholes[index.whole[u]]))
     if index.tiny:
         raw = cp.astype("<u4").tobytes()
         for u in index.tiny:
@@ -246,9 +271,9 @@ def search(buf: np.ndarray, off: np.ndarray, index: Index) -> list[tuple[int, in
             while (p := raw.find(seq, p + 1)) >= 0:
                 i = p // 4
                 if p % 4 == 0 and i + len(seq) // 4 <= at[text_of[i] + 1]:
-                    note(int(text_of[i]), u, i - int(at[text_of[i]]), i - int(at[text_of[i]]) + len(seq) // 4, 0)
+                    note(int(text_of[i]), u, i - int(at[text_of[i]]), i - int(at[text_of[i]]) + len(seq) // 4, 0, len(seq) // 4)
     out = []
-    for (t, item), (a, e, edits) in sorted(found.items()):
+    for (t, item), (a, e, edits, _) in sorted(found.items()):
         mine = place[at[t]: at[t + 1]]
         out.append((t, item, int(mine[a]), int(mine[e - 1]) + 1, edits))
     return out

@@ -182,6 +182,34 @@ def test_decontamination_spans_and_edges(spark):
     assert decontam.leaks(frame(spark, rows), bench.limit(0)).count() == 0 and decontam.clean(frame(spark, rows), bench.limit(0)).count() == 6
 
 
+def test_decontamination_finds_every_quote_of_a_stated_length(spark):
+    r = random.Random(9)
+    least = decontam.SHORT * 3 // 2
+    items = [(n, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))) for n in (101, 149, 150, 201, 290, 310, 390, 1001)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = {}
+    for n, text in items:
+        for size in (least, 200, 250):
+            for a in {0, 25, 50, n - size}:
+                if a >= 0 and a + size <= n:
+                    docs[len(docs)] = (n, text[a: a + size])
+    rows = [(k, f"12345 {q} 67890") for k, (_, q) in docs.items()] + [(-1, "12345 nothing of it 67890"), (-2, items[4][1][:60])]
+    got = {(x["doc_id"], x["item_id"]) for x in decontam.leaks(frame(spark, rows), bench).collect()}
+    assert got == {(k, n) for k, (n, _) in docs.items()}
+    whole = decontam.leaks(frame(spark, [(1, "x " + items[4][1])]), bench).collect()
+    assert [(x["item_id"], x["start"], x["end"], x["edits"]) for x in whole] == [(290, 2, 292, 0)]
+    # as many edits as the item as a whole allows, wherever they are
+    edited = []
+    for n, text in items[:5]:
+        for k in range(6):
+            chars = list(text)
+            for i in r.sample(range(n), n // 10) if k else range(n // 10):
+                chars[i] = "0"
+            edited.append((10 * n + k, "".join(chars)))
+    got = {(x["doc_id"], x["item_id"]) for x in decontam.leaks(frame(spark, edited), bench).collect()}
+    assert got == {(k, k // 10) for k, _ in edited}
+
+
 def test_decontamination_in_blocks(spark):
     items = [(i, f"item number {i} " + " ".join(f"word{i * k}" for k in range(20))) for i in range(1, 30)]
     bench = spark.createDataFrame(items, "item_id long, text string")
