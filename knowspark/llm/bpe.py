@@ -179,7 +179,9 @@ def _block(ids: list, texts: list[tuple[np.ndarray, np.ndarray]], special, parts
     rank[order] = np.arange(len(u), dtype=np.uint32)
     seq, n_words = rank[inv], np.concatenate(counts)
     body = _zip_words(seq) if len(seq) else b""
-    key = int.from_bytes(hashlib.blake2b(repr(ids).encode() + body, digest_size=8).digest(), "little") >> 1
+    # equal keys only for equal blocks: ids, word order, the words themselves and where texts end
+    made = repr(ids).encode() + body + u[order].tobytes() + n_words.tobytes()
+    key = int.from_bytes(hashlib.blake2b(made, digest_size=8).digest(), "little") >> 1
     at = span[first[order]]
     part = (u[order] >> np.uint64(20)) % np.uint64(parts)
     by = np.argsort(part, kind="stable")

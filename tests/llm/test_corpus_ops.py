@@ -138,6 +138,12 @@ def test_bpe_matches_the_library_and_round_trips(spark):
     assert bpe.encode(frame(spark, [(None, "x"), (4, "")])).count() == 2
 
 
+def test_bpe_keeps_blocks_of_equal_ids_apart(spark):
+    for texts in (["foo", "bar"], ["one two", "two one"]):  # a partition each
+        df = spark.createDataFrame(spark.sparkContext.parallelize([(None, t) for t in texts], 2), SCHEMA)
+        assert sorted(x["decoded"] for x in bpe.encode(df).collect()) == sorted(texts)
+
+
 def test_word_positions_round_trip():
     r = np.random.default_rng(3)
     freq = np.sort(r.zipf(1.3, 50_000) % 70_000)
