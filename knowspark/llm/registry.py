@@ -15,6 +15,9 @@ _OPS = {
     "op8_toxicity": "toxicity",
     "op9_chat_format": "chat",
     "op10_quality_rules": "quality",
+    "op11_token_alignment": "align",
+    "op12_sharding": "shards",
+    "op13_spelling_variants": "spelling",
 }
 
 
