@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
+from array import array
 from functools import lru_cache
 from itertools import accumulate
 
@@ -45,7 +46,9 @@ from .bpe import _unzip, _unzip_words, _zip, _zip_words, pieces, ragged, tokeniz
 from .common import documents, saved
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 6 << 20
+KEPT = 60_000  # aligned units that a worker keeps, twice at most
+ROWS = 1000  # texts of an Arrow batch that are copied at once
 MARK = 0x2581  # stands for a space in B's pieces
 
 
@@ -72,6 +75,9 @@ class Pair:
         probe = " ﬁ  Å \t"
         if b"".join(self.b_bytes[i] for i in self.b.encode(probe)) != b" " + probe.encode() or any("\n" in p for p in whole):
             raise ValueError(f"{b}: texts are normalised, or a piece holds a line end")
+        self.b_size = [len(x) for x in self.b_bytes]
+        self.old: dict[str, tuple | None] = {}
+        self.new: dict[str, tuple | None] = {}
         self.beside = np.unique(np.array([ord(x) << 21 | ord(y) for p in whole for x, y in zip(p, p[1:])], np.int64))
 
     def starts(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -86,43 +92,57 @@ class Pair:
         new[at] = ~np.isin(pair[at - 1] << 21 | pair[at], self.beside)
         return lead[new]
 
-    def encode(self, units: list[str]):
-        """(A ids, B ids or None where B changes the bytes) of each unit."""
-        for i in range(0, len(units), 20_000):
-            some = units[i: i + 20_000]
+    def known(self, units: list[str]) -> list[tuple | None]:
+        """(A tokens, B tokens, groups, links as packed id pairs, shown groups) of each unit; None where B changes the bytes.
+
+        What was aligned lately is kept, so a unit that returns block after block is aligned once a worker.
+        """
+        miss = []
+        for u in units:
+            if u not in self.new:
+                if u in self.old:
+                    self.new[u] = self.old[u]
+                else:
+                    miss.append(u)
+        for i in range(0, len(miss), 20_000):
+            some = miss[i: i + 20_000]
             # a line end stands alone in B, so what follows is encoded as inside a text
             b = self.b.encode(["\n" + u for u in some], num_threads=1)
             for u, x, y in zip(some, self.a.encode_batch_fast(some, add_special_tokens=False), b):
-                y = y[2:]
-                yield x.ids, (y if b"".join([self.b_bytes[k] for k in y]) == u.encode() else None)
-
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-        """(groups of ids, links as id pairs) of one unit."""
-        sa, sb = self.a_size, self.b_bytes
-        end_a = {e: i for i, e in enumerate(accumulate([sa[x] for x in a]), 1)}
-        end_b = {e: i for i, e in enumerate(accumulate([len(sb[x]) for x in b]), 1)}
-        groups, links, i, j = [], [], 0, 0
-        for e in sorted(end_a.keys() & end_b.keys()):
-            k, m = end_a[e], end_b[e]
-            ga, gb = a[i:k], b[j:m]
-            groups.append((ga, gb))
-            if len(ga) == 1 or len(gb) == 1:  # the lone token overlaps all on the other side
-                links += [(x, y) for x in ga for y in gb]
-            else:
-                p = q = 0
-                left, right = sa[ga[0]], len(sb[gb[0]])
-                while True:
-                    links.append((ga[p], gb[q]))
-                    if left <= right:  # ends inside a group differ, but for the last
-                        p += 1
-                        if p == len(ga):
-                            break
-                        left += sa[ga[p]]
-                    else:
-                        q += 1
-                        right += len(sb[gb[q]])
-            i, j = k, m
-        return groups, links
+                self.new[u] = self.align(u, x.ids, y[2:])
+        out = [self.new[u] for u in units]
+        if len(self.new) > KEPT:
+            self.old, self.new = self.new, {}
+        return out
+
+    def align(self, unit: str, a: list[int], b: list[int]) -> tuple | None:
+        sa, sb = self.a_size, self.b_size
+        size_a, size_b = [sa[x] for x in a], [sb[x] for x in b]
+        if (sum(size_a) != sum(size_b) or chr(MARK) in unit) and b"".join([self.b_bytes[x] for x in b]) != unit.encode():
+            return None
+        if len(a) == 1 or len(b) == 1:  # the only common end is the last, and the lone token overlaps all
+            slices, links = [(a, b)], [x << 32 | y for x in a for y in b]
+        else:
+            end_a = {e: i for i, e in enumerate(accumulate(size_a), 1)}
+            end_b = {e: i for i, e in enumerate(accumulate(size_b), 1)}
+            slices, links, i, j = [], [], 0, 0
+            for e in sorted(end_a.keys() & end_b.keys()):
+                k, m = end_a[e], end_b[e]
+                slices.append((a[i:k], b[j:m]))
+                if k - i == 1 or m - j == 1:
+                    links += [x << 32 | y for x in a[i:k] for y in b[j:m]]
+                else:
+                    left, right, q = 0, size_b[j], j
+                    for p in range(i, k):
+                        left += size_a[p]
+                        links.append(a[p] << 32 | b[q])
+                        while right < left:  # ends inside a slice differ, so the next one overlaps too
+                            q += 1
+                            right += size_b[q]
+                            links.append(a[p] << 32 | b[q])
+                i, j = k, m
+        shown = ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in slices])
+        return len(a), len(b), len(slices), array("q", links).tobytes(), shown
 
 
 @lru_cache(maxsize=2)
@@ -130,11 +150,6 @@ def tokenizers(a: str, b: str) -> Pair:
     return Pair(a, b)
 
 
-def shown(groups: list[tuple[list[int], list[int]]]) -> str:
-    """``a1,a2|b1;a3|b2,b3``"""
-    return ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups])
-
-
 def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Sums of runs of ``values`` that end at ``edges`` (n + 1)."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
@@ -158,28 +173,23 @@ def _block(pair: Pair, ids: list, texts: list[tuple[np.ndarray, np.ndarray]], fu
     rank = np.empty(len(u), np.int64)
     rank[order] = np.arange(len(u))
     seq, freq = rank[inv], freq[order]
-    units = [raw[a:e].decode() for a, e in span[first[order]].tolist()]
-    size, text, links, bad = np.zeros((4, len(u)), np.int64), [], [], np.zeros(len(u), bool)
-    for k, (a, b) in enumerate(pair.encode(units)):
-        if b is None:
-            bad[k] = True
-            text.append("")
-            continue
-        groups, pairs = pair.align(a, b)
-        size[:, k] = len(a), len(b), len(groups), len(pairs)
-        text.append(shown(groups))
-        links += pairs
-    links = np.array(links, np.int64).reshape(-1, 2)
+    units = pair.known([raw[a:e].decode() for a, e in span[first[order]].tolist()])
+    del raw, span, hashes, h, u, first, inv
+    bad = np.array([x is None for x in units], bool)
+    units = [x or (0, 0, 0, b"", "") for x in units]
+    size = np.array([(x[0], x[1], x[2], len(x[3]) // 8) for x in units], np.int64).reshape(-1, 4).T
+    text = [x[4] for x in units]
+    links = np.frombuffer(b"".join([x[3] for x in units]), np.int64)
     edges = np.concatenate([[0], np.cumsum(n_units)])
     spoiled = _sums(bad[seq], edges) > 0
-    use = np.bincount(seq[~np.repeat(spoiled, n_units)], minlength=len(u))
-    distinct, at = np.unique(links[:, 0] << 32 | links[:, 1], return_inverse=True)
+    use = np.bincount(seq[~np.repeat(spoiled, n_units)], minlength=len(units))
+    distinct, at = np.unique(links, return_inverse=True)
     times = np.zeros(len(distinct), np.int64)
     np.add.at(times, at, np.repeat(use, size[3]))
     out = [np.where(spoiled, 0, _sums(size[k][seq], edges)) for k in range(4)]
-    digests, given, flat = [], [], seq.tolist()
+    digests, given = [], []
     for i, (a, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
-        groups = ";".join([text[w] for w in flat[a:e]]) if e > a and not spoiled[i] else ""
+        groups = ";".join([text[w] for w in seq[a:e].tolist()]) if e > a and not spoiled[i] else ""
         digests.append(hashlib.sha256(groups.encode()).hexdigest() if groups else "")
         if full:
             given.append(groups)
@@ -207,7 +217,7 @@ def blocks(docs: DataFrame, a: str, b: str, full: bool, block_bytes: int = BLOCK
             row = _block(pair, ids, texts, full)
             return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in _PACKED_ARROW], schema=_PACKED_ARROW)
 
-        for batch in batches:
+        for batch in (x.slice(k, ROWS) for x in batches for k in range(0, len(x), ROWS)):
             text = batch.column(1).fill_null("").cast(pa.large_string())
             text = pc.if_else(pc.equal(text, pa.scalar("", pa.large_string())), text,
                               pc.binary_join_element_wise(pa.scalar("", pa.large_string()), text, pa.scalar(" ", pa.large_string())))
