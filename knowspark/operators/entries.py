@@ -31,12 +31,12 @@ def entry_id(store: Column | str = "store", name: Column | str = "name") -> Colu
                       F.col(name) if isinstance(name, str) else name)
 
 
-def upsert(current: DataFrame, changes: DataFrame, now: str | Column) -> DataFrame:
-    """New snapshot after upserting ``changes`` keyed by (store, name).
+def changed_rows(current: DataFrame, changes: DataFrame, now: str | Column) -> DataFrame:
+    """The rows that ``changes`` leaves, one a (store, name); rows that exist keep id and created.
 
     ``changes`` has name, type, content, tags, meta, pinned and either store or
     target ('auto'|'user'|'system'); several writes of one key in a batch leave
-    one row: the last by the optional ``seq``, else the greatest.  Updated rows keep id and created.
+    one row: the last by the optional ``seq``, else the greatest.
     """
     nowc = (F.lit(now) if isinstance(now, str) else now).cast("timestamp_ntz")
     ch = changes
@@ -48,20 +48,24 @@ def upsert(current: DataFrame, changes: DataFrame, now: str | Column) -> DataFra
     w = Window.partitionBy("store", "name").orderBy(
         *([F.col("seq").desc()] if "seq" in ch.columns else []), *[F.col(c).desc_nulls_last() for c in rest])
     ch = ch.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    keys = ch.select("store", "name")
     old = current.select("store", "name", F.col("id").alias("_old_id"), F.col("created").alias("_old_created"))
-    changed = (ch.join(old, ["store", "name"], "left")
-                 .select("store",
-                         F.coalesce("_old_id", entry_id()).alias("id"),
-                         F.coalesce(F.col("type"), F.lit("knowledge")).alias("type"), "name",
-                         F.coalesce(F.col("content"), F.lit("")).alias("content"),
-                         F.coalesce(F.col("tags"), F.lit("")).alias("tags"),
-                         F.coalesce(F.col("meta"), F.lit("{}")).alias("meta"),
-                         F.coalesce(F.col("pinned"), F.lit(False)).alias("pinned"),
-                         F.coalesce("_old_created", nowc).alias("created"),
-                         nowc.alias("updated")))
-    kept = current.join(keys, ["store", "name"], "left_anti")
-    return kept.select(*ENTRY_COLUMNS).unionByName(changed.select(*ENTRY_COLUMNS))
+    return (ch.join(old, ["store", "name"], "left")
+              .select("store",
+                      F.coalesce("_old_id", entry_id()).alias("id"),
+                      F.coalesce(F.col("type"), F.lit("knowledge")).alias("type"), "name",
+                      F.coalesce(F.col("content"), F.lit("")).alias("content"),
+                      F.coalesce(F.col("tags"), F.lit("")).alias("tags"),
+                      F.coalesce(F.col("meta"), F.lit("{}")).alias("meta"),
+                      F.coalesce(F.col("pinned"), F.lit(False)).alias("pinned"),
+                      F.coalesce("_old_created", nowc).alias("created"),
+                      nowc.alias("updated")).select(*ENTRY_COLUMNS))
+
+
+def upsert(current: DataFrame, changes: DataFrame, now: str | Column) -> DataFrame:
+    """New snapshot after upserting ``changes`` (see :func:`changed_rows`) keyed by (store, name)."""
+    changed = changed_rows(current, changes, now)
+    kept = current.join(changed.select("store", "name"), ["store", "name"], "left_anti")
+    return kept.select(*ENTRY_COLUMNS).unionByName(changed)
 
 
 def delete_names(current: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,8 +1,10 @@
 """Inverted index over the entry table.
 
-``postings``  (store, id, col, term, tf, positions)  -- one row per term per column of an entry
-``doc_lengths`` (store, id, dl)           -- tokens of name+content+tags
+``postings``    (store, term, id, tf, dl, pos_name, pos_content, pos_tags) -- one row per term of an entry
+``lengths``     (store, id, dl)           -- tokens of name+content+tags
 ``store_stats`` (store, n_docs, n_tokens, avgdl)
+``terms``       (store, term, df, bits, peak)  -- one row per term: entries that hold it, and how it is cut into blocks
+``blocks``      (store, term, block, n, peak, docs) -- about ``BLOCK`` postings each, with the largest share of a score
 
 Statistics are per store and always computed over the *whole* store, never
 over a filtered subset (ranking of a filtered search still uses whole-store
@@ -12,51 +14,67 @@ At scale the index is built once per snapshot and written with
 ``write_index``: postings partitioned by store and sorted by (term, id), so a
 search, which filters ``term`` by literals, reads only the row groups whose
 term bounds cover its terms.  The range key ends with ``id``: the postings of
-one frequent term can spread over several files.
+one frequent term can spread over several files.  Entries are range-partitioned
+and sorted by id, so the rows of a result are fetched by narrow id bounds.
+
+A term's blocks are cut by the leading bits of a hash of the entry id.  So the
+block of an entry in any term's list is known without a search, and blocks of
+one term are of even size whatever the ids are.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..schema import SEARCH_COLUMNS
-
+from ..schema import ENTRY_SCHEMA, SEARCH_COLUMNS
 
-def tokenized(entries: DataFrame) -> DataFrame:
-    """(store, id, col, toks) one row per searchable column (3 per entry)."""
-    cols = F.array(*[
-        F.struct(F.lit(c).alias("col"), tokens(F.coalesce(F.col(c), F.lit(""))).alias("toks"))
-        for c in SEARCH_COLUMNS
-    ])
-    return (entries.select("store", "id", F.inline(cols)))
+K1 = 1.2
+B = 0.75
+#: postings of a term in a block, on average
+BLOCK = 128
 
 
-_KEY = ["store", "id", "col", "term"]
+def tokenized(entries: DataFrame) -> DataFrame:
+    """(store, id, dl, t_name, t_content, t_tags): an entry's tokens by column, and their number."""
+    t = entries.select("store", "id", *[tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"t_{c}") for c in SEARCH_COLUMNS])
+    dl = sum((F.size(f"t_{c}") for c in SEARCH_COLUMNS), F.lit(0))
+    return t.withColumn("dl", dl.cast("long"))
 
 
 def _postings(toks: DataFrame) -> DataFrame:
-    return (toks.select("store", "id", "col", F.posexplode("toks").alias("pos", "term")).groupBy(*_KEY)
-                .agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")))
+    def uses_in(c: str, k: int) -> Column:
+        return F.transform(f"t_{c}", lambda t, i: F.struct(t.alias("term"), F.lit(k).alias("col"), i.alias("pos")))
+
+    uses = F.flatten(F.array(*[uses_in(c, k) for k, c in enumerate(SEARCH_COLUMNS)]))
+    one = toks.select("store", "id", "dl", F.explode(uses).alias("u")).select("store", "id", "dl", "u.*")
+    return one.groupBy("store", "term", "id").agg(
+        F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"),
+        *[F.sort_array(F.collect_list(F.when(F.col("col") == k, F.col("pos")))).alias(f"pos_{c}") for k, c in enumerate(SEARCH_COLUMNS)])
 
 
 def postings(entries: DataFrame) -> DataFrame:
-    """(store, id, col, term, tf, positions): uses of a term in an entry column.
+    """(store, term, id, tf, dl, pos_*): uses of a term in an entry.
 
     The groupBy key is high-cardinality, so frequent terms do not skew it, and
-    the list of a key is bounded by one column of one entry.
+    the lists of a key are bounded by one entry.
     """
     return _postings(tokenized(entries))
 
 
+def by_column(post: DataFrame) -> DataFrame:
+    """Postings as one row per entry column: (store, id, col, term, tf, positions)."""
+    each = F.array(*[F.struct(F.lit(c).alias("col"), F.size(f"pos_{c}").alias("tf"), F.col(f"pos_{c}").alias("positions"))
+                     for c in SEARCH_COLUMNS])
+    return post.select("store", "id", "term", F.inline(each)).filter("tf > 0").select("store", "id", "col", "term", "tf", "positions")
+
+
 def doc_lengths(entries: DataFrame) -> DataFrame:
     """(store, id, dl) with dl = tokens over all three columns."""
-    dl = sum((F.size(tokens(F.coalesce(F.col(c), F.lit("")))) for c in SEARCH_COLUMNS),
-             F.lit(0))
-    return entries.select("store", "id", dl.cast("long").alias("dl"))
+    return tokenized(entries).select("store", "id", "dl")
 
 
 def store_stats(lengths: DataFrame) -> DataFrame:
@@ -69,62 +87,143 @@ def store_stats(lengths: DataFrame) -> DataFrame:
 
 def term_stats(post: DataFrame) -> DataFrame:
     """(store, term, df, cf): document and collection frequency per term."""
-    per_doc = post.groupBy("store", "term", "id").agg(F.sum("tf").alias("tf"))
-    return (per_doc.groupBy("store", "term")
-                   .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf")))
+    return post.groupBy("store", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf"))
+
+
+# --------------------------------------------------------------------------
+# Blocks with the largest share of a score
+# --------------------------------------------------------------------------
+
+def share(tf: Column | str, dl: Column | str, avgdl: Column | str) -> Column:
+    """A posting's factor of the term's weight in BM25 (below K1 + 1)."""
+    tf, dl, avgdl = (F.col(x) if isinstance(x, str) else x for x in (tf, dl, avgdl))
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+HASH_BITS = 40
+
+
+def block_of(id: Column | str, bits: Column | str) -> Column:
+    """Block of an entry in the list of a term that is cut by ``bits`` leading bits."""
+    bits = F.col(bits) if isinstance(bits, str) else bits
+    return F.call_function("shiftright", F.shiftrightunsigned(F.xxhash64(id), 64 - HASH_BITS), (HASH_BITS - bits).cast("int"))
+
+
+def term_table(post: DataFrame, stats: DataFrame) -> DataFrame:
+    """(store, term, df, bits, peak)."""
+    s = post.join(F.broadcast(stats.select("store", "avgdl")), "store")  # a row a store
+    t = s.groupBy("store", "term").agg(F.count(F.lit(1)).alias("df"), F.max(share("tf", "dl", "avgdl")).alias("peak"))
+    bits = F.greatest(F.lit(0), F.least(F.lit(HASH_BITS), F.ceil(F.log2(F.col("df") / BLOCK)))).cast("int")
+    return t.select("store", "term", "df", bits.alias("bits"), "peak")
+
 
+#: a term in more than this part of a store's entries is frequent
+FREQUENT = 1000
+
+
+def block_table(post: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
+    """(store, term, block, n, peak, docs): the postings without positions, in blocks.
+
+    Frequent terms are sent to all tasks: there are at most ``FREQUENT`` times the
+    average entry length of them, whatever the number of entries.  So no task
+    gets the whole list of a frequent term.
+    """
+    s = post.select("store", "term", "id", "tf", "dl").join(F.broadcast(stats.select("store", "avgdl")), "store")
+    t = terms.join(F.broadcast(stats.select("store", "n_docs")), "store")
+    often = F.broadcast(t.filter(F.col("df") * FREQUENT > F.col("n_docs")).select("store", "term", "bits"))
+    rare = t.filter(F.col("df") * FREQUENT <= F.col("n_docs")).select("store", "term", "bits")
+    s = s.join(often, ["store", "term"]).unionByName(s.join(often, ["store", "term"], "left_anti").join(rare, ["store", "term"]))
+    return s.groupBy("store", "term", block_of("id", "bits").alias("block")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(share("tf", "dl", "avgdl")).alias("peak"),
+        F.sort_array(F.collect_list(F.struct("id", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl")))).alias("docs"))
+
+
+# --------------------------------------------------------------------------
+# The index of one snapshot
+# --------------------------------------------------------------------------
 
 @dataclass
 class Index:
-    """The three index tables of one entry snapshot."""
+    """The index tables of one entry snapshot; ``terms`` and ``blocks`` exist for written ones.
+
+    Rows of ``terms`` and ``blocks`` carry the segment ``seg`` that they are of
+    (0 without segments); ``gone`` (store, id, seg) lists entries that a segment
+    replaces or deletes in those before it, ``averages`` a segment's own average
+    lengths by (seg, store), for which its peaks hold.
+    """
     entries: DataFrame
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
+    terms: DataFrame | None = None
+    blocks: DataFrame | None = None
+    gone: DataFrame | None = None
+    averages: dict[tuple[int, str], float] | None = None
 
 
 def build_index(entries: DataFrame, tokens_df: DataFrame | None = None) -> Index:
     """Index tables of an entry frame; pass ``tokens_df`` (a persisted
     :func:`tokenized` frame) to tokenise once for postings and lengths."""
-    if tokens_df is None:
-        lengths = doc_lengths(entries)
-        return Index(entries=entries, postings=postings(entries), lengths=lengths,
-                     stats=store_stats(lengths))
-    post = _postings(tokens_df)
-    lengths = tokens_df.groupBy("store", "id").agg(F.sum(F.size("toks")).cast("long").alias("dl"))
-    return Index(entries=entries, postings=post, lengths=lengths, stats=store_stats(lengths))
+    toks = tokenized(entries) if tokens_df is None else tokens_df
+    lengths = toks.select("store", "id", "dl")
+    return Index(entries=entries, postings=_postings(toks), lengths=lengths, stats=store_stats(lengths))
+
+
+def write_entries(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Entries partitioned by (store, type), and sorted by id in narrow ranges."""
+    (entries.repartitionByRange("store", "type", "id").sortWithinPartitions("store", "type", "id")
+            .write.mode(mode).partitionBy("store", "type").parquet(path))
 
 
 def write_index_from(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write the entries, then tokenise what was written once for postings and lengths."""
-    from pyspark import StorageLevel
-    entries.write.mode(mode).partitionBy("store", "type").parquet(f"{path}/entries")
-    entries = entries.sparkSession.read.parquet(f"{path}/entries")
-    tok = tokenized(entries).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        _write_terms(build_index(entries, tok), path, mode)
-    finally:
-        tok.unpersist()
+    """Write the entries, then tokenise what was written for postings and lengths."""
+    write_entries(entries, f"{path}/entries", mode)
+    _write_terms(build_index(read_table(entries.sparkSession, path, "entries")), path, mode)
 
 
 def write_index(index: Index, path: str, mode: str = "overwrite") -> None:
     """Write all tables of an index."""
-    index.entries.write.mode(mode).partitionBy("store", "type").parquet(f"{path}/entries")
+    write_entries(index.entries, f"{path}/entries", mode)
     _write_terms(index, path, mode)
 
 
 def _write_terms(index: Index, path: str, mode: str) -> None:
-    """Postings range-partitioned and sorted by (store, term, id), lengths, and the statistics over them."""
-    (index.postings.repartitionByRange("store", "term", "id")
-          .sortWithinPartitions("store", "term", "id")
-          .write.mode(mode).partitionBy("store").parquet(f"{path}/postings"))
+    """Lengths and statistics; postings range-partitioned and sorted by (store, term, id); terms and blocks from what was written."""
+    spark = index.lengths.sparkSession
     index.lengths.write.mode(mode).partitionBy("store").parquet(f"{path}/lengths")
-    lengths = index.lengths.sparkSession.read.parquet(f"{path}/lengths")
-    store_stats(lengths).coalesce(1).write.mode(mode).parquet(f"{path}/stats")
+    store_stats(read_table(spark, path, "lengths")).coalesce(1).write.mode(mode).parquet(f"{path}/stats")
+    stats = read_table(spark, path, "stats")
+    write_postings(index.postings, stats, path, mode)
+
+
+def write_postings(post: DataFrame, stats: DataFrame, path: str, mode: str = "overwrite") -> None:
+    spark = post.sparkSession
+    (post.repartitionByRange("store", "term", "id").sortWithinPartitions("store", "term", "id")
+         .write.mode(mode).partitionBy("store").parquet(f"{path}/postings"))
+    post = read_table(spark, path, "postings")
+    (term_table(post, stats).repartitionByRange("store", "term").sortWithinPartitions("store", "term")
+         .write.mode(mode).partitionBy("store").parquet(f"{path}/terms"))
+    terms = read_table(spark, path, "terms")
+    (block_table(post, terms, stats).repartitionByRange("store", "term", "block").sortWithinPartitions("store", "term", "block")
+         .write.mode(mode).partitionBy("store").parquet(f"{path}/blocks"))
+
+
+#: columns of the written tables; a part without rows has no file that tells them
+SCHEMAS = {
+    "entries": ENTRY_SCHEMA,
+    "postings": "store string, term string, id long, tf long, dl long, " + ", ".join(f"pos_{c} array<int>" for c in SEARCH_COLUMNS),
+    "lengths": "store string, id long, dl long",
+    "stats": "store string, n_docs long, n_tokens long, avgdl double",
+    "terms": "store string, term string, df long, bits int, peak double",
+    "blocks": "store string, term string, block long, n long, peak double, docs array<struct<id: bigint, tf: int, dl: int>>",
+}
+
+
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    entries = spark.read.parquet(f"{path}/entries")
-    lengths = spark.read.parquet(f"{path}/lengths")
-    return Index(entries=entries, postings=spark.read.parquet(f"{path}/postings"),
-                 lengths=lengths, stats=spark.read.parquet(f"{path}/stats"))
+    read = lambda name: read_table(spark, path, name)
+    return Index(entries=read("entries"), postings=read("postings"), lengths=read("lengths"), stats=read("stats"),
+                 terms=read("terms").withColumn("seg", F.lit(0)), blocks=read("blocks").withColumn("seg", F.lit(0)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 # modules contributing queries() / oracle()
-_MODULES = ["search_queries", "security_queries", "memory_queries", "store_queries", "transcript_queries", "file_queries"]
+_MODULES = ["search_queries", "security_queries", "memory_queries", "store_queries", "transcript_queries", "file_queries",
+            "index_queries"]
 
 
 def queries() -> dict:

@@ -35,7 +35,7 @@ def q_tokenize(spark, sf):
 
 
 def q_postings(spark, sf):
-    return ix.postings(V.entries(spark, sf)).select("store", "id", "col", "term", F.col("tf").cast("long"))
+    return ix.by_column(ix.postings(V.entries(spark, sf))).select("store", "id", "col", "term", F.col("tf").cast("long"))
 
 
 def q_term_stats(spark, sf):

@@ -179,8 +179,7 @@ def queries():
 
 # ----------------------------------------------------------------------------- oracle
 
-def oracle():
-    changes = f"""
+CHANGES_SQL = """
 SELECT name, type, content, tags, pinned,
        CASE WHEN type IN ('knowledge', 'tool') THEN 'system' ELSE 'user' END AS store
 FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq DESC) AS rn FROM (
@@ -194,7 +193,13 @@ FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq DESC) AS rn FR
   UNION ALL
   SELECT 'bench/' || CAST(item_id AS VARCHAR), 'knowledge', text || ' edited', 'benchmark,edited', false, 1
   FROM benchmark WHERE item_id % 4 = 0)) WHERE rn = 1"""
-    upsert = O.with_views("entries", extra=[("ch", changes)]) + f"""
+DELETES_SQL = """
+SELECT DISTINCT name FROM (SELECT 'bench/' || CAST(item_id AS VARCHAR) AS name FROM benchmark WHERE item_id % 3 = 0
+  UNION ALL SELECT 'observed/' || source || '/' || CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 9 = 0
+  UNION ALL SELECT 'nothing/' || CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 33 = 0)"""
+
+def oracle():
+    upsert = O.with_views("entries", extra=[("ch", CHANGES_SQL)]) + f"""
 SELECT e.store, e.name, e.type, md5(e.content) AS content_md5, e.tags, e.pinned, e.created, e.updated
 FROM entries e WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.store = e.store AND ch.name = e.name)
 UNION ALL
@@ -204,10 +209,7 @@ FROM ch LEFT JOIN entries e ON e.store = ch.store AND e.name = ch.name"""
     over = [("over", "SELECT 'user' AS store, id + 2000000000 AS id, type, name, content, tags, meta, pinned, "
                      "created, updated FROM bench_e WHERE id % 2 = 0"),
             ("ent2", "SELECT * FROM entries UNION ALL SELECT * FROM over"),
-            ("dn", "SELECT DISTINCT name FROM (SELECT 'bench/' || CAST(item_id AS VARCHAR) AS name FROM benchmark "
-                   "WHERE item_id % 3 = 0 UNION ALL SELECT 'observed/' || source || '/' || CAST(doc_id AS VARCHAR) "
-                   "FROM documents WHERE doc_id % 9 = 0 UNION ALL SELECT 'nothing/' || CAST(doc_id AS VARCHAR) "
-                   "FROM documents WHERE doc_id % 33 = 0)")]
+            ("dn", DELETES_SQL)]
     delete = O.with_views("entries", extra=over) + """
 SELECT store, name FROM (SELECT e.store, e.name, row_number() OVER (PARTITION BY e.name ORDER BY
   CASE WHEN e.store = 'user' THEN 0 ELSE 1 END) AS rn FROM ent2 e JOIN dn ON dn.name = e.name) WHERE rn = 1"""

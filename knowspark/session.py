@@ -32,6 +32,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         b = b.config(k, v)
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     b = b.config("spark.driver.memory", os.environ.get("KS_DRIVER_MEMORY", "8g"))
+    b = b.config("spark.checkpoint.dir", os.environ.get("KS_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="ks-ckpt-"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -50,12 +51,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        d = tempfile.mkdtemp(prefix="ks-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        # the setting of a running session cannot be changed, so its own folder is remembered by what it is set to
+        d = _LOCAL.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="ks-ckpt-")
+        _LOCAL[spark.sparkContext.applicationId] = d
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+#: scratch folders of local sessions that name none, by application
+_LOCAL: dict[str, str | None] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A per-job folder below the shared checkpoint directory."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -1,12 +1,11 @@
 import os
 import sys
-from datetime import datetime
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
-from knowspark.schema import ENTRY_SCHEMA  # noqa: E402
 from knowspark.session import local_session  # noqa: E402
 
 
@@ -15,16 +14,3 @@ def spark():
     s = local_session(4, shuffle_partitions=4, app="knowspark-tests")
     yield s
     s.stop()
-
-
-T0 = datetime(2024, 1, 1)
-
-
-def make_entries(spark, rows):
-    """rows: dicts with name/content and optional store, id, type, tags, meta, pinned, updated."""
-    out = []
-    for i, r in enumerate(rows):
-        out.append((r.get("store", "user"), r.get("id", i + 1), r.get("type", "knowledge"), r["name"],
-                    r.get("content", ""), r.get("tags", ""), r.get("meta", "{}"), r.get("pinned", False),
-                    r.get("created", T0), r.get("updated", T0)))
-    return spark.createDataFrame(out, ENTRY_SCHEMA)

@@ -10,7 +10,7 @@ from knowspark.operators import memory as M
 from knowspark.operators import redact as R
 from knowspark.operators import refresh as RF
 
-from conftest import make_entries
+from entry_rows import make_entries
 
 NOW = "2024-06-01 12:00:00"
 
