@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_PIECE = re.compile(r"\\.|\[[^\]]*\]\*?|.", re.S)
 # The home folder's own segment, never indexed; a caller with another home folder passes its name.
 HOME_SEGMENT = ".knowspark"
 # Path segments that are never indexed (case-insensitive).
@@ -76,6 +79,32 @@ def is_excluded(path, home: str = HOME_SEGMENT) -> Column:
     return seg_hit | name_hit | suf_hit
 
 
+def excluded_py(path: str, home: str = HOME_SEGMENT) -> bool:
+    """:func:`is_excluded` for a path at hand (listings of folders)."""
+    parts = [p.lower() for p in path.replace("\\", "/").split("/") if p]
+    name = parts[-1] if parts else ""
+    return not {*EXCLUDED_PATH_SEGMENTS, home.lower()}.isdisjoint(parts) or name in EXCLUDED_FILENAMES or name.endswith(EXCLUDED_SUFFIXES)
+
+
+def path_glob_to_regex(pattern: str) -> str:
+    """A glob over a relative path as an anchored regex: ``*`` and ``?`` stay inside a segment, ``**/`` spans any number of them."""
+    from .text import glob_to_regex
+    out = ""
+    for k, part in enumerate(pattern.split("/")):
+        last = k == pattern.count("/")
+        if part == "**":
+            out += ".*" if last else "(?:[^/]+/)*"
+        else:
+            body = glob_to_regex(part)[len("(?s)^"):-1].replace(".*", "[^/]*")
+            out += "".join("[^/]" if x == "." else x for x in _tokens_of(body)) + ("" if last else "/")
+    return f"(?s)^{out}$"
+
+
+def _tokens_of(regex: str) -> list[str]:
+    """Pieces of a regex: escapes, sets and single characters."""
+    return _PIECE.findall(regex)
+
+
 def is_internal(rel_path, home: str = HOME_SEGMENT) -> Column:
     """Home-folder skip rule: never-index rule or a top-level internal file."""
     segs = F.split(F.translate(_c(rel_path), "\\", "/"), "/")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.json import json_patch
@@ -32,8 +32,12 @@ def refresh_diff(items: DataFrame, current: DataFrame) -> DataFrame:
     """Items with action insert / update / skip against the user store.
 
     An item is skipped when the stored entry's source fingerprint equals the
-    item's (null-safe); the last item of a name in the batch wins.
+    item's (null-safe).  Of several items of one name the last counts: by
+    ``seq`` where the items have it, else the greatest.
     """
+    rest = [F.col(c).desc_nulls_last() for c in ("fingerprint", "content", "tags", "meta", "source_id") if c in items.columns]
+    last = Window.partitionBy("name").orderBy(*([F.col("seq").desc()] if "seq" in items.columns else []), *rest)
+    items = items.withColumn("_rn", F.row_number().over(last)).filter("_rn = 1").drop("_rn")
     old = (current.filter(F.col("store") == "user")
                   .select("name", F.get_json_object(F.coalesce("meta", F.lit("{}")), "$.source_fingerprint")
                           .alias("_old_fp"), F.lit(True).alias("_exists")))

@@ -88,10 +88,12 @@ def _totals(segments: list[dict]) -> dict[str, list[int]]:
 def read(spark: SparkSession, root: str, version: int | None = None) -> ix.Index:
     """The index of a version (the last one if None)."""
     manifest = commits.latest(spark, root)[1] if version is None else commits.at(spark, root, version)
-    return _index(spark, root, manifest["segments"])
+    return _index(spark, root, manifest.get("segments", []))
 
 
 def _index(spark: SparkSession, root: str, segments: list[dict]) -> ix.Index:
+    if not segments:
+        raise ValueError(f"{root} holds no index")
     gone = _gone(spark, root, segments)
     stats = [(s, n, t, t / n) for s, (n, t) in sorted(_totals(segments).items()) if n]
     terms = [ix.read_table(spark, f"{root}/{s['name']}", "terms").withColumn("seg", F.lit(i)) for i, s in enumerate(segments)]
@@ -114,15 +116,39 @@ def _taken(old: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return old.select("store", "id"), undo, ix.store_stats(toks).drop("avgdl")
 
 
-def update(spark: SparkSession, root: str, changes: DataFrame | None, deleted: DataFrame | None, now: str | Column) -> int:
+#: how often a change is tried again after another writer's commit
+TRIES = 5
+
+
+def update(spark: SparkSession, root: str, changes: DataFrame | None, deleted: DataFrame | None, now: str | Column,
+           extra: dict | None = None) -> int:
     """The next version: ``changes`` upserted by (store, name), the names in ``deleted`` removed.
 
     ``changes`` as for :func:`entries.changed_rows`; a name is deleted from the
     user store if it is there, else from the system store, before the changes
     apply.  Only entries that change are read as text, tokenised and written.
+    ``extra`` goes into the manifest beside the segments.
     """
+    for left in reversed(range(TRIES)):
+        version, manifest = commits.latest(spark, root)
+        line = _change(spark, root, manifest["segments"], changes, deleted, now)
+        try:
+            return commits.commit(spark, root, version, {**manifest, **(extra or {}), "segments": [*manifest["segments"], line]})
+        except commits.Conflict:
+            commits.remove(spark, f"{root}/{line['name']}")
+            if not left:
+                raise
+    raise AssertionError
+
+
+def annotate(spark: SparkSession, root: str, extra: dict) -> int:
+    """The next version: the same segments, ``extra`` in the manifest."""
     version, manifest = commits.latest(spark, root)
-    current = _index(spark, root, manifest["segments"]).entries
+    return commits.commit(spark, root, version, {**manifest, **extra})
+
+
+def _change(spark: SparkSession, root: str, segments: list[dict], changes: DataFrame | None, deleted: DataFrame | None, now: str | Column) -> dict:
+    current = _index(spark, root, segments).entries
     draft = f"{root}/draft-{uuid.uuid4().hex}"
     none = current.limit(0).select("store", "name")
     victims = none if deleted is None else E.delete_names(current, deleted)[1]
@@ -136,7 +162,7 @@ def update(spark: SparkSession, root: str, changes: DataFrame | None, deleted: D
     old = spark.read.schema(old.schema).parquet(f"{draft}/old")
     line = _write(spark, root, rows, *_taken(old))
     commits.remove(spark, draft)
-    return commits.commit(spark, root, version, {"segments": [*manifest["segments"], line]})
+    return line
 
 
 def compact(spark: SparkSession, root: str, first: int = 0) -> int:
@@ -157,9 +183,9 @@ def compact(spark: SparkSession, root: str, first: int = 0) -> int:
             [(s, held.get(s, (0, 0))[0] - total.get(s, [0, 0])[0], held.get(s, (0, 0))[1] - total.get(s, [0, 0])[1]) for s in {*held, *total}],
             "store string, n_docs long, n_tokens long")
     line = _write(spark, root, merged.entries.select(*ENTRY_COLUMNS), gone, undo, undo_stats)
-    return commits.commit(spark, root, version, {"segments": [*head, line]})
+    return commits.commit(spark, root, version, {**manifest, "segments": [*head, line]})
 
 
 def prune(spark: SparkSession, root: str, keep: int = 10) -> list[str]:
     """Delete versions before the last ``keep``, and the segments that only they name."""
-    return commits.prune(spark, root, keep, lambda m: [s["name"] for s in m["segments"]])
+    return commits.prune(spark, root, keep, lambda m: [*[s["name"] for s in m["segments"]], *m.get("states", {}).values(), *m.get("alerts", [])])

@@ -6,14 +6,17 @@ from a fixed template list, bytes = UTF-8 of the html).
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions.text import text_stats
 from ..operators import files as FL
 from ..session import scratch_path
+from ..sources import files as FI
 from . import oracle as O
 from . import views as V
+from .transcript_queries import STRIP, _render, rendered_sql
 
 # Test-view rule: relative path of a page by page_id % 12.
 REL_TEMPLATES = ["site/{id}.html", "notes/{id}.md", "notes/{id}.txt", "docs/{id}.pdf", "img/{id}.png",
@@ -167,17 +170,38 @@ def q_encoding_detect(spark, sf):
 
 
 def q_src_text_files(spark, sf):
-    """Write documents as one text file per source folder, scan them back as items."""
+    """Documents written as one file each, scanned back over two roots that overlap."""
     out = scratch_path(spark, "notes")
     d = V.table(spark, sf, "documents")
-    d.select("source", "text").write.partitionBy("source").text(out)
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.txt").load(out))
-    files = files.filter(~P.is_excluded("path"))
-    return files.select(
-        F.concat(F.lit("observed/notes/"), P.path_key(F.regexp_replace("path", "^file:", ""))).alias("name"),
-        FL.decode_utf8("content").alias("content"),
-        F.concat_ws(":", (F.unix_micros("modificationTime") * 1000).cast("string"), F.col("length").cast("string")).alias("fingerprint"))
+    d.select("lang", "doc_id", "text").repartition("lang", "doc_id").write.partitionBy("lang", "doc_id").text(out)
+    folder = out.replace("file:", "", 1)
+    items = FI.text_items(spark, "notes", {"path": [folder, f"{folder}/lang=*"], "patterns": ["**/*.txt", "**/part-*"],
+                                           "exclude_patterns": ["*.crc"], "extra_tags": [" notes ", ""]}, ["*.md"], "markdown_dir")
+    number = F.regexp_extract("name", r"doc_id=(\d+)/", 1).cast("long")
+    parts = F.split("fingerprint", ":")
+    return items.select(number.alias("doc_id"), F.md5("content").alias("content_md5"), "tags", parts[1].cast("long").alias("size"))
+
+
+def q_src_incremental(spark, sf):
+    """Second scan of transcript files: unchanged, grown, shrunk and new ones against a stored state."""
+    out = scratch_path(spark, "sessions")
+    lines = _render(spark, sf, "codex").withColumn("conv", F.regexp_extract("stem", r"(\d+)", 1).cast("long"))
+    lines.repartition("conv").sortWithinPartitions("conv", "line_no").select("conv", "value").write.partitionBy("conv").text(out)
+    conv = lambda c: F.regexp_extract(c, r"conv=(\d+)/", 1).cast("long")
+    files = FI.listing(spark, out.replace("file:", "", 1), ["**/*.txt"])
+    of = files.withColumn("conv", conv("path"))
+    w = Window.partitionBy("conv").orderBy("line_no")
+    read = lines.withColumn("i", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv")))
+    half = read.groupBy("conv").agg(F.sum(F.when(F.col("i") <= F.floor(F.col("n") / 2), F.octet_length("value") + 1).otherwise(0)).alias("bytes"),
+                                    F.floor(F.max("n") / 2).cast("long").alias("lines"), F.max("n").alias("n"))
+    m = F.col("conv") % 4
+    state = of.join(half, "conv").filter(m != 3).select(
+        FI.file_key("path").alias("file_key"),
+        F.when(m == 0, F.col("length")).when(m == 1, F.col("bytes")).otherwise(F.col("length") + 10).cast("long").alias("offset"),
+        F.col("mtime_ns").alias("mtime"), F.when(m == 0, F.col("n")).otherwise(F.col("lines")).cast("long").alias("line_no"))
+    items, new = FI.scan_transcripts(files, state, "codex-sessions", "codex", range_bytes=4096)
+    rows = items.select(conv("source_path").alias("conv_id"), "line_no", "role", F.md5("content").alias("value"))
+    return rows.unionByName(new.select(conv("file_key").alias("conv_id"), "line_no", F.lit("state").alias("role"), F.col("offset").cast("string").alias("value")))
 
 
 def queries():
@@ -186,7 +210,7 @@ def queries():
             "src_pattern_filter": q_src_pattern_filter, "folder_inventory": q_folder_inventory,
             "name_keys": q_name_keys, "tag_compose": q_tag_compose, "fingerprints": q_fingerprints,
             "extract_code": q_extract_code, "text_stats": q_text_stats, "encoding_detect": q_encoding_detect,
-            "src_text_files": q_src_text_files}
+            "src_text_files": q_src_text_files, "src_incremental": q_src_incremental}
 
 
 def oracle():
@@ -248,4 +272,13 @@ FROM (SELECT CASE WHEN string_split(rel, '/')[1] = '.absorber' THEN 'absorb' WHE
     return {"absorb_classify": absorb, "observe_files": observe, "sync_route": route, "export_plan": export,
             "blob_dedup": blobs, "blob_stats": f"SELECT count(*) AS count, round(sum(size) / 1000000, 1) AS size_mb FROM ({blobs})",
             "src_pattern_filter": pattern, "folder_inventory": inventory, "name_keys": names, "tag_compose": tags,
-            "fingerprints": fps, "extract_code": code, "text_stats": stats, "encoding_detect": enc}
+            "fingerprints": fps, "extract_code": code, "text_stats": stats, "encoding_detect": enc,
+            "src_text_files": """SELECT doc_id, md5(text || chr(10)) AS content_md5, 'markdown_dir,notes,notes' AS tags,
+  CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size FROM documents""",
+            "src_incremental": f"""
+WITH l AS (SELECT conv_id, turn, role, {STRIP} AS text, octet_length(encode({rendered_sql()})) + 1 AS bytes,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id, CAST(i AS BIGINT) AS line_no, role, md5(text) AS value FROM l
+WHERE role IN ('user', 'assistant') AND NOT (role = 'assistant' AND turn % 4 = 3) AND text <> ''
+  AND conv_id % 4 <> 0 AND (conv_id % 4 <> 1 OR i > n // 2)
+UNION ALL SELECT conv_id, CAST(max(n) AS BIGINT), 'state', CAST(CAST(sum(bytes) AS BIGINT) AS VARCHAR) FROM l GROUP BY conv_id"""}

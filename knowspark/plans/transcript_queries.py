@@ -66,9 +66,7 @@ def _render(spark, sf, fmt: str):
 def _q(fmt, **opts):
     def run(spark, sf):
         t = TR.turns(_render(spark, sf, fmt), "transcripts", fmt if fmt != "gemini" else "gemini_antigravity", **opts)
-        return t.select("file_key", "line_no", "role", F.col("content").alias("text")) if False else \
-            t.select(F.regexp_extract("key", r"^(.*)#", 1).alias("file_key"), "line_no", "role",
-                     F.col("content").alias("text"))
+        return t.select(F.regexp_extract("key", r"^(.*)#", 1).alias("file_key"), "line_no", "role", F.col("content").alias("text"))
     return run
 
 
@@ -127,6 +125,17 @@ def _expected(where: str, role: str = "role", text: str = STRIP) -> str:
             f"{role} AS role, {text} AS text FROM conversations WHERE {where}) WHERE text <> ''")
 
 
+def rendered_sql() -> str:
+    """The codex rendering of a conversation row."""
+    def text(t: str) -> str:
+        return f"CAST(to_json({t}) AS VARCHAR)"
+    said = f"CASE WHEN turn % 4 = 3 THEN '[external_agent_tool_call: Read] ' || text ELSE text END"
+    return f"""CASE role
+    WHEN 'user' THEN '{{"session_id":"s' || CAST(conv_id AS VARCHAR) || '","ts":' || CAST(turn AS VARCHAR) || ',"text":' || {text("text")} || '}}'
+    WHEN 'assistant' THEN '{{"type":"event_msg","payload":{{"type":"agent_message","message":' || {text(said)} || '}}}}'
+    ELSE '{{"type":"response_item","payload":{{"type":"message","role":"developer","content":' || {text("text")} || '}}}}' END"""
+
+
 def oracle():
     ua = "role IN ('user', 'assistant')"
     return {

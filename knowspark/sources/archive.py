@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tail import excluded_path
+from ..functions.paths import excluded_py
 
 LINE_SCHEMA = "file_key string, display_path string, stem string, line_no long, value string"
 
@@ -32,7 +32,7 @@ def _explode_archives(inner: str, key_by: str):
                 zkey = os.path.basename(p) if key_by == "name" else p.lstrip("/")
                 try:
                     zf = zipfile.ZipFile(io.BytesIO(bytes(content)))
-                    names = sorted(n for n in zf.namelist() if fnmatch.fnmatch(n, inner) and not excluded_path(n))
+                    names = sorted(n for n in zf.namelist() if fnmatch.fnmatch(n, inner) and not excluded_py(n))
                     for n in names:
                         data = zf.read(n).decode("utf-8", "replace")
                         # only \n ends a line: other line separators may stand inside JSON strings

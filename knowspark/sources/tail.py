@@ -20,22 +20,13 @@ import os
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from ..functions.paths import EXCLUDED_FILENAMES, EXCLUDED_PATH_SEGMENTS, EXCLUDED_SUFFIXES
+from ..functions.paths import excluded_py
 
 SCHEMA = "file_key string, display_path string, stem string, line_no long, value string"
 HEAD_BYTES = 1024
 CHUNK = 1 << 20
 
 
-def excluded_path(path: str) -> bool:
-    """Driver-side twin of the never-index rule, applied to file listings."""
-    parts = [p.lower() for p in path.replace("\\", "/").split("/") if p]
-    if any(p in EXCLUDED_PATH_SEGMENTS for p in parts):
-        return True
-    name = parts[-1] if parts else ""
-    return name in EXCLUDED_FILENAMES or name.endswith(EXCLUDED_SUFFIXES)
-
-
 def _head_hash(path: str, n: int) -> str:
     """Hash of both ends of the ``n`` consumed bytes: a file that was rewritten
     differs there (its first bytes, or what stands just before the offset)."""
@@ -84,7 +75,7 @@ class JsonlTailReader(DataSourceStreamReader):
         seen = []
         for pat in self.patterns:
             for f in sorted(glob.glob(os.path.expanduser(pat), recursive=True)):
-                if f not in seen and os.path.isfile(f) and not excluded_path(f) and not f.endswith(".zip"):
+                if f not in seen and os.path.isfile(f) and not excluded_py(f) and not f.endswith(".zip"):
                     seen.append(f)
         return seen
 

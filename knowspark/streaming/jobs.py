@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..operators import files as FL
+from ..operators import observe as OB
 from ..operators import redact as R
 from ..session import ensure_checkpoint_dir
 from ..sources import tail as TAIL
@@ -31,6 +32,17 @@ def _batch_writer(out: str):
     return write
 
 
+def _batch_upsert(root: str, source_id: str, kind: str):
+    """Upsert each batch into the entry store at ``root``; the store remembers the batch, so a replay changes nothing."""
+    def write(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        kinds = spark.createDataFrame([(source_id, kind)], "source_id string, kind string")
+        now = spark.sql("select cast(current_timestamp() as timestamp_ntz)").first()[0]
+        items = df.withColumn("seq", F.col("line_no")) if "line_no" in df.columns else df
+        OB.upsert_batch(spark, root, items, kinds, str(now), source_id, batch_id)
+    return write
+
+
 def transcript_turns_stream(spark: SparkSession, paths: list[str], source_id: str, fmt: str = "claude_code",
                             key_by: str = "path", **opts) -> DataFrame:
     """Streaming DataFrame of redacted turn items from growing JSONL files."""
@@ -41,11 +53,12 @@ def transcript_turns_stream(spark: SparkSession, paths: list[str], source_id: st
 
 
 def stream_transcripts(spark: SparkSession, paths: list[str], source_id: str, out: str,
-                       checkpoint: str | None = None, fmt: str = "claude_code", available_now: bool = True, **opts):
-    """Start the transcript job; returns the StreamingQuery."""
+                       checkpoint: str | None = None, fmt: str = "claude_code", available_now: bool = True,
+                       upsert: bool = False, **opts):
+    """Start the transcript job; returns the StreamingQuery.  ``upsert``: ``out`` is an entry store, else a folder of batches."""
     ck = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{source_id}"
     q = transcript_turns_stream(spark, paths, source_id, fmt, **opts).writeStream \
-        .foreachBatch(_batch_writer(out)).option("checkpointLocation", ck)
+        .foreachBatch(_batch_upsert(out, source_id, "agent_transcripts") if upsert else _batch_writer(out)).option("checkpointLocation", ck)
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="30 seconds")
     return q.start()
 

@@ -47,6 +47,36 @@ def test_tail_append_partial_line_and_truncation(spark):
 
 
 def test_excluded_paths_never_listed():
-    from knowspark.sources.tail import excluded_path
-    assert excluded_path("/home/u/.ssh/x.jsonl") and excluded_path("C:\\CREDENTIALS\\a.jsonl")
-    assert not excluded_path("/home/u/sessions/a.jsonl")
+    from knowspark.functions.paths import excluded_py
+    assert excluded_py("/home/u/.ssh/x.jsonl") and excluded_py("C:\\CREDENTIALS\\a.jsonl") and excluded_py("/u/.knowspark/s.jsonl")
+    assert not excluded_py("/home/u/sessions/a.jsonl")
+
+
+def test_stream_upserts_once_and_replays_change_nothing(spark, tmp_path):
+    from entry_rows import make_entries
+
+    from knowspark.operators import commits
+    from knowspark.operators import observe as OB
+    from knowspark.operators import segments as SG
+
+    src, root = tmp_path / "src", str(tmp_path / "store")
+    src.mkdir()
+    SG.create(make_entries(spark, [{"name": "note/a", "content": "old words"}]), root)
+    with open(src / "s.jsonl", "w") as f:
+        f.write(_line("u1", "first turn") + _line("u2", "second turn"))
+
+    def run():
+        q = J.stream_transcripts(spark, [str(src / "*.jsonl")], "live", root, checkpoint=str(tmp_path / "ck"), upsert=True)
+        assert q.awaitTermination(120)
+        return {r["name"].rsplit("/", 1)[1]: r["content"] for r in SG.read(spark, root).entries.filter("type = 'observed'").collect()}
+
+    assert run() == {"u1": "first turn", "u2": "second turn"}
+    with open(src / "s.jsonl", "a") as f:
+        f.write(_line("u3", "third turn"))
+    assert run() == {"u1": "first turn", "u2": "second turn", "u3": "third turn"}
+    version, manifest = commits.latest(spark, root)
+    items = spark.createDataFrame([("live", "k", "observed/live/x", "late", "t", "{}", "f", "p", 1)],
+                                  "source_id string, key string, name string, content string, tags string, meta string, fingerprint string, source_path string, seq int")
+    kinds = spark.createDataFrame([("live", "agent_transcripts")], "source_id string, kind string")
+    assert not OB.upsert_batch(spark, root, items, kinds, "2024-01-01 00:00:00", "live", max(manifest["batches"].values()))
+    assert commits.latest(spark, root)[0] == version
