@@ -13,6 +13,12 @@ def json_fields(text: Column | str) -> Column:
     return F.coalesce(parsed, F.create_map().cast("map<string,variant>"))
 
 
+def dig(variant: Column | str, path: str) -> Column:
+    """The value at a dotted path as text; null where a step is missing."""
+    v = F.col(variant) if isinstance(variant, str) else variant
+    return F.try_variant_get(v, path if path.startswith("$") else "$." + path, "string")
+
+
 def json_patch(text: Column | str, values: dict[str, Column]) -> Column:
     """JSON object text with the fields of ``values`` set; all others keep their value and type.
 

@@ -127,6 +127,35 @@ def glob_to_regex(pattern: str) -> str:
     return "(?s)^" + "".join(out) + "$"
 
 
+#: What surrounds a hit in a snippet.
+MARKS = (">>>", "<<<")
+
+
+def snippet_markup(snippet: Column | str, before: str = "<mark>", after: str = "</mark>") -> Column:
+    """A snippet as markup: its text escaped, its hit marks replaced by tags."""
+    s = F.col(snippet) if isinstance(snippet, str) else snippet
+    for c, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        s = F.replace(s, F.lit(c), F.lit(name))
+    for mark, tag in zip(MARKS, (before, after)):
+        s = F.replace(s, F.lit(mark.replace("<", "&lt;").replace(">", "&gt;")), F.lit(tag))
+    return s
+
+
+_CODE = r"(?s)```python\s*\n(.*?)```"
+
+
+def first_code_block(c: Column | str) -> Column:
+    """Text of the first fenced python block without white space around it; null if there is none."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.rlike(_CODE), F.regexp_replace(F.regexp_extract(c, _CODE, 1), r"^\s+|\s+$", ""))
+
+
+def tags_with(fixed: Column, extra: Column) -> Column:
+    """Fixed tags with those of an array after them, trimmed, blank ones left out."""
+    listed = F.filter(F.transform(extra, lambda t: F.trim(t)), lambda t: t != "")
+    return F.concat(fixed, F.when(F.size(listed) > 0, F.concat(F.lit(","), F.array_join(listed, ","))).otherwise(F.lit("")))
+
+
 def text_stats(c: Column | str) -> dict[str, Column]:
     """Line/word/char counts, first five lines, 300-char preview, >50,000 flag."""
     c = F.col(c) if isinstance(c, str) else c

@@ -136,7 +136,7 @@ def folder_inventory(files: DataFrame, first: int = 50) -> DataFrame:
 
 def file_facts(files: DataFrame) -> DataFrame:
     return files.select("path", P.basename("path").alias("name"), F.col("length").alias("size"),
-                        F.format_string("%.1f KB", F.col("length") / 1024).alias("size_human"),
+                        F.format_string("%.1f KB", F.bround(F.col("length") / 1024, 1)).alias("size_human"),
                         P.suffix("path").alias("extension"))
 
 

@@ -126,7 +126,9 @@ def recall(index: Index, queries, limit: int = 5) -> tuple[DataFrame, DataFrame]
         parts.append(h.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).drop("_rn"))
     if bad:
         cond = F.array(*[F.when(S.like_condition(q, ("name", "content")), F.lit(qid)) for qid, q in bad.items()])
-        lk = mem.withColumn("qid", F.explode(cond)).filter(F.col("qid").isNotNull()).withColumn("rank", F.lit(0.0))
+        # rows without an answer end before the explode
+        lk = mem.withColumn("_qids", F.filter(cond, lambda x: x.isNotNull())).filter(F.size("_qids") > 0)
+        lk = lk.withColumn("qid", F.explode("_qids")).drop("_qids").withColumn("rank", F.lit(0.0))
         w = Window.partitionBy("qid", "type").orderBy(F.col("id").asc())
         parts.append(lk.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).drop("_rn"))
     if not parts:
@@ -192,7 +194,7 @@ def consolidate_stats(result: DataFrame) -> DataFrame:
 def retention_curve(entries: DataFrame, cycles: int = 10) -> DataFrame:
     """Closed form of repeated consolidation: weight after ``cycles`` and the
     first cycle at which the row would be forgotten (null if never)."""
-    m = entries.filter(F.col("type").isin(*MEMORY_TYPES) & ~F.col("pinned"))
+    m = entries.filter((F.col("store") == "user") & F.col("type").isin(*MEMORY_TYPES) & ~F.col("pinned"))
     w = meta_double("weight", DEFAULT_WEIGHT)
     r = meta_double("decay_rate", DEFAULT_DECAY)
     n = F.when((r >= 1) | (r <= 0), F.lit(None)).otherwise(

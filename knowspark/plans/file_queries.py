@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..functions.text import text_stats
+from ..functions.text import first_code_block, tags_with, text_stats
 from ..operators import files as FL
 from ..session import scratch_path
 from ..sources import files as FI
@@ -124,10 +124,8 @@ def q_name_keys(spark, sf):
 def q_tag_compose(spark, sf):
     d = V.table(spark, sf, "documents")
     extra = F.array(F.lit("  x "), F.lit(""), F.col("lang"))
-    cleaned = F.filter(F.transform(extra, lambda t: F.trim(t)), lambda t: t != "")
-    suffix = F.when(F.size(cleaned) > 0, F.concat(F.lit(","), F.array_join(cleaned, ","))).otherwise(F.lit(""))
     return d.select("doc_id",
-                    F.concat(F.lit("markdown_dir,"), "source", suffix).alias("file_tags"),
+                    tags_with(F.concat(F.lit("markdown_dir,"), "source"), extra).alias("file_tags"),
                     F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("task,"), "lang")).otherwise(F.lit("task")).alias("task_tags"),
                     F.concat(F.lit("lesson,"), F.when(F.col("n_chars") > 2000, "high").otherwise("low"),
                              F.lit(","), "source").alias("lesson_tags"))
@@ -137,8 +135,7 @@ def q_fingerprints(spark, sf):
     f = home_files(spark, sf)
     row_fp = F.substring(F.sha2(F.concat_ws("|", F.col("page_id").cast("string"), F.col("page_id").cast("string"),
                                             F.coalesce("rel", F.lit("None"))), 256), 1, 16)
-    file_fp = F.concat_ws(":", (F.unix_micros(F.col("modificationTime").cast("timestamp")) * 1000).cast("string"),
-                          F.col("length").cast("string"))
+    file_fp = FI.file_fingerprint(F.unix_micros(F.col("modificationTime").cast("timestamp")) * 1000, "length")
     return f.select("page_id", FL.blob_hash("content").alias("content_hash"), row_fp.alias("row_fp"),
                     file_fp.alias("file_fp"))
 
@@ -149,9 +146,11 @@ def q_extract_code(spark, sf):
     content = F.when(F.col("doc_id") % 5 == 0,
                      F.concat(F.lit("intro\n```python  \n"), first, F.lit("\n```\nrest\n```python\nsecond\n```")))\
                .otherwise(F.col("text"))
-    code = F.regexp_extract(content, r"(?s)```python\s*\n(.*?)```", 1)
-    has = content.rlike(r"(?s)```python\s*\n(.*?)```")
-    return d.select("doc_id", F.when(has, F.regexp_replace(code, r"^\s+|\s+$", "")).alias("code"))
+    return d.select("doc_id", first_code_block(content).alias("code"))
+
+
+def q_file_facts(spark, sf):
+    return FL.file_facts(home_files(spark, sf))
 
 
 def q_text_stats(spark, sf):
@@ -210,7 +209,8 @@ def queries():
             "src_pattern_filter": q_src_pattern_filter, "folder_inventory": q_folder_inventory,
             "name_keys": q_name_keys, "tag_compose": q_tag_compose, "fingerprints": q_fingerprints,
             "extract_code": q_extract_code, "text_stats": q_text_stats, "encoding_detect": q_encoding_detect,
-            "src_text_files": q_src_text_files, "src_incremental": q_src_incremental}
+            "src_text_files": q_src_text_files, "src_incremental": q_src_incremental,
+            "file_facts": q_file_facts}
 
 
 def oracle():
@@ -273,6 +273,8 @@ FROM (SELECT CASE WHEN string_split(rel, '/')[1] = '.absorber' THEN 'absorb' WHE
             "blob_dedup": blobs, "blob_stats": f"SELECT count(*) AS count, round(sum(size) / 1000000, 1) AS size_mb FROM ({blobs})",
             "src_pattern_filter": pattern, "folder_inventory": inventory, "name_keys": names, "tag_compose": tags,
             "fingerprints": fps, "extract_code": code, "text_stats": stats, "encoding_detect": enc,
+            "file_facts": f"""SELECT path, b AS name, length AS size, printf('%.1f KB', length / 1024.0) AS size_human, sfx AS extension
+FROM ({_with_sfx(FILES_SQL, 'path')})""",
             "src_text_files": """SELECT doc_id, md5(text || chr(10)) AS content_md5, 'markdown_dir,notes,notes' AS tags,
   CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size FROM documents""",
             "src_incremental": f"""

@@ -194,6 +194,37 @@ def q_snippet(spark, sf):
     return r.select("qid", "pos", "store", "id", "snippet")
 
 
+#: A bad limit, one beyond the bound, blank queries and white space around words, as a user may type them.
+BOUNDED = {1: " the moron ", 2: "aux.", 3: "  ", 4: ""}
+
+
+def q_find_bounded(spark, sf):
+    idx = _index(spark, sf)
+    cols = ["qid", "pos", "store", "id", "snippet"]
+    a = S.find_bounded(idx, BOUNDED, limit="many").select(*cols, F.lit("bad").alias("asked"))
+    return a.unionByName(S.find_bounded(idx, {1: BOUNDED[1]}, limit=1000).select(*cols, F.lit("large").alias("asked")))
+
+
+def _snippet_sql(queries: dict, k: int, asked: str | None = None) -> str:
+    """Snippets of the words' hits in the rows that ``find`` returns for plain words; rows found as substrings have none."""
+    from ..functions.text import TOKEN_PATTERN, tokens_py
+    words = " ".join(f"WHEN {qid} THEN [" + ", ".join(O._q(t) for t in tokens_py(q)) + "]" for qid, q in queries.items())
+    token = O._q(TOKEN_PATTERN)
+    find = _find_sql(queries, k)
+    return f"""
+WITH f AS ({find}), t AS (
+  SELECT f.qid, f.pos, f.stage, f.store, f.id, regexp_extract_all(coalesce(d.text, c.text, b.text, ''), {token}) AS r
+  FROM f LEFT JOIN documents d ON f.store = 'user' AND d.doc_id = f.id
+  LEFT JOIN conversations c ON f.store = 'user' AND 1000000000 + c.conv_id * 100 + c.turn = f.id
+  LEFT JOIN benchmark b ON f.store = 'system' AND b.item_id = f.id),
+m AS (SELECT *, list_transform(r, lambda x: CASE WHEN list_contains(CASE qid {words} END, strip_accents(lower(x))) THEN 1 ELSE 0 END) AS h FROM t),
+w AS (SELECT *, len(r) AS n, list_transform(range(0, greatest(len(r) - 16, 0) + 1), lambda s: coalesce(list_sum(list_slice(h, s + 1, s + 16)), 0)) AS sc FROM m),
+p AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE list_position(sc, list_max(sc)) - 1 END AS s FROM w)
+SELECT qid, pos, store, id, CASE WHEN stage < 3 THEN CASE WHEN s > 0 THEN '… ' ELSE '' END || array_to_string(
+    list_transform(range(s, least(s + 16, n)), lambda i: CASE WHEN h[i + 1] = 1 THEN '>>>' || r[i + 1] || '<<<' ELSE r[i + 1] END), ' ')
+    || CASE WHEN s + 16 < n THEN ' …' ELSE '' END END AS snippet{f", '{asked}' AS asked" if asked else ""} FROM p"""
+
+
 def q_list_entries(spark, sf):
     return S.list_entries(V.entries(spark, sf), None, 50).select("pos", "store", "id", "name")
 
@@ -320,6 +351,7 @@ EXTRA = {
     "find_like": q_find_like,
     "find_like_any": q_find_like_any,
     "snippet": q_snippet,
+    "find_bounded": q_find_bounded,
     "list_entries": q_list_entries,
     "get_by_name": q_get_by_name,
 }
@@ -343,6 +375,9 @@ def oracle() -> dict[str, str]:  # noqa: F811
         "find_like": _like_only_sql(LIKE_QUERIES),
         "find_like_any": _like_only_sql(LIKE_ANY_QUERIES),
         "list_entries": _list_sql(50),
+        "snippet": _snippet_sql({1: "the moron", 2: "aux."}, FIND_LIMIT),
+        "find_bounded": "SELECT * FROM (" + _snippet_sql({1: "the moron", 2: "aux."}, 20, "bad") + ") UNION ALL SELECT * FROM ("
+                        + _snippet_sql({1: "the moron"}, 100, "large") + ")",
         "get_by_name": _get_sql(),
     })
     return o

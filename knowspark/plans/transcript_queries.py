@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.json import dig, json_fields
 from ..session import scratch_path
 from ..sources import transcripts as TR
 from . import views as V
@@ -90,16 +91,15 @@ def q_src_transcripts(spark, sf):
 def q_json_dig(spark, sf):
     d = _render(spark, sf, "codex").withColumn("v", F.try_parse_json("value"))
     return d.select("file_key", "line_no",
-                    F.try_variant_get("v", "$.payload.type", "string").alias("payload_type"),
-                    F.try_variant_get("v", "$.session_id", "string").alias("session_id"),
-                    F.try_variant_get("v", "$.payload.missing.deeper", "string").alias("missing"))
+                    dig("v", "payload.type").alias("payload_type"), dig("v", "session_id").alias("session_id"),
+                    dig("v", "payload.missing.deeper").alias("missing"))
 
 
 def q_meta_tolerant(spark, sf):
     e = V.docs_entries(spark, sf)
     e = e.withColumn("meta", F.when(F.col("id") % 10 == 3, F.lit("{broken")).otherwise(F.col("meta")))
-    m = F.coalesce(F.from_json("meta", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    return e.select("id", F.element_at(m, "source_id").alias("source_id"), F.element_at(m, "lang").alias("lang"),
+    m = json_fields("meta")
+    return e.select("id", F.element_at(m, "source_id").cast("string").alias("source_id"), F.element_at(m, "lang").cast("string").alias("lang"),
                     F.size(m).cast("long").alias("n_keys"))
 
 

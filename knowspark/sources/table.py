@@ -59,6 +59,37 @@ def table_items(df: DataFrame, source_id: str, table: str, content, id: str | No
         F.lit(db_path).alias("source_path"))
 
 
+def _other_host(host: str, self_host: str) -> str:
+    host, me = (host or "").strip(), (self_host or "").strip()
+    if not me:
+        raise ValueError("own host name is blank")
+    if not host or host.lower() == me.lower():
+        raise ValueError(f"{host!r} is the own host, whose replica would double its entries")
+    return host
+
+
+def memory_replica_sources(host: str, self_host: str, path: str, prefix: str) -> list[dict]:
+    """Sources for the four tables of another host's memory database, switched off until someone enables them.
+
+    ``path``: where the replica is; ``prefix`` begins the tables' names.
+    """
+    slug = _other_host(host, self_host).lower()
+    # The columns of the four tables.
+    tables = {"facts": {"id": "id", "name": "key", "content": "value", "tags": "category"},
+              "lessons": {"id": "id", "name": "title", "content": ["problem", "solution"], "tags": "category"},
+              "working": {"id": "id", "content": "content", "tags": "tags"},
+              "sessions": {"id": "id", "name": "current_task", "content": "handoff_notes"}}
+    return [{"source_id": f"replica-{slug}-{prefix}-{t}", "kind": "sqlite_table", "enabled": False,
+             "params": {"path": f"{path.rstrip('/')}/{prefix}_{t}", "table": f"{prefix}_{t}", "columns": columns}} for t, columns in tables.items()]
+
+
+def entries_replica_source(host: str, self_host: str, path: str, name: str = "entries") -> dict:
+    """Source for another host's whole entry table, switched off until someone enables it."""
+    slug = _other_host(host, self_host).lower()
+    return {"source_id": f"replica-{slug}-{name}", "kind": "sqlite_table", "enabled": False,
+            "params": {"path": path, "table": name, "columns": {"id": "id", "name": "name", "content": "content", "tags": "tags"}}}
+
+
 def replica_items(tables: dict[str, DataFrame], self_host: str, source_prefix: str, table: str,
                   **mapping) -> DataFrame:
     """Union of one table replicated on several hosts.

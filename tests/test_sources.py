@@ -134,3 +134,56 @@ def test_refresh_job_isolates_a_broken_source(spark, tmp_path):
     assert OB.alerts(spark, root).count() == 1
     OB.forget_source(spark, root, "chat")
     assert run()["chat"] == (0, 3, 0, 0, 0)
+
+
+def test_replica_presets_refuse_the_own_host(spark, tmp_path):
+    from knowspark.sources import table as TB
+
+    four = TB.memory_replica_sources("Alpha", "beta", str(tmp_path), "mem")
+    assert [s["source_id"] for s in four] == [f"replica-alpha-mem-{t}" for t in ("facts", "lessons", "working", "sessions")]
+    assert not any(s["enabled"] for s in four) and TB.entries_replica_source("alpha", "beta", "/x")["source_id"] == "replica-alpha-entries"
+    for host, me in (("beta", "BETA"), ("", "beta"), ("alpha", " ")):
+        with pytest.raises(ValueError):
+            TB.memory_replica_sources(host, me, "/x", "mem")
+    spark.createDataFrame([(1, "c", "title", "what broke", "what helped")], "id int, category string, title string, problem string, solution string") \
+        .write.parquet(str(tmp_path / "mem_lessons"))
+    root = str(tmp_path / "store")
+    SG.create(make_entries(spark, [{"name": "own", "content": "mine"}]), root)
+    rows = OB.observe(spark, root, [{**s, "enabled": s["source_id"].endswith("lessons")} for s in four], NOW).collect()
+    assert [(r["source_id"], r["indexed"], r["errors"]) for r in rows] == [("replica-alpha-mem-lessons", 1, 0)]
+    assert SG.read(spark, root).entries.filter("type = 'observed'").first()["content"] == "title\n\nwhat broke\n\nwhat helped"
+
+
+def test_files_are_written_all_or_none(spark, tmp_path):
+    import hashlib
+
+    from knowspark.sources.file_sink import write_files
+
+    dest = str(tmp_path / "out")
+    os.makedirs(dest)
+    df = spark.range(40).select(F.concat(F.lit("f"), "id", F.lit(".txt")).alias("filename"), F.repeat(F.col("id").cast("string"), 50).alias("content"))
+    write_files(df.repartition(5), dest)
+    want = {r["filename"]: r["h"] for r in df.select("filename", F.sha2("content", 256).alias("h")).collect()}
+    assert {f: hashlib.sha256(open(f"{dest}/{f}", "rb").read()).hexdigest() for f in os.listdir(dest)} == want
+    bad = [df.limit(5).unionByName(spark.createDataFrame([("../x", "y")], "filename string, content string")),
+           spark.createDataFrame([("same", "1"), ("same", "2")], "filename string, content string").repartition(2),
+           df.select(F.concat(F.lit("n"), "filename").alias("filename"), F.when(F.col("filename") == "f7.txt", F.raise_error(F.lit("no"))).otherwise(F.col("content")).alias("content"))]
+    for b in bad:
+        with pytest.raises(Exception):
+            write_files(b, dest)
+        assert set(os.listdir(dest)) == set(want)
+    write_files(spark.createDataFrame([("f0.txt", "new")], "filename string, content string"), dest, keep=True)
+    assert open(f"{dest}/f0.txt").read() == "0" * 50
+    write_files(spark.createDataFrame([("f0.txt", "new")], "filename string, content string"), dest)
+    assert open(f"{dest}/f0.txt").read() == "new"
+
+
+def test_snippet_markup_and_helpers(spark):
+    from knowspark.functions.json import dig
+    from knowspark.functions.text import first_code_block, snippet_markup, tags_with
+
+    df = spark.createDataFrame([("a & b >>>hit<<< <i> \"q\"", "x\n```python \n  f(1)\n```\n```python\ng()\n```", '{"a":{"b":[1]}}')], "s string, c string, j string")
+    r = df.select(snippet_markup("s").alias("s"), first_code_block("c").alias("c"), dig(F.parse_json("j"), "a.b").alias("d"),
+                  dig(F.parse_json("j"), "a.x.y").alias("n"), tags_with(F.lit("k"), F.array(F.lit(" x "), F.lit(""))).alias("t")).first()
+    assert r["s"] == 'a &amp; b <mark>hit</mark> &lt;i&gt; &quot;q&quot;'
+    assert r["c"] == "f(1)" and r["d"] == "[1]" and r["n"] is None and r["t"] == "k,x"
