@@ -31,6 +31,23 @@ def entry_id(store: Column | str = "store", name: Column | str = "name") -> Colu
                       F.col(name) if isinstance(name, str) else name)
 
 
+def _identified(rows: DataFrame, current: DataFrame) -> DataFrame:
+    """Add ``id``: that of the stored entry, else a hash of the key.
+
+    A new name whose hash another entry of its store has, or a smaller new name
+    of the same batch, gets a second hash instead, so no two names share an id.
+    """
+    rows = rows.withColumn("id", F.coalesce("_old_id", entry_id()))
+    fresh = rows.filter("_old_id is null")
+    wanted = fresh.select("store", "id").distinct()
+    taken = current.select("store", "id").join(wanted, ["store", "id"], "left_semi").withColumn("_taken", F.lit(True))
+    rows = rows.join(taken, ["store", "id"], "left")
+    first = Window.partitionBy("store", "id", F.col("_old_id").isNull()).orderBy("name")
+    clash = F.col("_old_id").isNull() & (F.coalesce("_taken", F.lit(False)) | (F.row_number().over(first) > 1))
+    return rows.withColumn("_clash", clash).withColumn(
+        "id", F.when(F.col("_clash"), F.xxhash64("store", "name", F.lit(1))).otherwise(F.col("id"))).drop("_taken", "_clash")
+
+
 def changed_rows(current: DataFrame, changes: DataFrame, now: str | Column) -> DataFrame:
     """The rows that ``changes`` leaves, one a (store, name); rows that exist keep id and created.
 
@@ -49,9 +66,8 @@ def changed_rows(current: DataFrame, changes: DataFrame, now: str | Column) -> D
         *([F.col("seq").desc()] if "seq" in ch.columns else []), *[F.col(c).desc_nulls_last() for c in rest])
     ch = ch.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
     old = current.select("store", "name", F.col("id").alias("_old_id"), F.col("created").alias("_old_created"))
-    return (ch.join(old, ["store", "name"], "left")
-              .select("store",
-                      F.coalesce("_old_id", entry_id()).alias("id"),
+    return (_identified(ch.join(old, ["store", "name"], "left"), current)
+              .select("store", "id",
                       F.coalesce(F.col("type"), F.lit("knowledge")).alias("type"), "name",
                       F.coalesce(F.col("content"), F.lit("")).alias("content"),
                       F.coalesce(F.col("tags"), F.lit("")).alias("tags"),

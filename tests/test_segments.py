@@ -88,3 +88,19 @@ def test_one_of_two_writers_wins(spark, tmp_path):
     assert commits.commit(spark, root, 1, {"a": "ü"}) == 2
     assert commits.at(spark, root, 2) == {"a": "ü"}
     assert not [f for f in os.listdir(f"{root}/_log") if "draft" in f and not f.endswith(".crc")]
+
+
+def test_names_with_one_hash_get_ids_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(E, "entry_id", lambda *a: F.lit(7).cast("long"))
+    root = str(tmp_path / "index")
+    SG.create(make_entries(spark, [{"name": "old", "content": "stone", "id": 7}, {"name": "old", "content": "wood", "id": 7, "store": "system"}]), root)
+    changes = spark.createDataFrame([(n, "memory", f"{n} words", "", "{}", False, "user", 0) for n in ("b", "a", "old")], CHANGE)
+    SG.update(spark, root, changes, None, "2024-07-01 00:00:00")
+    idx = SG.read(spark, root)
+    rows = {(r["store"], r["name"]): (r["id"], r["content"]) for r in idx.entries.collect()}
+    assert rows["user", "old"] == (7, "old words") and rows["system", "old"] == (7, "wood")
+    ids = [i for (s, _), (i, _) in rows.items() if s == "user"]
+    assert len(set(ids)) == 3
+    hits = S.evaluate(idx, {0: S.parse_match("a"), 1: S.parse_match("b"), 2: S.parse_match("words")})
+    assert sorted((r["qid"], r["id"]) for r in hits.collect()) == sorted(
+        [(0, rows["user", "a"][0]), (1, rows["user", "b"][0])] + [(2, i) for i in ids])
