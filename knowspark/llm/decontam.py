@@ -19,16 +19,19 @@ Texts are compared with letters lower-cased and white space runs as one space.
 
 The benchmark is the query set.  It is sent to the tasks in blocks of at most
 ``MAX_BLOCK`` code points; beyond one block, the documents are read once a block.
+Items over ``PIECE`` code points are cut by Spark into pieces that overlap by
+``OVERLAP`` and are searched like items of that id, so they may have a row a piece.
 
 Defined results: null and empty texts and items match nothing, as do items
-shorter than the lemma can serve (they are matched exactly); rows with a null
-id are searched too; repeated rows and items give repeated findings; empty
-tables give empty results.
+shorter than the lemma can serve (they are matched exactly); documents and items
+with a null id are searched too (the items count as one, null in the finding);
+rows of one document id each have their findings; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -42,6 +45,7 @@ from .common import documents, table
 
 Q, BUDGET, UNIT, LONG, SHORT = 8, 10, 200, 300, 100
 MAX_BLOCK = 4_000_000
+PIECE, OVERLAP = 1_000_000, 10_000
 FILTER_BITS = 23
 SLICE = 2 << 20
 
@@ -90,7 +94,10 @@ class Index:
     """Units of benchmark items: folded code points, postings of their q-grams, budgets and least counts."""
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, budget: int = BUDGET):
-        self.item, self.units, self.offset, self.whole, self.wholes, self.budget = [], [], [], [], [], budget
+        self.number, self.units, self.offset, self.whole, self.wholes, self.budget = [], [], [], [], [], budget
+        #: ids by item number; items without an id have None
+        self.ids = list(dict.fromkeys(i for i, _ in items))
+        number = {i: k for k, i in enumerate(self.ids)}
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             cp, _, _ = normal(raw, np.array([0, len(raw)]))
@@ -105,11 +112,12 @@ class Index:
             if 1 < k and n <= LONG:
                 self.wholes.append(cp)
             for a, e in spans:
-                self.item.append(item)
+                self.number.append(number[item])
                 self.units.append(cp[a:e])
                 self.offset.append(a)
                 self.whole.append(len(self.wholes) - 1 if 1 < k and n <= LONG else -1)
-        self.item = np.array(self.item, np.int64)
+        self.number = np.array(self.number, np.int64)
+        self.item = np.array(self.ids + [0], object)[:-1][self.number]
         self.size = np.array([len(u) for u in self.units], np.int64)
         self.edits = self.size * budget // 100
         least = self.size - q + 1 - self.edits * q
@@ -219,7 +227,7 @@ def align(units: list[np.ndarray], texts: list[np.ndarray], first: np.ndarray, l
 
 
 def search(buf: np.ndarray, off: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, start, end, edits) of the best region of each leaked item; places are code points of the text."""
+    """(text, item id, start, end, edits) of the best region of each leaked item; places are code points of the text."""
     cp, place, at = normal(buf, off)
     text_of = np.repeat(np.arange(len(off) - 1), np.diff(at))
     pos, unit, upos = index.hits(cp)
@@ -228,7 +236,7 @@ def search(buf: np.ndarray, off: np.ndarray, index: Index) -> list[tuple[int, in
     found: dict[tuple[int, int], tuple[int, int, int, int]] = {}
 
     def note(t: int, u: int, a: int, e: int, edits: int, size: int) -> None:
-        key = (t, int(index.item[u]))
+        key = (t, int(index.number[u]))
         if key not in found or (-size, edits, a) < (-found[key][3], found[key][2], found[key][0]):
             found[key] = (a, e, edits, size)
 
@@ -275,23 +283,21 @@ def search(buf: np.ndarray, off: np.ndarray, index: Index) -> list[tuple[int, in
     out = []
     for (t, item), (a, e, edits, _) in sorted(found.items()):
         mine = place[at[t]: at[t + 1]]
-        out.append((t, item, int(mine[a]), int(mine[e - 1]) + 1, edits))
+        out.append((t, index.ids[item], int(mine[a]), int(mine[e - 1]) + 1, edits))
     return out
 
 
-def blocks(benchmark: DataFrame, most: int = MAX_BLOCK) -> list[Index]:
-    """Indexes of the benchmark's blocks, each of at most about ``most`` code points."""
-    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null and item_id is not null")
-    total, longest = b.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.max(F.length("text")), F.lit(0))).first()
-    if longest > most:
-        raise ValueError(f"an item of {longest} code points; a block holds {most}")
+def blocks(benchmark: DataFrame, most: int = MAX_BLOCK) -> Iterator[Index]:
+    """Indexes of the benchmark's blocks, each of at most about ``most`` code points; one at a time is on the driver."""
+    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
+    at = F.sequence(F.lit(0), F.greatest(F.length("text") - OVERLAP - 1, F.lit(0)), F.lit(PIECE - OVERLAP))
+    b = b.select("item_id", "text", F.explode(at).alias("at")).select("item_id", F.substring(F.col("text"), F.col("at") + 1, F.lit(PIECE)).alias("text"))
+    total = b.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = -(-2 * total // most) if total > most else 1
-    out = []
     for k in range(n):
         rows = b.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
         if rows:
-            out.append(Index(sorted((r["item_id"], r["text"]) for r in rows)))
-    return out
+            yield Index(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -219,7 +219,7 @@ def test_decontamination_finds_every_quote_of_a_stated_length(spark):
 def test_decontamination_in_blocks(spark):
     items = [(i, f"item number {i} " + " ".join(f"word{i * k}" for k in range(20))) for i in range(1, 30)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert len(decontam.blocks(bench, 900)) > 3
+    assert len(list(decontam.blocks(bench, 900))) > 3
     assert sorted(i for b in decontam.blocks(bench, 900) for i in set(b.item.tolist())) == list(range(1, 30))
 
 
