@@ -1,25 +1,26 @@
 """Quality rules as a short-circuit cascade (operator 10, built-in functions only).
 
-A rule is a boolean column that rejects a row.  ``order_rules`` measures every
-rule on a small sample (seconds a row and the share it rejects) and sorts the
-rules by rejection per cost; ``cascade`` turns the ordered rules into one
-``CASE`` expression, so a row stops at the first rule that rejects it.  The
-order never changes a verdict, only the time it takes.
+A rule is a boolean column that rejects a row.  ``order_rules`` estimates every
+rule on a small sample (code points that it looks at, and the share it rejects)
+and sorts the rules by rejection per cost; ``cascade`` turns the ordered rules
+into one ``CASE`` expression, so a row stops at the first rule that rejects it.
+Costs are counts of work and not times, so the same sample gives the same order.
+The order never changes a verdict, only the time it takes; ``rejected_by`` names
+the first rule in the fixed order of ``rules``.
 
 Defined results: a null or empty text has no words and fails the base rule;
 empty tables give empty results; repeated rows get equal results; columns that
-the operator does not know are left alone.
+the operator does not know are left alone, whatever they are called.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, documents, saved
+from .common import WS, documents, fresh, saved
 
 MIN_WORDS = 10
 MAX_REPEAT_PCT = 20
@@ -41,32 +42,33 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
     """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(f"[^{WS}]"))
+    c_w, c_l, c_h, c_g, c_rep, c_s, c_p = (fresh(df.columns, n) for n in ("_w", "_l", "_h", "_g", "_rep", "_s", "_p"))
     d = df.withColumns({
-        "_w": F.filter(F.split(t, f"[{WS}]+", -1), lambda x: x != ""),
-        "_l": lines,
+        c_w: F.filter(F.split(t, f"[{WS}]+", -1), lambda x: x != ""),
+        c_l: lines,
         "n_symbols": (F.size(F.split(t, "[#*$%&|<>]", -1)) - 1).cast("long"),
     })
     d = d.withColumns({
-        "n_words": F.size("_w").cast("long"),
-        "word_chars": F.length(F.array_join("_w", "")).cast("long"),
-        "n_word_lines": F.size("_l").cast("long"),
-        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "_h": F.transform("_w", lambda w: F.xxhash64(w)),
-    }).drop("_w", "_l")
-    at = [lambda i, k=k: F.get("_h", i + k) for k in range(WINDOW)]
-    d = d.withColumn("_g", F.when(
-        F.size("_h") >= WINDOW,
-        F.transform(F.sequence(F.lit(0), F.size("_h") - WINDOW), lambda i: F.xxhash64(*[f(i) for f in at]))))
-    d = d.withColumn("_rep", F.size(F.array_distinct("_g")) < F.size("_g")).drop("_h")
-    d = d.withColumn("_s", F.when(
-        F.col("_rep"), F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("_g")
-    d = d.withColumn("_p", F.when(F.col("_rep"), F.sort_array(F.filter(F.transform("_s", lambda s, j: F.when(
-        s["h"].eqNullSafe(F.get("_s", j - 1)["h"]) | s["h"].eqNullSafe(F.get("_s", j + 1)["h"]), s["i"])),
-        lambda x: x.isNotNull())))).drop("_s")
-    gaps = F.transform("_p", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_p", k + 1), p + WINDOW) - p))
+        "n_words": F.size(c_w).cast("long"),
+        "word_chars": F.length(F.array_join(c_w, "")).cast("long"),
+        "n_word_lines": F.size(c_l).cast("long"),
+        "n_dup_lines": (F.size(c_l) - F.size(F.array_distinct(c_l))).cast("long"),
+        c_h: F.transform(c_w, lambda w: F.xxhash64(w)),
+    }).drop(c_w, c_l)
+    at = [lambda i, k=k: F.get(c_h, i + k) for k in range(WINDOW)]
+    d = d.withColumn(c_g, F.when(
+        F.size(c_h) >= WINDOW,
+        F.transform(F.sequence(F.lit(0), F.size(c_h) - WINDOW), lambda i: F.xxhash64(*[f(i) for f in at]))))
+    d = d.withColumn(c_rep, F.size(F.array_distinct(c_g)) < F.size(c_g)).drop(c_h)
+    d = d.withColumn(c_s, F.when(
+        F.col(c_rep), F.sort_array(F.transform(c_g, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop(c_g)
+    d = d.withColumn(c_p, F.when(F.col(c_rep), F.sort_array(F.filter(F.transform(c_s, lambda s, j: F.when(
+        s["h"].eqNullSafe(F.get(c_s, j - 1)["h"]) | s["h"].eqNullSafe(F.get(c_s, j + 1)["h"]), s["i"])),
+        lambda x: x.isNotNull())))).drop(c_s)
+    gaps = F.transform(c_p, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(c_p, k + 1), p + WINDOW) - p))
     return d.withColumn("n_repeat_words", F.when(
-        F.col("_rep"), F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0).cast("long"))
-    ).drop("_p", "_rep")
+        F.col(c_rep), F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0).cast("long"))
+    ).drop(c_p, c_rep)
 
 
 def base_failed() -> Column:
@@ -86,17 +88,24 @@ def rules(text: str = "text") -> dict[str, Column]:
     }
 
 
-def order_rules(sample: DataFrame, rejects: dict[str, Column]) -> list[tuple[str, float, float]]:
-    """(name, seconds, rejected share) by rejection per cost, best first.
+def work(text: str = "text") -> dict[str, Column]:
+    """Code points that a rule looks at beyond the counts that every row has; a comparison of counts is 1."""
+    size = F.length(F.coalesce(F.col(text), F.lit("")))
+    return {"symbols": F.lit(1), "dup_lines": F.lit(1), "long_words": F.lit(1), "shouting": 1 + 2 * size}
 
-    One small aggregate a rule over ``sample``; the caller bounds its rows.
-    An empty sample keeps the given order.
+
+def order_rules(sample: DataFrame, rejects: dict[str, Column], costs: dict[str, Column] | None = None) -> list[tuple[str, float, float]]:
+    """(name, cost, rejected share) by rejection per cost, best first; ties keep the given order.
+
+    One aggregate over ``sample``, whose rows the caller bounds.  ``costs``: work
+    a row (1 for rules that it does not name).  An empty sample keeps the order.
     """
-    found = []
-    for name, col in rejects.items():
-        began = time.monotonic()
-        n, bad = sample.agg(F.count(F.lit(1)), F.count_if(F.coalesce(col, F.lit(False)))).first()
-        found.append((name, max(time.monotonic() - began, 1e-6), bad / n if n else 0.0))
+    costs = costs or {}
+    shares = [F.avg(F.coalesce(col, F.lit(False)).cast("double")) for col in rejects.values()]
+    each = [F.avg(costs.get(name, F.lit(1)).cast("double")) for name in rejects]
+    got = sample.agg(*[c.alias(f"m{i}") for i, c in enumerate(shares + each)]).first()
+    n = len(rejects)
+    found = [(name, max(got[n + i] or 1.0, 1e-9), got[i] or 0.0) for i, name in enumerate(rejects)]
     return sorted(found, key=lambda x: -x[2] / x[1])
 
 
@@ -111,14 +120,15 @@ def cascade(rejects: dict[str, Column], order: Sequence[str]) -> Column:
 def quality(df: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Add features, ``base_failed``, ``rejected_by`` and ``kept`` to ``df``.
 
-    ``sample_rows`` bounds the rows on which costs are measured; all rows are judged.
+    ``sample_rows`` bounds the rows on which rules are estimated; all rows are judged.
     """
     extra = rules(text)
     sample = saved(features(df.select(F.col(text)).limit(sample_rows), text), "quality-sample")
-    order = [x[0] for x in order_rules(sample, extra)]
+    order = [x[0] for x in order_rules(sample, extra, work(text))]
     d = features(df, text).withColumn("base_failed", base_failed())
-    d = d.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(extra, order)))
-    return d.withColumn("kept", F.col("rejected_by").isNull())
+    d = d.withColumn("kept", ~F.col("base_failed") & cascade(extra, order).isNull())
+    # rows that are kept are done; of the few others the first rule in the fixed order is named
+    return d.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).when(~F.col("kept"), cascade(extra, list(extra))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
