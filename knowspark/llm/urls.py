@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import fresh, saved, table
 
 PREFIX_HEX = 8
 MAX_PATH_LENGTHS = 4096
@@ -33,13 +33,14 @@ def parts(df: DataFrame, url: str = "url") -> DataFrame:
     at = F.instr(F.col(url), "://")
     rest = F.when(at > 0, F.substring(F.col(url), at + 3, F.length(url))).otherwise(F.lit(""))
     rest = F.coalesce(rest, F.lit(""))
-    d = df.withColumn("_rest", rest)
-    d = d.withColumn("_raw", F.regexp_extract("_rest", r"\A([^/?#]*)", 1))
-    low = F.translate("_raw", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    r, raw = fresh(df.columns, "_rest"), fresh(df.columns, "_raw")
+    d = df.withColumn(r, rest)
+    d = d.withColumn(raw, F.regexp_extract(r, r"\A([^/?#]*)", 1))
+    low = F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return d.withColumns({
         "host": low,
-        "path": F.regexp_extract(F.substring(F.col("_rest"), F.length("_raw") + 1, F.length("_rest")), r"\A([^?#]*)", 1),
-    }).drop("_rest", "_raw")
+        "path": F.regexp_extract(F.substring(F.col(r), F.length(raw) + 1, F.length(r)), r"\A([^?#]*)", 1),
+    }).drop(r, raw)
 
 
 def hashed_rules(rules: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def hashed_rules(rules: DataFrame) -> DataFrame:
 
 
 def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
-    """Add ``host``, ``path``, ``rule`` and ``verdict`` to ``df``.
+    """Add ``host``, ``path``, ``rule`` and ``verdict`` to ``df``, in place of columns of these names.
 
     The distinct paths' lengths of the rules go to the driver (integers, at
     most ``MAX_PATH_LENGTHS``; more raise).  Verdicts are found once a distinct
@@ -65,8 +66,9 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
     lengths = [x[0] for x in r.select("path_len").distinct().limit(MAX_PATH_LENGTHS + 1).collect()]
     if len(lengths) > MAX_PATH_LENGTHS:
         raise ValueError(f"more than {MAX_PATH_LENGTHS} different path lengths among the rules")
-    d = parts(df, url).withColumn("_lead", F.substring("path", 1, max(lengths, default=0)))
-    heads = d.select("host", "_lead").filter(F.col("host") != "").distinct()
+    lead, best_of = fresh(df.columns, "_lead"), fresh(df.columns, "_b")
+    d = parts(df, url).drop("rule", "verdict").withColumn(lead, F.substring("path", 1, max(lengths, default=0)))
+    heads = d.select("host", F.col(lead).alias("_lead")).filter(F.col("host") != "").distinct()
     labels = F.split("host", "\\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
                            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -78,10 +80,11 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
     best = hit.groupBy("host", "_lead").agg(F.max(F.struct(
         F.length("rule").alias("n"), "host_len", "rule", "verdict")).alias("_b"))
     # written first: the join then has plain shuffles on both sides, which Spark can split by skew
-    out = d.join(saved(best, "url-verdicts"), ["host", "_lead"], "left")
-    keep = [c for c in d.columns if c != "_lead"]
-    return out.select(*keep, F.col("_b.rule").alias("rule"),
-                      F.coalesce(F.col("_b.verdict"), F.lit(default)).alias("verdict"))
+    best = saved(best, "url-verdicts").select("host", F.col("_lead").alias(lead), F.col("_b").alias(best_of))
+    out = d.join(best, ["host", lead], "left")
+    keep = [c for c in d.columns if c != lead]
+    return out.select(*keep, F.col(best_of)["rule"].alias("rule"),
+                      F.coalesce(F.col(best_of)["verdict"], F.lit(default)).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
