@@ -8,6 +8,8 @@ Runs at $BENCH_SF_DIR (default /root/testdata/sf0.1) on local[$BENCH_CPUS]:
   refresh     fingerprint diff of a second refresh against the stored entries
   consolidate memory decay over the events-derived memory table
   transcripts conversations rendered as JSONL, parsed into turns
+  scan        transcript files listed, read by ranges, parsed into turns
+  rescan      the same files again, none changed: listed, none opened
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from knowspark.plans import store_queries as SQ  # noqa: E402
 from knowspark.plans import transcript_queries as TQ  # noqa: E402
 from knowspark.plans import views as V  # noqa: E402
 from knowspark.session import local_session, scratch_path  # noqa: E402
+from knowspark.sources import files as FI  # noqa: E402
 from knowspark.sources import transcripts as TR  # noqa: E402
 
 
@@ -61,7 +64,7 @@ def main():
     idx = ix.read_index(spark, path)
 
     # 100 query strings: frequent, medium and rare terms, pairs (parameters of the run)
-    terms = [r[0] for r in idx.postings.filter("col = 'content'").groupBy("term").count()
+    terms = [r[0] for r in idx.postings.filter("size(pos_content) > 0").groupBy("term").count()
              .filter(F.col("count") >= 3).orderBy(F.desc("count"), "term").limit(400).collect()]
     qs = {}
     for i in range(100):
@@ -78,6 +81,19 @@ def main():
     timed("consolidate", lambda: run(M.consolidate(V.memory_entries(spark, sf), "2024-06-01 12:00:00")))
     timed("transcripts", lambda: run(TR.turns(TQ._render(spark, sf, "claude_code"), "t", "claude_code")))
 
+    # transcript files: a first scan, and a second one that finds nothing new
+    out = scratch_path(spark, "bench-sessions")
+    TQ._render(spark, sf, "codex").repartition(64, "stem").sortWithinPartitions("stem", "line_no").select("value").write.text(out)
+    state = spark.createDataFrame([], FI.STATE)
+
+    def scan(state):
+        items, new = FI.scan_transcripts(FI.listing(spark, out.replace("file:", "", 1), ["*.txt"]), state, "sessions", "codex")
+        run(items)
+        return new
+    new = timed("scan", lambda: scan(state))
+    new.write.parquet(out + "-state")
+    timed("rescan", lambda: scan(spark.read.parquet(out + "-state")))
+
     n_entries = V.entries(spark, sf).count()
     mb = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] / 1e6
     total = round(sum(times.values()), 3)

@@ -53,18 +53,22 @@ def _entries(folder: str) -> list[os.DirEntry]:
 class FileTreeReader(DataSourceReader):
     def __init__(self, options):
         self.roots = json.loads(options["roots"])
+        self.rules = options.get("rules", "true") == "true"
+
+    def _left_out(self, path: str) -> bool:
+        return self.rules and P.excluded_py(path)
 
     def partitions(self):
         roots: list[str] = []
         for pattern in self.roots:
             for d in sorted(glob.glob(os.path.expanduser(pattern), recursive=True, include_hidden=True)):
-                if os.path.isdir(d) and not P.excluded_py(d):
+                if os.path.isdir(d) and not self._left_out(d):
                     roots.append(os.path.realpath(d))
         level = [(r, r) for r in dict.fromkeys(roots)]
         flat: list[tuple[str, str, bool]] = []
         while level and len(level) < FRONTIER:
             flat += [(r, d, False) for r, d in level]
-            level = [(r, e.path) for r, d in level for e in _entries(d) if e.is_dir() and not P.excluded_py(e.name)]
+            level = [(r, e.path) for r, d in level for e in _entries(d) if e.is_dir() and not self._left_out(e.name)]
         work = flat + [(r, d, True) for r, d in level]
         n = max(1, min(TASKS, len(work)))
         return [_Folders(work[i::n]) for i in range(n)]
@@ -77,7 +81,7 @@ class FileTreeReader(DataSourceReader):
             for e in _entries(folder):
                 try:
                     if e.is_dir():
-                        if below and not e.is_symlink() and not P.excluded_py(e.name):
+                        if below and not e.is_symlink() and not self._left_out(e.name):
                             todo.append((root, e.path, True))
                     elif e.is_file():
                         s = e.stat()
@@ -113,13 +117,13 @@ def _plain(c: Column) -> Column:
     return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
-def listing(spark: SparkSession, roots, patterns=("**/*",), excludes=()) -> DataFrame:
+def listing(spark: SparkSession, roots, patterns=("**/*",), excludes=(), rules: bool = True) -> DataFrame:
     """(path, rel, length, mtime_ns) of the files below the roots (folders or globs of folders).
 
     ``patterns`` are matched against the path below the root (``*`` stays inside
     a segment, ``**/`` goes below), ``excludes`` against the file name.  Files on
-    the never-index lists are left out; a file that several roots or patterns
-    reach is listed once.
+    the never-index lists are left out, unless ``rules`` is off; a file that
+    several roots or patterns reach is listed once.
     """
     roots = [roots] if isinstance(roots, str) else list(roots)
     stored = [r for r in roots if "://" in r]
@@ -127,7 +131,7 @@ def listing(spark: SparkSession, roots, patterns=("**/*",), excludes=()) -> Data
     parts = []
     if mounted:
         spark.dataSource.register(FileTree)
-        parts.append(spark.read.format("file_tree").option("roots", json.dumps(mounted)).load())
+        parts.append(spark.read.format("file_tree").option("roots", json.dumps(mounted)).option("rules", str(rules).lower()).load())
     for r in stored:
         f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(r).select(
             F.lit(r).alias("root"), _plain(F.col("path")).alias("path"), F.col("length"),
@@ -136,7 +140,8 @@ def listing(spark: SparkSession, roots, patterns=("**/*",), excludes=()) -> Data
     found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], LISTING)
     wanted = reduce(lambda a, b: a | b, [F.col("rel").rlike(P.path_glob_to_regex(p)) for p in patterns], F.lit(False))
     left_out = reduce(lambda a, b: a | b, [P.basename("path").rlike(_name_regex(p)) for p in excludes], F.lit(False))
-    return found.filter(wanted & ~left_out & ~P.is_excluded("path")).select("path", "rel", "length", "mtime_ns").dropDuplicates(["path"])
+    allowed = ~P.is_excluded("path") if rules else F.lit(True)
+    return found.filter(wanted & ~left_out & allowed).select("path", "rel", "length", "mtime_ns").dropDuplicates(["path"])
 
 
 def _name_regex(pattern: str) -> str:

@@ -187,3 +187,40 @@ def test_snippet_markup_and_helpers(spark):
                   dig(F.parse_json("j"), "a.x.y").alias("n"), tags_with(F.lit("k"), F.array(F.lit(" x "), F.lit(""))).alias("t")).first()
     assert r["s"] == 'a &amp; b <mark>hit</mark> &lt;i&gt; &quot;q&quot;'
     assert r["c"] == "f(1)" and r["d"] == "[1]" and r["n"] is None and r["t"] == "k,x"
+
+
+def test_sync_drains_the_drop_folder_and_observes_the_rest(spark, tmp_path):
+    import hashlib
+
+    from knowspark.operators import sync as SY
+
+    home, root, blobs = str(tmp_path / "home"), str(tmp_path / "store"), str(tmp_path / "blobs")
+    put(home, "notes/a.md", "first note")
+    put(home, "pic.png", b"\x89PNG" + b"0" * 50)
+    put(home, "config.json", "{}")
+    put(home, "x/.git/y.md", "never")
+    drop = [put(home, ".absorber/in.txt", "dropped text"), put(home, ".absorber/sub/big.txt", "z" * 300), put(home, ".absorber/bericht.bin", bytes(range(9)))]
+    locked = put(home, ".absorber/locked.txt", "secret")
+    os.chmod(locked, 0)
+    unreadable = not os.access(locked, os.R_OK)  # not so for root
+    SG.create(make_entries(spark, [{"name": "own", "content": "mine"}]), root)
+    got = SY.sync(spark, home, root, blobs, NOW, direct=100, warn=200)
+    assert got == {"absorbed": 4 - unreadable, "observed": 2, "failed": int(unreadable), "mode": "selective"}
+    assert not any(map(os.path.exists, drop)) and os.path.exists(f"{home}/notes/a.md") and os.path.exists(locked) == unreadable
+    e = {r["name"]: r for r in SG.read(spark, root).entries.collect()}
+    assert e["observed/notes/a.md"]["content"] == "first note" and "54 Bytes" in e["observed/pic.png"]["content"]
+    assert e["in.txt"]["content"] == "dropped text" and e["in.txt"]["pinned"]
+    meta = {n: json.loads(e[n]["meta"]) for n in ("in.txt", "big.txt", "bericht.bin")}
+    assert [meta[n]["storage"] for n in ("in.txt", "big.txt", "bericht.bin")] == ["inline", "halde", "inline"]
+    assert "blob_path" not in meta["in.txt"] and meta["bericht.bin"]["original_name"] == "bericht.bin"
+    with open(meta["bericht.bin"]["blob_path"], "rb") as f:
+        assert f.read() == bytes(range(9)) and meta["bericht.bin"]["blob_hash"] == hashlib.sha256(bytes(range(9))).hexdigest()[:16]
+    assert len(os.listdir(blobs)) == 2
+    before = SG.commits.latest(spark, root)[0]
+    again = SY.sync(spark, home, root, blobs, NOW, direct=100, warn=200)
+    assert (again["absorbed"], again["observed"]) == (0, 2) and (unreadable or SG.commits.latest(spark, root)[0] == before)
+    out = str(tmp_path / "out")
+    SY.export(SG.read(spark, root).entries.filter("type = 'document' and name <> 'locked.txt' or name = 'own'"), out)
+    assert {f: len(open(f"{out}/{f}", "rb").read()) for f in os.listdir(out)} == {"in.txt.md": 12, "big.txt": 300, "bericht.bin": 9, "own.md": 4}
+    SY.sync(spark, home, root, blobs, NOW, mode="always_absorb")
+    assert not os.path.exists(f"{home}/notes/a.md") and os.path.exists(f"{home}/config.json")
