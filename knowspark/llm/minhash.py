@@ -21,6 +21,9 @@ Links: documents whose shingle sets have a Jaccard similarity of at least
    (an equi-join on head and element; by the prefix filter the rarest fifth of
    a set's elements will do), or sizes that this bound allows (a join on the
    head with the bound as its condition); all such pairs are compared.
+   Pairs whose parity sketches differ in more places than sets of that similarity
+   can differ in (every place stands for at least one element that only one of
+   the two has) are excluded by the join's condition.
    Where more than ``SMALL`` members outside the head's component share one
    such element, all that share it become a bucket of their own and go through
    step 3 again; otherwise each of these few is compared with the others.
@@ -156,7 +159,26 @@ def _set(raw: bytes) -> np.ndarray:
     return x.view("<u8").ravel()
 
 
-_COMPARED = "a long, b long, linked boolean, common long, size long, added array<long>"
+_COMPARED = "a long, b long, linked boolean, common long, size long, added array<long>, parity array<long>"
+SKETCH = 8  # 64-bit words of a parity sketch
+
+
+def parity(x: np.ndarray) -> np.ndarray:
+    """For each of ``64 * SKETCH`` places, whether an odd number of the set's elements fall on it, as packed words."""
+    odd = np.bincount((x & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(percent: int):
+    """Condition on x and y: by sizes and sketches they can be as similar as that."""
+    differ = sum((F.bit_count(F.col("px")[i].bitwiseXOR(F.col("py")[i])) for i in range(SKETCH)), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (F.col("size_x") + F.col("size_y"))
+
+
+def _in_prefix(percent: int):
+    """Condition on a shared element of ranks rx and ry (rarest first): as many elements follow as the pair must share."""
+    least = F.ceil(percent * (F.col("size_x") + F.col("size_y")) / (100 + percent))
+    return (F.col("rx") <= F.col("size_x") - least + 1) & (F.col("ry") <= F.col("size_y") - least + 1)
 
 
 def compared(pairs: DataFrame, known: DataFrame, percent: int, details: bool) -> DataFrame:
@@ -164,7 +186,7 @@ def compared(pairs: DataFrame, known: DataFrame, percent: int, details: bool) ->
     x = pairs.join(known.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     x = x.join(known.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("common", pa.int64()), ("size", pa.int64()),
-                        ("added", pa.list_(pa.int64()))])
+                        ("added", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -174,10 +196,11 @@ def compared(pairs: DataFrame, known: DataFrame, percent: int, details: bool) ->
                 held = p[np.searchsorted(p, q).clip(max=len(p) - 1)] == q
                 same = int(held.sum())
                 out.append((100 * same >= percent * (len(p) + len(q) - same), same, len(q),
-                            q[~held].astype(np.int64) if details else None))
-            linked, same, size, added = zip(*out) if out else ([],) * 4
+                            q[~held].astype(np.int64) if details else None, parity(q) if details else None))
+            linked, same, size, added, odd = zip(*out) if out else ([],) * 5
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(linked, pa.bool_()), pa.array(same, pa.int64()),
-                                              pa.array(size, pa.int64()), pa.array(added, pa.list_(pa.int64()))], schema=schema)
+                                              pa.array(size, pa.int64()), pa.array(added, pa.list_(pa.int64())),
+                                              pa.array(odd, pa.list_(pa.int64()))], schema=schema)
 
     return x.mapInArrow(run, _COMPARED)
 
@@ -217,29 +240,31 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         family = saved(family.join(limits.filter("most is not null"), "a"), "minhash-mixed")
         if family.isEmpty():
             break
-        x = family.filter("far and cap >= least").select("a", F.col("b").alias("x"), F.col("label").alias("lx"),
-                                                         F.col("size").alias("size_x"), F.col("cap").alias("cap_x"))
-        y = family.filter("size <= most").select("a", F.col("b").alias("y"), F.col("label").alias("ly"),
-                                                 F.col("size").alias("size_y"), F.col("cap").alias("cap_y"))
+        x = family.filter("far and cap >= least").select("a", F.col("b").alias("x"), F.col("label").alias("lx"), F.col("size").alias("size_x"),
+                                                         F.col("cap").alias("cap_x"), F.col("parity").alias("px"))
+        y = family.filter("size <= most").select("a", F.col("b").alias("y"), F.col("label").alias("ly"), F.col("size").alias("size_y"),
+                                                 F.col("cap").alias("cap_y"), F.col("parity").alias("py"))
         pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-        close = x.join(y, "a").filter("x <> y and lx <> ly and size_y <= cap_x and size_x <= cap_y").select(*pair)
+        close = x.join(y, "a").filter("x <> y and lx <> ly and size_y <= cap_x and size_x <= cap_y").filter(_may_link(percent)).select(*pair)
         # x needs percent of its size in common with y, so all but so many of its added elements: the rarest of these must hold one
-        e = family.select("a", "b", "label", "far", "size", F.explode("added").alias("e"))
+        e = family.select("a", "b", "label", "far", "size", "parity", F.explode("added").alias("e"))
         often = e.groupBy("a", "e").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("any_far"))
         rarest = F.row_number().over(Window.partitionBy("a", "b").orderBy("n", "e"))
         e = e.join(often, ["a", "e"]).withColumn("r", rarest).filter(
             F.col("r") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).filter("n > 1 and any_far")
-        e = saved(e.select("a", "e", "b", "label", "far"), "minhash-rarest")
+        e = saved(e.select("a", "e", "b", "label", "far", "size", "parity", "r"), "minhash-rarest")
         groups = e.groupBy("a", "e").agg(
             F.count_if("far").alias("n_far"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"),
             *[F.bit_xor(F.xxhash64("b", F.lit(k))).alias(f"m{k}") for k in (0, 1)]).filter("n_far > 0 and lo <> hi")
-        # elements with the same members (the shingles around one changed word) give the same pairs: one of them will do
+        # elements with the same members (the shingles around one changed word) give the same pairs: the rarest of them will do
         groups = saved(groups.groupBy("a", "n", "n_far", "m0", "m1").agg(F.min("e").alias("e")).select("a", "e", "n_far"), "minhash-groups")
         e = saved(e.join(groups, ["a", "e"]), "minhash-shared")
         few = e.filter(F.col("n_far") <= SMALL)
-        x = few.filter("far").select("a", "e", F.col("b").alias("x"), F.col("label").alias("lx"))
-        y = few.select("a", "e", F.col("b").alias("y"), F.col("label").alias("ly"))
-        shared = x.join(y, ["a", "e"]).filter("x <> y and lx <> ly").select(*pair)
+        x = few.filter("far").select("a", "e", F.col("b").alias("x"), F.col("label").alias("lx"), F.col("size").alias("size_x"),
+                                     F.col("parity").alias("px"), F.col("r").alias("rx"))
+        y = few.select("a", "e", F.col("b").alias("y"), F.col("label").alias("ly"), F.col("size").alias("size_y"),
+                       F.col("parity").alias("py"), F.col("r").alias("ry"))
+        shared = x.join(y, ["a", "e"]).filter("x <> y and lx <> ly").filter(_in_prefix(percent)).filter(_may_link(percent)).select(*pair)
         more = saved(compared(close.unionByName(shared).distinct(), known, percent, False), "minhash-pairs")
         links = links.unionByName(more.filter("linked").select("a", "b"))
         many = e.filter(F.col("n_far") > SMALL).select(F.xxhash64("a", "e").alias("key"), F.col("b").alias("node"))
