@@ -37,6 +37,7 @@ BLOCK_BYTES = 24 << 20
 PARTS_PER_PARTITION = 4
 MAX_PIECES = 2_000_000
 FREQUENT = 240
+ROWS = 1000  # texts of an Arrow batch that are converted at once
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -158,18 +159,23 @@ def _unzip_words(b: bytes) -> np.ndarray:
 
 def _block(ids: list, texts: list[tuple[np.ndarray, np.ndarray]], special, parts: int) -> Iterator[dict]:
     """Rows of one block: a row of words for each part, and one row with the documents."""
-    hashes, counts, spans, base = [], [], [], 0
+    hashes, counts, starts, base = [], [], [], 0
     for buf, off in texts:
         for _, _, b, o in K.slices(buf, off):
             s = split(b, o, special)
             e = np.append(s[1:], len(b))[:len(s)]
             hashes.append(K.span_hashes(b, s, e))
             counts.append(np.diff(np.searchsorted(s, o)))
-            spans.append(np.stack([s, e], 1) + base)
+            starts.append((s + base).astype(np.uint32 if base + len(b) < 1 << 32 else np.int64))
             base += len(b)
-    raw = b"".join(buf.tobytes() for buf, _ in texts)
-    h, span = np.concatenate(hashes), np.concatenate(spans)
+    flat = np.concatenate([buf for buf, _ in texts])
+    texts.clear()
+    h = np.concatenate(hashes)
+    hashes.clear()
+    start = np.concatenate([*starts, [base]])  # every byte is a word's: a word ends where the next begins
+    starts.clear()
     u, first, inv, freq = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    del h
     often = np.argsort(-freq, kind="stable")[:FREQUENT]
     other = np.ones(len(u), bool)
     other[often] = False
@@ -178,15 +184,16 @@ def _block(ids: list, texts: list[tuple[np.ndarray, np.ndarray]], special, parts
     rank = np.empty(len(u), np.uint32)
     rank[order] = np.arange(len(u), dtype=np.uint32)
     seq, n_words = rank[inv], np.concatenate(counts)
+    del inv
     body = _zip_words(seq) if len(seq) else b""
     # equal keys only for equal blocks: ids, word order, the words themselves and where texts end
     made = repr(ids).encode() + body + u[order].tobytes() + n_words.tobytes()
     key = int.from_bytes(hashlib.blake2b(made, digest_size=8).digest(), "little") >> 1
-    at = span[first[order]]
+    at = np.stack([start[first[order]], start[first[order] + 1]], 1).astype(np.int64)
+    del start
     part = (u[order] >> np.uint64(20)) % np.uint64(parts)
     by = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[by], np.arange(parts + 1))
-    flat = np.frombuffer(raw, np.uint8)
     c = zstandard.ZstdCompressor(level=3)
     for p in range(parts):
         mine = by[edges[p]: edges[p + 1]]
@@ -207,7 +214,7 @@ def word_blocks(docs: DataFrame, path: str, parts: int, block_bytes: int = BLOCK
 
     def run(batches):
         special, ids, texts, size = specials(path), [], [], 0
-        for batch in batches:
+        for batch in (x.slice(k, ROWS) for x in batches for k in range(0, len(x), ROWS)):
             buf, off = K.utf8(batch.column(1))
             doc = batch.column(0).to_pylist()
             for i, j, b, o in K.slices(buf, off, block_bytes):
