@@ -42,7 +42,7 @@ PATTERNS = (
 )
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 MIN_DIGITS, MIN_SUPPORT, MIN_CONFIDENCE, MIN_PATTERNS, ACCEPT = 4, 3, 0.8, 2, 0.98
-CONTEXT = 40
+CONTEXT = 40  # code points of a gap that mostly hold the word beside a match
 
 
 def _valid(kind: Column, value: Column) -> Column:
@@ -60,8 +60,17 @@ def _found(text: Column, kind: int) -> Column:
     hint = {0: F.contains(text, F.lit("@")), 3: F.contains(text, F.lit("+")), CANDIDATE: text.rlike("[0-9@]")}.get(kind, text.rlike("[0-9]"))
     matches = F.when(hint, F.regexp_extract_all(text, pattern, F.lit(0)))
     gaps = F.when(F.size(matches) > 0, F.split(text, PATTERNS[kind], -1))
-    left = lambda g: F.lower(F.regexp_extract(F.substring(g, -CONTEXT, CONTEXT), rf"([^{WS}]+)[{WS}]*\z", 1))
-    right = lambda g: F.lower(F.regexp_extract(F.substring(g, 1, CONTEXT), rf"\A[{WS}]*([^{WS}]+)", 1))
+    def left(gap: Column) -> Column:
+        """The last word of a gap; all of the gap is searched only where its last code points do not hold that word whole."""
+        some = F.substring(gap, -CONTEXT, CONTEXT)
+        enough = (F.length(gap) <= CONTEXT) | some.rlike(rf"[{WS}][^{WS}]+[{WS}]*\z")
+        return F.lower(F.regexp_extract(F.when(enough, some).otherwise(gap), rf"(?<![^{WS}])([^{WS}]++)[{WS}]*+\z", 1))
+
+    def right(gap: Column) -> Column:
+        some = F.substring(gap, 1, CONTEXT)
+        enough = (F.length(gap) <= CONTEXT) | some.rlike(rf"\A[{WS}]*[^{WS}]+[{WS}]")
+        return F.lower(F.regexp_extract(F.when(enough, some).otherwise(gap), rf"\A[{WS}]*+([^{WS}]++)", 1))
+
     return F.transform(matches, lambda m, i: F.struct(
         F.lit(kind).alias("kind"), i.alias("i"), m.alias("value"), F.length(F.get(gaps, i)).alias("gap"),
         left(F.get(gaps, i)).alias("left"), right(F.get(gaps, i + 1)).alias("right"),

@@ -74,3 +74,14 @@ def test_urls_replace_their_columns_and_keep_others(spark):
     assert sorted(got.columns) == sorted(["url", "_lead", "_rest", "_raw", "_b", "host", "path", "rule", "verdict"])
     r = got.first()
     assert (r["rule"], r["verdict"], r["_lead"], r["_rest"], r["_raw"], r["_b"]) == ("example.com/en/", "block", "c", "d", "e", "f")
+
+
+def test_neighbour_words_are_whole_however_long_or_far(spark):
+    from knowspark.llm import pii
+
+    long, far = "w" * 90, " " * 70
+    text = f"start {long}{far}a@b.cd{far}{long}z end x@y.zz\n{long} tail"
+    _, spans = pii._spans(spark.createDataFrame([(1, text), (2, "a@b.cd"), (3, f"one two {'q' * 39} a@b.cd, {'r' * 39}")], SCHEMA))
+    got = {(r["doc_id"], r["value"]): (r["left"], r["right"]) for r in spans.filter("kind = 0").collect()}
+    assert got == {(1, "a@b.cd"): (long, long + "z"), (1, "x@y.zz"): ("end", long), (2, "a@b.cd"): ("", ""),
+                   (3, "a@b.cd"): ("q" * 39, ",")}

@@ -29,7 +29,8 @@ def test_stages(spark):
         b = by_id(after)
         assert set(b) <= set(a)
         if name == "line_dedup":
-            assert b == {i: x[2] for i, x in brute.lines(list(a.items())).items()}
+            left = {i: x[2] for i, x in brute.lines(list(a.items())).items()}
+            assert b == {i: x for i, x in left.items() if x.strip(" \t\n\v\f\r") or x == a[i]} and len(b) < len(left)
             assert after.filter("n_chars <> length(text)").count() == before.filter("n_chars <> length(text)").count()
         elif name == "minhash":
             comps = brute.components(list(a.items()), 5)
