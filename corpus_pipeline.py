@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knowspark.llm import bpe, decontam, lines, minhash, toxicity
-from knowspark.llm.common import fresh, saved, table
+from knowspark.llm.common import WS, fresh, saved, table
 
 ORACLE_SQL = None
 
@@ -27,9 +27,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document holds; ``n_chars`` follows the text where it is a column."""
+    """Documents without the lines that an earlier document holds; ``n_chars`` follows the text where it is a column.
+
+    A document that had words and lost all of them says nothing that others do
+    not say, and goes; one that was blank from the start stays.
+    """
     a, b = fresh(docs.columns, "n_lines"), fresh(docs.columns, "n_dropped")
     out = lines.line_dedup(docs, n_lines=a, n_dropped=b)
+    out = out.filter((F.col(b) == 0) | F.col("text").rlike(f"[^{WS}]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(b) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
