@@ -159,6 +159,13 @@ class Index:
     blocks: DataFrame | None = None
     gone: DataFrame | None = None
     averages: dict[tuple[int, str], float] | None = None
+    _now: dict[str, tuple[int, float]] | None = None
+
+    def averages_now(self) -> dict[str, tuple[int, float]]:
+        """(entries, average length) by store, read once."""
+        if self._now is None:
+            self._now = {r["store"]: (r["n_docs"], r["avgdl"]) for r in self.stats.select("store", "n_docs", "avgdl").collect()}  # a row a store
+        return self._now
 
 
 def build_index(entries: DataFrame, tokens_df: DataFrame | None = None) -> Index:

@@ -63,7 +63,7 @@ def _words(index: Index, comp) -> dict[tuple[int, str], list[Word]]:
     """Words by (qid, store), rarest first."""
     from .search import IDF_FLOOR
     terms = sorted({t[4] for t in comp.terms})
-    stats = {r["store"]: (r["n_docs"], r["avgdl"]) for r in index.stats.select("store", "n_docs", "avgdl").collect()}  # a row a store
+    stats = index.averages_now()
     rows = index.terms.filter(F.col("term").isin(terms)).select("store", "term", "seg", "df", "bits", "peak").collect()  # a row a word, store and segment
     df, cuts = {}, {}
     for r in rows:
@@ -166,15 +166,15 @@ def top(index: Index, exprs: dict, ents: DataFrame, limit: int, report: list | N
     if report is not None:
         report.append(blocks.join(_frame(index, first).select("seg", "store", "term").distinct(), ["seg", "store", "term"]).select("n"))
     one = _scores(index, _candidates(index, blocks, _frame(index, first), ents), listed, comp, report)
-    path = scratch_path(one.sparkSession, "topk")
-    one.write.parquet(path)
-    one = one.sparkSession.read.schema(one.schema).parquet(path)
     # queries with a clause that holds none of the rare words
     more = {k: [w for w in ws if w not in seeds[k]] for k, ws in words.items()
             if any(not {f"p{w.pid}" for w in seeds[k]} & set(c) for c in clauses[k[0]])}
     more = {k: ws for k, ws in more.items() if ws}
     if not more:
         return one
+    path = scratch_path(one.sparkSession, "topk")
+    one.write.parquet(path)
+    one = one.sparkSession.read.schema(one.schema).parquet(path)
     w = Window.partitionBy("qid", "store").orderBy("rank", "id")
     kth = one.withColumn("r", F.row_number().over(w)).filter(F.col("r") == limit).select("qid", "store", "rank")
     least = {(r["qid"], r["store"]): -r["rank"] for r in kth.collect()}  # a row a query and store
