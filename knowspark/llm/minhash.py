@@ -55,6 +55,7 @@ WORDS, PERCENT = 5, 80
 ROWS, BANDS = 6, 40
 SMALL = 256
 BYTES = 6  # of a shingle's hash that the confirmation compares
+PAIRS = 1000  # pairs whose sets a task holds at once
 
 
 def _scramble(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -189,7 +190,7 @@ def compared(pairs: DataFrame, known: DataFrame, percent: int, details: bool) ->
                         ("added", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in batches:
+        for batch in (x.slice(k, PAIRS) for x in batches for k in range(0, len(x), PAIRS)):
             out = []
             for sa, sb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 p, q = _set(sa), _set(sb)

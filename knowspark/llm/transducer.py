@@ -11,11 +11,11 @@ in dense arrays; transitions carry the change of the token count, and a state
 carries the change that the end of the word makes.
 
 Chunks of text run side by side, one array operation a byte for all of them.
-What a chunk does to the state it is entered in is a map: up to its first word
-boundary it depends on the entry state, after it it does not.  ``count``
-evaluates the constant parts first and then composes the maps from left to
-right: a chunk with a boundary hands a known state on, so all chunks after such
-chunks are resolved at once, and chunks inside one long word follow in turn.
+What a chunk does to the state it is entered in depends on that state only up to
+its first word boundary.  ``count`` runs the parts behind the boundaries first
+and then replays the heads from left to right (no state map is made): a chunk
+with a boundary hands a known state on, so all chunks after such chunks are
+resolved at once, and chunks inside one long word follow in turn.
 """
 
 from __future__ import annotations
