@@ -193,12 +193,13 @@ def consolidate_stats(result: DataFrame) -> DataFrame:
 
 def retention_curve(entries: DataFrame, cycles: int = 10) -> DataFrame:
     """Closed form of repeated consolidation: weight after ``cycles`` and the
-    first cycle at which the row would be forgotten (null if never)."""
+    first cycle at which the row would be forgotten (null if never); a row
+    without weight goes in the first."""
     m = entries.filter((F.col("store") == "user") & F.col("type").isin(*MEMORY_TYPES) & ~F.col("pinned"))
     w = meta_double("weight", DEFAULT_WEIGHT)
     r = meta_double("decay_rate", DEFAULT_DECAY)
     n = F.when((r >= 1) | (r <= 0), F.lit(None)).otherwise(
-        F.greatest(F.lit(1), F.floor(F.log(F.lit(FORGET_BELOW) / w) / F.log(r)) + 1))
+        F.when(w <= 0, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(F.log(F.try_divide(F.lit(FORGET_BELOW), w)) / F.log(r)) + 1)))
     return m.select("name", n.cast("long").alias("forget_cycle"),
                     F.round(w * F.pow(r, F.lit(cycles)), 6).alias(f"weight_{cycles}"))
 

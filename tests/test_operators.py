@@ -36,6 +36,12 @@ def test_consolidate_three_cycles(spark):
     assert stats.decayed + stats.forgotten + stats.kept == 1
 
 
+def test_retention_curve_of_rows_without_weight(spark):
+    e = make_entries(spark, [{"name": n, "type": "memory", "meta": json.dumps({"weight": w, "decay_rate": 0.5})}
+                             for n, w in (("zero", 0.0), ("less", -0.5), ("some", 0.5))])
+    assert {r.name: r.forget_cycle for r in M.retention_curve(e).collect()} == {"zero": 1, "less": 1, "some": 4}
+
+
 def test_broken_meta_reads_as_empty(spark):
     e = make_entries(spark, [{"name": "x", "type": "memory", "meta": "{broken", "content": "recall me"}])
     r = M.consolidate(e, NOW).collect()[0]
