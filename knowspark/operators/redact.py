@@ -9,12 +9,11 @@ All of it is ``regexp_replace`` / ``rlike`` on JVM strings: no Python per row.
 from __future__ import annotations
 
 import posixpath
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_lower
-
 REDACTION_MARKER = "***REDACTED***"
 
 # Secret families and their patterns, in application order.
@@ -43,57 +42,72 @@ def _java(p: str) -> str:
     return "(?U)" + p
 
 
-def redact_columns(text: Column | str) -> tuple[Column, Column]:
-    """(redacted_text, families ARRAY<STRING> sorted) for a text column."""
-    cur = F.col(text) if isinstance(text, str) else text
-    fired = []
-    for fam, pat in SECRET_PATTERNS:
-        jp = _java(pat)
-        fired.append(F.when(F.coalesce(cur.rlike(jp), F.lit(False)), F.lit(fam)))
-        cur = F.regexp_replace(cur, jp, "$1" + REDACTION_MARKER.replace("$", "\\$"))
-    fams = F.array_sort(F.filter(F.array(*fired), lambda x: x.isNotNull()))
-    return cur, fams
-
-
 ANY_SECRET = "(?U)" + "|".join(f"(?:{p})" for _, p in SECRET_PATTERNS)
 
-# Every match of a pattern contains one of these literally, except the bearer
-# header: of its letters only those of "bearer" have no case variant beyond
-# ASCII, so every match holds that word in some ASCII case.  The tests check
-# both claims, over all code points and over generated matches.
-ANCHORS = ("sk-", "ghp_", "gho_", "ghu_", "ghr_", "ghs_", "github_pat_", "A3T", "AKIA", "ASIA", "ABIA", "ACCA", "xox", "xapp-",
-           "AIza", "glpat-", "npm_", "-----BEGIN")
+# Every match of a family's pattern contains one of these literally, except the
+# bearer header: of its letters only those of "bearer" have no case variant
+# beyond ASCII, so every match holds that word in some ASCII case.  The tests
+# check both claims, over all code points and over generated matches.
+ANCHORS = {
+    "anthropic-api-key": ("sk-ant-api03-",),
+    "openai-project-key": ("T3BlbkFJ",),
+    "openai-api-key": ("T3BlbkFJ",),
+    "github-token": ("ghp_", "gho_", "ghu_", "ghr_", "ghs_"),
+    "github-fine-grained-pat": ("github_pat_",),
+    "aws-access-key-id": ("A3T", "AKIA", "ASIA", "ABIA", "ACCA"),
+    "slack-token": ("xox",),
+    "slack-app-token": ("xapp-",),
+    "google-api-key": ("AIza",),
+    "gitlab-pat": ("glpat-",),
+    "npm-token": ("npm_",),
+    "private-key-block": ("-----BEGIN",),
+}
+
+
+def may_hold(text: Column | str, family: str) -> Column:
+    """Substring test that every text with a match of the family passes."""
+    c = F.col(text) if isinstance(text, str) else text
+    if family not in ANCHORS:
+        return F.lower(c).contains("bearer")
+    return reduce(lambda x, y: x | y, [c.contains(a) for a in ANCHORS[family]])
 
 
 def maybe_secret(text: Column | str) -> Column:
     """Substring test that every row with a match passes: false means no family can match."""
-    c = F.col(text) if isinstance(text, str) else text
-    hit = F.lit(False)
-    for a in ANCHORS:
-        hit = hit | c.contains(a)
-    return hit | ascii_lower(c).contains("bearer")
+    return reduce(lambda x, y: x | y, [may_hold(text, f) for f in FAMILIES])
 
 
 def redact(df: DataFrame, text_col: str = "content", families_col: str = "redacted") -> DataFrame:
     """Mask ``text_col`` in place and add the fired families as an array column.
 
-    One pass of the combined pattern decides whether a row holds any secret;
-    only those rows run the ordered chain (a replacement never creates a match
-    for a later family, so a row the combined pattern misses is clean).
+    A family's pattern runs only over texts that hold one of its anchors.  Each
+    family is a column step of its own, so the text that it leaves is made once,
+    not once for each later family that looks at it.
+    """
+    fired = []
+    out = df
+    for k, (family, pattern) in enumerate(SECRET_PATTERNS):
+        hit, jp = f"_ks_hit{k}", _java(pattern)
+        out = out.withColumn(hit, F.coalesce(may_hold(text_col, family) & F.col(text_col).rlike(jp), F.lit(False)))
+        masked = F.regexp_replace(F.col(text_col), jp, "$1" + REDACTION_MARKER.replace("$", "\\$"))
+        out = out.withColumn(text_col, F.when(F.col(hit), masked).otherwise(F.col(text_col)))
+        fired.append(F.when(F.col(hit), F.lit(family)))
+    fams = F.array_sort(F.filter(F.array(*fired), lambda x: x.isNotNull()))
+    return out.withColumn(families_col, fams).drop(*[f"_ks_hit{k}" for k in range(len(FAMILIES))])
+
+
+def fired(df: DataFrame, *cols: Column, families_col: str = "redacted") -> DataFrame:
+    """``cols`` with one row a fired family (``family``).
+
+    The outer explode keeps Spark from deriving a filter on the array, which
+    would run all patterns a second time below the masking.
     """
-    hit = "_ks_hit"
-    red, fams = redact_columns(text_col)
-    pre = maybe_secret(text_col) & F.col(text_col).rlike(ANY_SECRET)
-    out = df.withColumn(hit, F.coalesce(pre, F.lit(False)))
-    return (out.withColumn(families_col, F.when(F.col(hit), fams).otherwise(F.array().cast("array<string>")))
-               .withColumn(text_col, F.when(F.col(hit), red).otherwise(F.col(text_col)))
-               .drop(hit))
+    return df.select(*cols, F.explode_outer(families_col).alias("family")).filter(F.col("family").isNotNull())
 
 
 def findings(df: DataFrame, path_col: str = "source_path", families_col: str = "redacted") -> DataFrame:
     """Distinct (path, family) pairs of redacted items."""
-    return (df.select(F.col(path_col).alias("path"), F.explode(families_col).alias("family"))
-              .filter(F.col("path").isNotNull()).distinct())
+    return fired(df, F.col(path_col).alias("path"), families_col=families_col).filter(F.col("path").isNotNull()).distinct()
 
 
 def resolved(path: Column) -> Column:

@@ -85,8 +85,7 @@ def q_redact_families(spark, sf):
 
 def q_redact_sweep(spark, sf):
     d = R.redact(leaky(spark, sf), "text", "fams")
-    return (d.select(F.explode("fams").alias("family")).groupBy("family")
-             .agg(F.count(F.lit(1)).alias("n_entries")))
+    return R.fired(d, families_col="fams").groupBy("family").agg(F.count(F.lit(1)).alias("n_entries"))
 
 
 def _existing_alerts(spark, sf):

@@ -129,6 +129,20 @@ def test_prefilter_passes_every_match(spark):
     assert df.filter(F.col("t").rlike(R.ANY_SECRET) & ~R.maybe_secret("t")).count() == 0
 
 
+def test_each_pattern_runs_once_and_behind_its_anchors(spark):
+    texts = [(k, f"x {p} y {POSITIVE[k - 1]} z") for k, p in enumerate(POSITIVE)]
+    df = spark.createDataFrame(texts, "i int, t string")
+    for family, pattern in R.SECRET_PATTERNS:
+        assert df.filter(F.col("t").rlike("(?U)" + pattern) & ~R.may_hold("t", family)).count() == 0
+    red = R.redact(df, "t", "fams")
+    assert all(len(r.fams) == 2 and r.t.count(R.REDACTION_MARKER) == 2 for r in red.collect())
+    found = R.findings(red.withColumn("p", F.col("i").cast("string")), "p", "fams")
+    for q in (red, found):
+        plan = q._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace(") <= len(R.FAMILIES) and plan.count("RLIKE") <= len(R.FAMILIES)
+    assert found.count() == 2 * len(POSITIVE)
+
+
 def test_redaction_idempotent(spark):
     df = spark.createDataFrame([(0, "x " + POSITIVE[3])], "i int, text string")
     once = R.redact(df, "text", "f").select("i", "text")
