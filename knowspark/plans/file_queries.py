@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions.text import first_code_block, tags_with, text_stats
 from ..operators import files as FL
-from ..session import scratch_path
+from ..session import held, scratch_path
 from ..sources import files as FI
+from ..sources.file_sink import write_line_files
 from . import oracle as O
 from . import views as V
 from .transcript_queries import STRIP, _render, rendered_sql
@@ -172,7 +173,7 @@ def q_src_text_files(spark, sf):
     """Documents written as one file each, scanned back over two roots that overlap."""
     out = scratch_path(spark, "notes")
     d = V.table(spark, sf, "documents")
-    d.select("lang", "doc_id", "text").repartition("lang", "doc_id").write.partitionBy("lang", "doc_id").text(out)
+    write_line_files(d.select("lang", "doc_id", "text"), ["lang", "doc_id"], out)
     folder = out.replace("file:", "", 1)
     items = FI.text_items(spark, "notes", {"path": [folder, f"{folder}/lang=*"], "patterns": ["**/*.txt", "**/part-*"],
                                            "exclude_patterns": ["*.crc"], "extra_tags": [" notes ", ""]}, ["*.md"], "markdown_dir")
@@ -185,19 +186,19 @@ def q_src_incremental(spark, sf):
     """Second scan of transcript files: unchanged, grown, shrunk and new ones against a stored state."""
     out = scratch_path(spark, "sessions")
     lines = _render(spark, sf, "codex").withColumn("conv", F.regexp_extract("stem", r"(\d+)", 1).cast("long"))
-    lines.repartition("conv").sortWithinPartitions("conv", "line_no").select("conv", "value").write.partitionBy("conv").text(out)
+    write_line_files(lines.select("conv", "line_no", "value"), ["conv"], out, "line_no")
     conv = lambda c: F.regexp_extract(c, r"conv=(\d+)/", 1).cast("long")
-    files = FI.listing(spark, out.replace("file:", "", 1), ["**/*.txt"])
+    files = held(FI.listing(spark, out.replace("file:", "", 1), ["**/*.txt"]), "listing")
     of = files.withColumn("conv", conv("path"))
     w = Window.partitionBy("conv").orderBy("line_no")
     read = lines.withColumn("i", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv")))
     half = read.groupBy("conv").agg(F.sum(F.when(F.col("i") <= F.floor(F.col("n") / 2), F.octet_length("value") + 1).otherwise(0)).alias("bytes"),
                                     F.floor(F.max("n") / 2).cast("long").alias("lines"), F.max("n").alias("n"))
     m = F.col("conv") % 4
-    state = of.join(half, "conv").filter(m != 3).select(
+    state = held(of.join(half, "conv").filter(m != 3).select(
         FI.file_key("path").alias("file_key"),
         F.when(m == 0, F.col("length")).when(m == 1, F.col("bytes")).otherwise(F.col("length") + 10).cast("long").alias("offset"),
-        F.col("mtime_ns").alias("mtime"), F.when(m == 0, F.col("n")).otherwise(F.col("lines")).cast("long").alias("line_no"))
+        F.col("mtime_ns").alias("mtime"), F.when(m == 0, F.col("n")).otherwise(F.col("lines")).cast("long").alias("line_no")), "state")
     items, new = FI.scan_transcripts(files, state, "codex-sessions", "codex", range_bytes=4096)
     rows = items.select(conv("source_path").alias("conv_id"), "line_no", "role", F.md5("content").alias("value"))
     return rows.unionByName(new.select(conv("file_key").alias("conv_id"), "line_no", F.lit("state").alias("role"), F.col("offset").cast("string").alias("value")))

@@ -9,6 +9,7 @@ from ..operators import search as S
 from ..operators import segments as SG
 from ..schema import ENTRY_COLUMNS
 from ..session import scratch_path
+from ..sources.file_sink import write_line_files
 from . import oracle as O
 from . import store_queries as SQ
 from . import transcript_queries as TQ
@@ -44,7 +45,7 @@ def q_observe_refresh(spark, sf):
     """Two runs of the refresh job over a table, transcript files and a source that is not there."""
     files, root = scratch_path(spark, "sessions"), scratch_path(spark, "store")
     lines = TQ._render(spark, sf, "codex").withColumn("conv", F.regexp_extract("stem", r"(\d+)", 1).cast("long"))
-    lines.repartition("conv").sortWithinPartitions("conv", "line_no").select("conv", "value").write.partitionBy("conv").text(files)
+    write_line_files(lines.select("conv", "line_no", "value"), ["conv"], files, "line_no")
     SG.create(V.bench_entries(spark, sf).select(*ENTRY_COLUMNS), root)
     part = {"table": "part", "columns": {"id": "p_partkey", "name": "p_name", "content": ["p_type", "p_brand"]}}
     sources = [{"source_id": "catalog", "kind": "sqlite_table", "params": {"path": f"{sf}/part.parquet", **part}},

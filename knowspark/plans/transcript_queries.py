@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.json import dig, json_fields
 from ..session import scratch_path
 from ..sources import transcripts as TR
+from ..sources.file_sink import write_line_files
 from . import views as V
 
 
@@ -80,9 +81,8 @@ def q_src_transcripts(spark, sf):
     """Write the codex rendering as one JSONL file per conversation, scan it back."""
     out = scratch_path(spark, "transcripts")
     lines = _render(spark, sf, "codex").withColumn("conv", F.regexp_extract("stem", r"(\d+)", 1).cast("long"))
-    (lines.repartition("conv").sortWithinPartitions("conv", "line_no")
-          .select("conv", "value").write.partitionBy("conv").text(out))
-    read = TR.read_lines(spark, [out + "/*/*.txt"])
+    write_line_files(lines.select("conv", "line_no", "value"), ["conv"], out, "line_no")
+    read = TR.read_lines(spark, [out], below="*.txt")
     t = TR.turns(read, "codex-sessions", "codex")
     return t.select(F.regexp_extract("source_path", r"conv=(\d+)", 1).cast("long").alias("conv_id"),
                     "line_no", "role", F.col("content").alias("text"))

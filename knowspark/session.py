@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job of this package relies on; all are plain Spark confs.
 BASE_CONF = {
@@ -67,3 +67,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     import uuid
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def held(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the scratch folder once and read back, for plans that use it several times."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

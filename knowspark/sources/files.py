@@ -28,7 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import paths as P
 from ..operators.files import decode_utf8
-from ..session import scratch_path
+from ..session import held, scratch_path
 
 LISTING = "root string, path string, rel string, length long, mtime_ns long"
 _LISTING_ARROW = pa.schema([("root", pa.string()), ("path", pa.string()), ("rel", pa.string()), ("length", pa.int64()), ("mtime_ns", pa.int64())])
@@ -315,7 +315,9 @@ def scan_transcripts(files: DataFrame, state: DataFrame, source_id: str, fmt: st
     f = files.select(file_key("path", key_by).alias("file_key"), "path", F.col("length").alias("size"), F.col("mtime_ns").alias("mtime"))
     # one file a key: of files of one name the newest
     f = f.groupBy("file_key").agg(F.max(F.struct("mtime", "size", "path")).alias("f")).select("file_key", "f.path", "f.size", "f.mtime")
-    pending = scan_pending(f, state).join(f.select("file_key", "path", "mtime"), "file_key")
+    # the listing and what is pending are read by several plans; the folders are walked once
+    f = held(f, "listed")
+    pending = held(scan_pending(f, state).join(f.select("file_key", "path", "mtime"), "file_key"), "pending")
     lines, new = lines_from(pending, range_bytes)
     kept = state.join(new.select("file_key"), "file_key", "left_anti").select("file_key", "offset", "mtime", "line_no")
     return turns(lines, source_id, fmt, **options), kept.unionByName(new)

@@ -200,17 +200,21 @@ def turns(lines: DataFrame, source_id: str, fmt: str = "claude_code", roles=("us
         "role", session.alias("session"), uuid.alias("uuid"), ts.alias("timestamp"), "line_no")
 
 
-def read_lines(spark: SparkSession, paths: list[str], key_by: str = "path") -> DataFrame:
+def read_lines(spark: SparkSession, paths: list[str], key_by: str = "path", below: str | None = None) -> DataFrame:
     """JSONL files -> (file_key, display_path, stem, line_no, value), line numbers 1-based.
 
     Files under the never-index rule are left out (a filter on the path alone,
     which Spark applies to the listing).  Paths are plain, not percent-encoded.
+    With ``below`` (a glob of file names) the paths are folders, of which the
+    files at any depth are read: Spark then lists them by tasks, while a path
+    with globs is expanded on the driver, file by file.
 
     Split-parallel: no file is read by a single task; only the per-split line
     counts (one row per split) go through a window.
     """
     plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    raw = (spark.read.text(paths).filter(~is_excluded(plain))
+    reader = spark.read if below is None else spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", below)
+    raw = (reader.text(paths).filter(~is_excluded(plain))
                 .select(F.col("value"), plain.alias("display_path"),
                         F.col("_metadata.file_block_start").alias("blk"),
                         F.monotonically_increasing_id().alias("mid")))

@@ -224,3 +224,31 @@ def test_sync_drains_the_drop_folder_and_observes_the_rest(spark, tmp_path):
     assert {f: len(open(f"{out}/{f}", "rb").read()) for f in os.listdir(out)} == {"in.txt.md": 12, "big.txt": 300, "bericht.bin": 9, "own.md": 4}
     SY.sync(spark, home, root, blobs, NOW, mode="always_absorb")
     assert not os.path.exists(f"{home}/notes/a.md") and os.path.exists(f"{home}/config.json")
+
+
+def test_line_files_are_those_of_a_partitioned_write(spark, tmp_path):
+    import glob
+
+    from knowspark.sources import transcripts as TR
+    from knowspark.sources.file_sink import write_line_files
+    rows = [("a/b:c", 1, 2, "second"), ("a/b:c", 1, 1, "first \u00e9"), ("a/b:c", 2, 1, ""), (None, 3, 1, None), ("", 4, 1, "x"), ("d e+f", None, 1, "y")]
+    df = spark.createDataFrame(rows, "lang string, n long, at int, t string")
+    write_line_files(df, ["lang", "n"], f"file:{tmp_path}/ours", "at")
+    df.repartition("lang", "n").sortWithinPartitions("lang", "n", "at").select("lang", "n", "t").write.partitionBy("lang", "n").text(f"file:{tmp_path}/spark")
+
+    def found(root):
+        return {f.rsplit("/", 1)[0][len(f"{tmp_path}/{root}"):]: open(f, "rb").read() for f in glob.glob(f"{tmp_path}/{root}/*/*/*.txt")}
+
+    assert found("ours") == found("spark") and len(found("ours")) == 5
+    lines = TR.read_lines(spark, [f"{tmp_path}/ours"], below="*.txt").filter("display_path like '%n=1/%'")
+    assert sorted((r.line_no, r.value) for r in lines.collect()) == [(1, "first \u00e9"), (2, "second")]
+
+
+def test_a_scan_walks_the_folders_once(spark, tmp_path):
+    from knowspark.sources import files as FI
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "s.jsonl").write_text('{"session_id": "s", "text": "hello"}\n')
+    items, new = FI.scan_transcripts(FI.listing(spark, str(tmp_path / "in")), spark.createDataFrame([], FI.STATE), "x", "codex")
+    (tmp_path / "in" / "s.jsonl").unlink()  # what comes later is of no matter to this scan
+    assert [r.content for r in items.collect()] == ["hello"] and new.count() == 1
+    assert "file_tree" not in items._jdf.queryExecution().toString() + new._jdf.queryExecution().toString()
