@@ -44,11 +44,11 @@ def accent_table() -> tuple[str, str]:
 
 
 def fold(c: Column | str) -> Column:
-    """Lower-case, strip diacritics, fold accented letters."""
+    """Lower-case, strip diacritics, fold accented letters (a text of one-byte characters has none of these)."""
     c = F.col(c) if isinstance(c, str) else c
     src, dst = accent_table()
     no_marks = F.regexp_replace(F.lower(c), DIACRITICS, "")
-    return F.translate(no_marks, src, dst)
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(no_marks, src, dst))
 
 
 def tokens(c: Column | str) -> Column:

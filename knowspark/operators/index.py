@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..schema import ENTRY_SCHEMA, SEARCH_COLUMNS
+from ..session import held
 
 K1 = 1.2
 B = 0.75
@@ -46,11 +47,8 @@ def tokenized(entries: DataFrame) -> DataFrame:
 
 
 def _postings(toks: DataFrame) -> DataFrame:
-    def uses_in(c: str, k: int) -> Column:
-        return F.transform(f"t_{c}", lambda t, i: F.struct(t.alias("term"), F.lit(k).alias("col"), i.alias("pos")))
-
-    uses = F.flatten(F.array(*[uses_in(c, k) for k, c in enumerate(SEARCH_COLUMNS)]))
-    one = toks.select("store", "id", "dl", F.explode(uses).alias("u")).select("store", "id", "dl", "u.*")
+    columns = F.array(*[F.struct(F.lit(k).alias("col"), F.col(f"t_{c}").alias("t")) for k, c in enumerate(SEARCH_COLUMNS)])
+    one = toks.select("store", "id", "dl", F.inline(columns)).select("store", "id", "dl", "col", F.posexplode("t").alias("pos", "term"))
     return one.groupBy("store", "term", "id").agg(
         F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"),
         *[F.sort_array(F.collect_list(F.when(F.col("col") == k, F.col("pos")))).alias(f"pos_{c}") for k, c in enumerate(SEARCH_COLUMNS)])
@@ -60,9 +58,10 @@ def postings(entries: DataFrame) -> DataFrame:
     """(store, term, id, tf, dl, pos_*): uses of a term in an entry.
 
     The groupBy key is high-cardinality, so frequent terms do not skew it, and
-    the lists of a key are bounded by one entry.
+    the lists of a key are bounded by one entry.  The entries are spread by their
+    key before they are cut into words, so the text is shuffled, not its words.
     """
-    return _postings(tokenized(entries))
+    return _postings(tokenized(entries.repartition("store", "id")))
 
 
 def by_column(post: DataFrame) -> DataFrame:
@@ -176,6 +175,11 @@ def build_index(entries: DataFrame, tokens_df: DataFrame | None = None) -> Index
     return Index(entries=entries, postings=_postings(toks), lengths=lengths, stats=store_stats(lengths))
 
 
+def held_index(entries: DataFrame) -> Index:
+    """:func:`build_index` for several searches: the tokens are written to the scratch folder once."""
+    return build_index(entries, held(tokenized(entries), "tokens"))
+
+
 def write_entries(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Entries partitioned by (store, type), and sorted by id in narrow ranges."""
     (entries.repartitionByRange("store", "type", "id").sortWithinPartitions("store", "type", "id")

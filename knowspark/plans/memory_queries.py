@@ -37,7 +37,7 @@ def q_memory_build(spark, sf):
 
 
 def _mem_index(spark, sf):
-    return ix.build_index(V.memory_entries(spark, sf))
+    return ix.held_index(V.memory_entries(spark, sf))
 
 
 def q_recall(spark, sf):

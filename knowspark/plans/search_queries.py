@@ -23,6 +23,10 @@ def _index(spark: SparkSession, sf: str) -> ix.Index:
     return ix.build_index(V.entries(spark, sf))
 
 
+def _held(spark: SparkSession, sf: str) -> ix.Index:
+    return ix.held_index(V.entries(spark, sf))
+
+
 def _ranked(df: DataFrame) -> DataFrame:
     return df.select("qid", "store", "id", "name", F.round("rank", 6).alias("rank"))
 
@@ -43,7 +47,7 @@ def q_term_stats(spark, sf):
 
 
 def _eval(spark, sf, queries: dict[int, str], mode: str):
-    idx = _index(spark, sf)
+    idx = _held(spark, sf)
     if mode == "or":
         exprs = {q: S.parse_match(S.or_rewrite(t) or t) for q, t in queries.items()}
     else:
@@ -130,7 +134,7 @@ COLUMN_QUERIES = {1: "tags:documents src1", 2: "name:bench", 3: "^the", 4: "cont
 
 def _expr_query(qs):
     def run(spark, sf):
-        idx = _index(spark, sf)
+        idx = _held(spark, sf)
         hits = S.evaluate(idx, {q: S.parse_match(t) for q, t in qs.items()})
         return _ranked(hits.join(idx.entries.select("store", "id", "name"), ["store", "id"]))
     return run
@@ -160,15 +164,15 @@ def _find_out(df):
 
 
 def q_find(spark, sf):
-    return _find_out(S.find(_index(spark, sf), FIND_QUERIES, limit=FIND_LIMIT))
+    return _find_out(S.find(_held(spark, sf), FIND_QUERIES, limit=FIND_LIMIT))
 
 
 def q_find_type(spark, sf):
-    return _find_out(S.find(_index(spark, sf), {1: TYPE_QUERY}, type=TYPE_FILTER, limit=FIND_LIMIT))
+    return _find_out(S.find(_held(spark, sf), {1: TYPE_QUERY}, type=TYPE_FILTER, limit=FIND_LIMIT))
 
 
 def q_find_source(spark, sf):
-    return _find_out(S.find(_index(spark, sf), {1: SOURCE_QUERY}, source=SOURCE_FILTER, limit=FIND_LIMIT))
+    return _find_out(S.find(_held(spark, sf), {1: SOURCE_QUERY}, source=SOURCE_FILTER, limit=FIND_LIMIT))
 
 
 def q_browse(spark, sf):
@@ -190,7 +194,7 @@ def q_find_like_any(spark, sf):
 
 
 def q_snippet(spark, sf):
-    r = S.find(_index(spark, sf), {1: "the moron", 2: "aux."}, limit=FIND_LIMIT, with_snippets=True)
+    r = S.find(_held(spark, sf), {1: "the moron", 2: "aux."}, limit=FIND_LIMIT, with_snippets=True)
     return r.select("qid", "pos", "store", "id", "snippet")
 
 
@@ -199,7 +203,7 @@ BOUNDED = {1: " the moron ", 2: "aux.", 3: "  ", 4: ""}
 
 
 def q_find_bounded(spark, sf):
-    idx = _index(spark, sf)
+    idx = _held(spark, sf)
     cols = ["qid", "pos", "store", "id", "snippet"]
     a = S.find_bounded(idx, BOUNDED, limit="many").select(*cols, F.lit("bad").alias("asked"))
     return a.unionByName(S.find_bounded(idx, {1: BOUNDED[1]}, limit=1000).select(*cols, F.lit("large").alias("asked")))
