@@ -24,14 +24,18 @@ one term are of even size whatever the ids are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..schema import ENTRY_SCHEMA, SEARCH_COLUMNS
-from ..session import held
+from ..session import held, scratch_path
+from . import commits
 
 K1 = 1.2
 B = 0.75
@@ -47,6 +51,7 @@ def tokenized(entries: DataFrame) -> DataFrame:
 
 
 def _postings(toks: DataFrame) -> DataFrame:
+    """Postings by built-ins alone: a search's filter on ``term`` reaches the words before they are grouped."""
     columns = F.array(*[F.struct(F.lit(k).alias("col"), F.col(f"t_{c}").alias("t")) for k, c in enumerate(SEARCH_COLUMNS)])
     one = toks.select("store", "id", "dl", F.inline(columns)).select("store", "id", "dl", "col", F.posexplode("t").alias("pos", "term"))
     return one.groupBy("store", "term", "id").agg(
@@ -54,14 +59,118 @@ def _postings(toks: DataFrame) -> DataFrame:
         *[F.sort_array(F.collect_list(F.when(F.col("col") == k, F.col("pos")))).alias(f"pos_{c}") for k, c in enumerate(SEARCH_COLUMNS)])
 
 
-def postings(entries: DataFrame) -> DataFrame:
-    """(store, term, id, tf, dl, pos_*): uses of a term in an entry.
-
-    The groupBy key is high-cardinality, so frequent terms do not skew it, and
-    the lists of a key are bounded by one entry.  The entries are spread by their
-    key before they are cut into words, so the text is shuffled, not its words.
+#: words of entries that are counted at once; an entry with more is counted alone
+WORDS = 1 << 19
+
+
+def _new_key(batch: pa.RecordBatch) -> np.ndarray:
+    """Whether a row's (store, id) differs from the one's before it; the first row's does."""
+    new = np.ones(batch.num_rows, bool)
+    store, id = batch.column(0).dictionary_encode().indices.to_numpy(False), batch.column(1)
+    none, id = id.is_null().to_numpy(False), id.fill_null(0).to_numpy(False)
+    new[1:] = (store[1:] != store[:-1]) | (id[1:] != id[:-1]) | (none[1:] != none[:-1])
+    return new
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (store, id), cut so that the rows of a key stay together, at about ``WORDS`` words and where the store changes."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        starts = np.flatnonzero(_new_key(batch))
+        if not len(starts):
+            continue
+        words = np.concatenate([[0], np.cumsum(batch.column(2).to_numpy(False))])
+        store = batch.column(0).dictionary_encode().indices.to_numpy(False)
+        cuts, done = [0], 0
+        for at in starts[1:]:
+            if words[at] - done >= WORDS or store[at] != store[at - 1] or at == starts[-1]:
+                cuts.append(int(at))
+                done = words[at]
+        if kept and any(kept[0].column(k)[0].as_py() != batch.column(k)[0].as_py() for k in (0, 1)):
+            yield pa.concat_batches(kept)
+            kept = []
+        for at, to in zip(cuts, [*cuts[1:], batch.num_rows]):
+            kept.append(batch.slice(at, to - at))
+            if to < batch.num_rows:
+                yield pa.concat_batches(kept)
+                kept = []
+    if kept:
+        yield pa.concat_batches(kept)
+
+
+def _uses(positions: bool, lengths: bool):
+    """What :func:`_cut` runs in a task."""
+    fields = ["id", "tf", "dl", *([f"pos_{c}" for c in SEARCH_COLUMNS] if positions else [])]
+
+    def packed(store: pa.Array, term: pa.Array, starts: np.ndarray, uses: list[pa.Array]) -> pa.RecordBatch:
+        """A row a term with its uses, which begin at ``starts``; all are of one store."""
+        ends = pa.array(np.append(starts, len(uses[0])).astype(np.int32))
+        lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(uses, fields))
+        return pa.RecordBatch.from_arrays([store.take(pa.array(np.zeros(len(starts), np.int64))), term, lists], ["store", "term", "uses"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_keys(batches):
+            store, id, dl = batch.columns[:3]
+            if lengths:
+                n = batch.num_rows
+                none = [pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.int32()))] * (len(fields) - 3)
+                yield packed(store, pa.nulls(1, pa.string()), np.zeros(1, int), [id, pa.array(np.zeros(n, np.int64)), dl, *none])
+            new = _new_key(batch)
+            entry, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            words, of, col, pos = [], [], [], []
+            for k, t in enumerate(batch.columns[3:]):
+                ends = np.asarray(t.offsets)
+                n = np.diff(ends)
+                words.append(t.flatten())
+                of.append(np.repeat(entry, n))
+                col.append(np.full(len(words[-1]), k, np.int8))
+                pos.append(np.arange(len(words[-1]), dtype=np.int32) - np.repeat((ends[:-1] - ends[0]).astype(np.int32), n))
+            coded = pa.concat_arrays(words).dictionary_encode()
+            if not len(coded):
+                continue
+            code, of, col, pos = coded.indices.to_numpy(False).astype(np.int64), np.concatenate(of), np.concatenate(col), np.concatenate(pos)
+            if not new.all():  # words come by column and position, but not those of several rows of a key
+                at = np.lexsort((pos, col))
+                code, of, col, pos = code[at], of[at], col[at], pos[at]
+            # by term, so that what follows meets a term's uses together, then by entry, column and position
+            bits, more = len(first).bit_length(), len(code).bit_length()
+            key, use = code << bits | of, np.arange(len(code))
+            if len(coded.dictionary).bit_length() + bits + more < 64:
+                use = np.sort(key << more | use)
+                use, key = use & ((1 << more) - 1), use >> more
+            else:
+                use = np.argsort(key, kind="stable")
+                key = key[use]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            tf, key, col, pos = np.diff(np.append(starts, len(key))), key[starts], col[use], pos[use]
+            row = pa.array(first[key & ((1 << bits) - 1)])
+            out = [id.take(row), pa.array(tf), dl.take(row)]
+            for k in range(len(fields) - 3):
+                here = col == k
+                ends = np.append(0, np.cumsum(np.add.reduceat(here, starts, dtype=np.int32), dtype=np.int32))
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(pos[here])))
+            term = key >> bits
+            heads = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+            yield packed(store, coded.dictionary.take(pa.array(term[heads])), heads, out)
+    return run
+
+
+def _cut(entries: DataFrame, positions: bool = True, lengths: bool = False) -> DataFrame:
+    """Postings of entries, made entry by entry in arrays; with ``lengths`` also a row without a term for each entry.
+
+    The entries are spread by their key and come in its order, so rows of one key are
+    one entry, the text is shuffled and not its words, and nothing is grouped after that.
     """
-    return _postings(tokenized(entries.repartition("store", "id")))
+    rows = entries.select("store", "id", *SEARCH_COLUMNS).repartition("store", "id").sortWithinPartitions("store", "id")
+    toks = tokenized(rows).select("store", "id", "dl", *[f"t_{c}" for c in SEARCH_COLUMNS])
+    use = "id: bigint, tf: bigint, dl: bigint" + "".join(f", pos_{c}: array<int>" for c in SEARCH_COLUMNS if positions)
+    packed = toks.mapInArrow(_uses(positions, lengths), f"store string, term string, uses array<struct<{use}>>")
+    return packed.select("store", "term", F.inline("uses"))
+
+
+def postings(entries: DataFrame, positions: bool = True) -> DataFrame:
+    """(store, term, id, tf, dl, pos_*): uses of a term in an entry; statistics need no ``positions``."""
+    return _cut(entries, positions)
 
 
 def by_column(post: DataFrame) -> DataFrame:
@@ -187,24 +296,30 @@ def write_entries(entries: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 
 def write_index_from(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write the entries, then tokenise what was written for postings and lengths."""
+    """Write the entries, then cut what was written into words, once for postings and lengths."""
+    spark = entries.sparkSession
     write_entries(entries, f"{path}/entries", mode)
-    _write_terms(build_index(read_table(entries.sparkSession, path, "entries")), path, mode)
+    uses = _cut(read_table(spark, path, "entries"), lengths=True)
+    draft = scratch_path(spark, "uses")
+    uses.write.parquet(draft)
+    uses = spark.read.schema(uses.schema).parquet(draft)
+    _write_terms(uses.filter("term IS NULL").select("store", "id", "dl"), uses.filter("term IS NOT NULL"), path, mode)
+    commits.remove(spark, draft)
 
 
 def write_index(index: Index, path: str, mode: str = "overwrite") -> None:
     """Write all tables of an index."""
     write_entries(index.entries, f"{path}/entries", mode)
-    _write_terms(index, path, mode)
+    _write_terms(index.lengths, index.postings, path, mode)
 
 
-def _write_terms(index: Index, path: str, mode: str) -> None:
+def _write_terms(lengths: DataFrame, post: DataFrame, path: str, mode: str) -> None:
     """Lengths and statistics; postings range-partitioned and sorted by (store, term, id); terms and blocks from what was written."""
-    spark = index.lengths.sparkSession
-    index.lengths.write.mode(mode).partitionBy("store").parquet(f"{path}/lengths")
+    spark = lengths.sparkSession
+    lengths.write.mode(mode).partitionBy("store").parquet(f"{path}/lengths")
     store_stats(read_table(spark, path, "lengths")).coalesce(1).write.mode(mode).parquet(f"{path}/stats")
     stats = read_table(spark, path, "stats")
-    write_postings(index.postings, stats, path, mode)
+    write_postings(post, stats, path, mode)
 
 
 def write_postings(post: DataFrame, stats: DataFrame, path: str, mode: str = "overwrite") -> None:

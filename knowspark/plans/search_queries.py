@@ -43,7 +43,7 @@ def q_postings(spark, sf):
 
 
 def q_term_stats(spark, sf):
-    return ix.term_stats(ix.postings(V.entries(spark, sf)))
+    return ix.term_stats(ix.postings(V.entries(spark, sf), positions=False))
 
 
 def _eval(spark, sf, queries: dict[int, str], mode: str):
