@@ -11,15 +11,19 @@ over a filtered subset (ranking of a filtered search still uses whole-store
 document frequencies).
 
 At scale the index is built once per snapshot and written with
-``write_index``: postings partitioned by store and sorted by (term, id), so a
+``write_index``: postings partitioned by store and sorted by term, so a
 search, which filters ``term`` by literals, reads only the row groups whose
-term bounds cover its terms.  The range key ends with ``id``: the postings of
-one frequent term can spread over several files.  Entries are range-partitioned
-and sorted by id, so the rows of a result are fetched by narrow id bounds.
+term bounds cover its terms.  On disk a row holds the uses of a term in some
+entries (``uses``), and :func:`read_table` gives a row a posting again: what is
+shuffled, sorted and written is a row a term of many entries.  The range key
+ends with the hash of a row's first id: the postings of one frequent term can
+spread over several files.  Entries are range-partitioned and sorted by id, so
+the rows of a result are fetched by narrow id bounds.
 
 A term's blocks are cut by the leading bits of a hash of the entry id.  So the
 block of an entry in any term's list is known without a search, and blocks of
-one term are of even size whatever the ids are.
+one term are of even size whatever the ids are.  Entries are cut into words in
+order of that hash, so the uses of a row are of few blocks, however many there are.
 """
 
 from __future__ import annotations
@@ -60,7 +64,7 @@ def _postings(toks: DataFrame) -> DataFrame:
 
 
 #: words of entries that are counted at once; an entry with more is counted alone
-WORDS = 1 << 19
+WORDS = 1 << 20
 
 
 def _new_key(batch: pa.RecordBatch) -> np.ndarray:
@@ -155,22 +159,29 @@ def _uses(positions: bool, lengths: bool):
     return run
 
 
-def _cut(entries: DataFrame, positions: bool = True, lengths: bool = False) -> DataFrame:
-    """Postings of entries, made entry by entry in arrays; with ``lengths`` also a row without a term for each entry.
+def _cut(rows: DataFrame, positions: bool = True, lengths: bool = False) -> DataFrame:
+    """(store, term, uses): postings of rows whose keys come together and in order, made entry by entry in arrays.
 
-    The entries are spread by their key and come in its order, so rows of one key are
-    one entry, the text is shuffled and not its words, and nothing is grouped after that.
+    A row holds a term's uses in entries that were counted at once; with ``lengths`` rows
+    without a term hold the entries.  Rows of one key are one entry, and nothing is grouped.
     """
-    rows = entries.select("store", "id", *SEARCH_COLUMNS).repartition("store", "id").sortWithinPartitions("store", "id")
     toks = tokenized(rows).select("store", "id", "dl", *[f"t_{c}" for c in SEARCH_COLUMNS])
     use = "id: bigint, tf: bigint, dl: bigint" + "".join(f", pos_{c}: array<int>" for c in SEARCH_COLUMNS if positions)
-    packed = toks.mapInArrow(_uses(positions, lengths), f"store string, term string, uses array<struct<{use}>>")
+    return toks.mapInArrow(_uses(positions, lengths), f"store string, term string, uses array<struct<{use}>>")
+
+
+def _each(packed: DataFrame) -> DataFrame:
+    """A row a posting."""
     return packed.select("store", "term", F.inline("uses"))
 
 
 def postings(entries: DataFrame, positions: bool = True) -> DataFrame:
-    """(store, term, id, tf, dl, pos_*): uses of a term in an entry; statistics need no ``positions``."""
-    return _cut(entries, positions)
+    """(store, term, id, tf, dl, pos_*): uses of a term in an entry; statistics need no ``positions``.
+
+    The entries are spread by their key: the text is shuffled and not its words.
+    """
+    rows = entries.select("store", "id", *SEARCH_COLUMNS).repartition("store", "id").sortWithinPartitions("store", "id")
+    return _each(_cut(rows, positions))
 
 
 def by_column(post: DataFrame) -> DataFrame:
@@ -211,16 +222,25 @@ def share(tf: Column | str, dl: Column | str, avgdl: Column | str) -> Column:
 HASH_BITS = 40
 
 
+def _hash(id: Column | str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(id), 64 - HASH_BITS)
+
+
 def block_of(id: Column | str, bits: Column | str) -> Column:
     """Block of an entry in the list of a term that is cut by ``bits`` leading bits."""
     bits = F.col(bits) if isinstance(bits, str) else bits
-    return F.call_function("shiftright", F.shiftrightunsigned(F.xxhash64(id), 64 - HASH_BITS), (HASH_BITS - bits).cast("int"))
+    return F.call_function("shiftright", _hash(id), (HASH_BITS - bits).cast("int"))
+
 
+def _peak(uses: str) -> Column:
+    """The largest share of a score in an array of uses."""
+    return F.array_max(F.zip_with(f"{uses}.tf", f"{uses}.dl", lambda tf, dl: share(tf, dl, F.col("avgdl"))))
 
-def term_table(post: DataFrame, stats: DataFrame) -> DataFrame:
-    """(store, term, df, bits, peak)."""
-    s = post.join(F.broadcast(stats.select("store", "avgdl")), "store")  # a row a store
-    t = s.groupBy("store", "term").agg(F.count(F.lit(1)).alias("df"), F.max(share("tf", "dl", "avgdl")).alias("peak"))
+
+def term_table(packed: DataFrame, stats: DataFrame) -> DataFrame:
+    """(store, term, df, bits, peak) of postings in rows (store, term, uses)."""
+    s = packed.join(F.broadcast(stats.select("store", "avgdl")), "store")  # a row a store
+    t = s.groupBy("store", "term").agg(F.sum(F.size("uses.id")).alias("df"), F.max(_peak("uses")).alias("peak"))
     bits = F.greatest(F.lit(0), F.least(F.lit(HASH_BITS), F.ceil(F.log2(F.col("df") / BLOCK)))).cast("int")
     return t.select("store", "term", "df", bits.alias("bits"), "peak")
 
@@ -229,21 +249,41 @@ def term_table(post: DataFrame, stats: DataFrame) -> DataFrame:
 FREQUENT = 1000
 
 
-def block_table(post: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (store, term, blocks, docs) cut into rows (store, term, block, docs)."""
+    for batch in batches:
+        store, term, blocks, docs = batch.columns
+        row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(blocks.offsets)))
+        if not len(row):
+            continue
+        block = blocks.flatten().to_numpy(False)
+        at = np.lexsort((block, row))
+        row, block = row[at], block[at]
+        heads = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(row)).astype(np.int32)), docs.flatten().take(pa.array(at)))
+        of = pa.array(row[heads])
+        yield pa.RecordBatch.from_arrays([store.take(of), term.take(of), pa.array(block[heads]), lists], ["store", "term", "block", "docs"])
+
+
+def block_table(packed: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
     """(store, term, block, n, peak, docs): the postings without positions, in blocks.
 
     Frequent terms are sent to all tasks: there are at most ``FREQUENT`` times the
     average entry length of them, whatever the number of entries.  So no task
-    gets the whole list of a frequent term.
+    gets the whole list of a frequent term.  A term without a row has one block.
     """
-    s = post.select("store", "term", "id", "tf", "dl").join(F.broadcast(stats.select("store", "avgdl")), "store")
-    t = terms.join(F.broadcast(stats.select("store", "n_docs")), "store")
+    docs = F.arrays_zip(*[F.col(f"uses.{c}").cast(f"array<{kind}>").alias(c) for c, kind in (("id", "bigint"), ("tf", "int"), ("dl", "int"))])
+    s = packed.select("store", "term", docs.alias("docs"))
+    t = terms.filter("bits > 0").join(F.broadcast(stats.select("store", "n_docs")), "store")
     often = F.broadcast(t.filter(F.col("df") * FREQUENT > F.col("n_docs")).select("store", "term", "bits"))
     rare = t.filter(F.col("df") * FREQUENT <= F.col("n_docs")).select("store", "term", "bits")
-    s = s.join(often, ["store", "term"]).unionByName(s.join(often, ["store", "term"], "left_anti").join(rare, ["store", "term"]))
-    return s.groupBy("store", "term", block_of("id", "bits").alias("block")).agg(
-        F.count(F.lit(1)).alias("n"), F.max(share("tf", "dl", "avgdl")).alias("peak"),
-        F.sort_array(F.collect_list(F.struct("id", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl")))).alias("docs"))
+    s = s.join(often, ["store", "term"]).unionByName(s.join(often, ["store", "term"], "left_anti").join(rare, ["store", "term"], "left"))
+    blocks = F.transform("docs.id", lambda id: block_of(id, F.coalesce("bits", F.lit(0))))
+    cut = s.select("store", "term", blocks.alias("blocks"), "docs").mapInArrow(
+        _by_block, "store string, term string, block long, docs array<struct<id: bigint, tf: int, dl: int>>")
+    cut = cut.groupBy("store", "term", "block").agg(F.sort_array(F.flatten(F.collect_list("docs"))).alias("docs"))
+    return cut.join(F.broadcast(stats.select("store", "avgdl")), "store").select(
+        "store", "term", "block", F.size("docs").cast("long").alias("n"), _peak("docs").alias("peak"), "docs")
 
 
 # --------------------------------------------------------------------------
@@ -299,45 +339,49 @@ def write_index_from(entries: DataFrame, path: str, mode: str = "overwrite") ->
     """Write the entries, then cut what was written into words, once for postings and lengths."""
     spark = entries.sparkSession
     write_entries(entries, f"{path}/entries", mode)
-    uses = _cut(read_table(spark, path, "entries"), lengths=True)
+    rows = read_table(spark, path, "entries").select("store", "id", *SEARCH_COLUMNS)
+    uses = _cut(rows.repartitionByRange(_hash("id")).sortWithinPartitions("store", _hash("id"), "id"), lengths=True)
     draft = scratch_path(spark, "uses")
     uses.write.parquet(draft)
     uses = spark.read.schema(uses.schema).parquet(draft)
-    _write_terms(uses.filter("term IS NULL").select("store", "id", "dl"), uses.filter("term IS NOT NULL"), path, mode)
+    lengths = uses.filter("term IS NULL").select("store", F.inline(F.arrays_zip("uses.id", "uses.dl"))).toDF("store", "id", "dl")
+    _write_terms(lengths, uses.filter("term IS NOT NULL"), path, mode)
     commits.remove(spark, draft)
 
 
 def write_index(index: Index, path: str, mode: str = "overwrite") -> None:
     """Write all tables of an index."""
     write_entries(index.entries, f"{path}/entries", mode)
-    _write_terms(index.lengths, index.postings, path, mode)
+    use = F.struct("id", "tf", "dl", *[f"pos_{c}" for c in SEARCH_COLUMNS])
+    _write_terms(index.lengths, index.postings.select("store", "term", F.array(use).alias("uses")), path, mode)
 
 
-def _write_terms(lengths: DataFrame, post: DataFrame, path: str, mode: str) -> None:
-    """Lengths and statistics; postings range-partitioned and sorted by (store, term, id); terms and blocks from what was written."""
+def _write_terms(lengths: DataFrame, packed: DataFrame, path: str, mode: str) -> None:
+    """Lengths and statistics; postings range-partitioned and sorted by (store, term, hash of the first id); terms and blocks from what was written."""
     spark = lengths.sparkSession
     lengths.write.mode(mode).partitionBy("store").parquet(f"{path}/lengths")
     store_stats(read_table(spark, path, "lengths")).coalesce(1).write.mode(mode).parquet(f"{path}/stats")
     stats = read_table(spark, path, "stats")
-    write_postings(post, stats, path, mode)
+    write_postings(packed, stats, path, mode)
 
 
-def write_postings(post: DataFrame, stats: DataFrame, path: str, mode: str = "overwrite") -> None:
-    spark = post.sparkSession
-    (post.repartitionByRange("store", "term", "id").sortWithinPartitions("store", "term", "id")
-         .write.mode(mode).partitionBy("store").parquet(f"{path}/postings"))
-    post = read_table(spark, path, "postings")
-    (term_table(post, stats).repartitionByRange("store", "term").sortWithinPartitions("store", "term")
+def write_postings(packed: DataFrame, stats: DataFrame, path: str, mode: str = "overwrite") -> None:
+    spark = packed.sparkSession
+    first = _hash(F.col("uses")[0]["id"])
+    (packed.repartitionByRange("store", "term", first).sortWithinPartitions("store", "term", first)
+           .write.mode(mode).partitionBy("store").parquet(f"{path}/postings"))
+    packed = _read(spark, path, "postings")
+    (term_table(packed, stats).repartitionByRange("store", "term").sortWithinPartitions("store", "term")
          .write.mode(mode).partitionBy("store").parquet(f"{path}/terms"))
     terms = read_table(spark, path, "terms")
-    (block_table(post, terms, stats).repartitionByRange("store", "term", "block").sortWithinPartitions("store", "term", "block")
+    (block_table(packed, terms, stats).repartitionByRange("store", "term", "block").sortWithinPartitions("store", "term", "block")
          .write.mode(mode).partitionBy("store").parquet(f"{path}/blocks"))
 
 
 #: columns of the written tables; a part without rows has no file that tells them
 SCHEMAS = {
     "entries": ENTRY_SCHEMA,
-    "postings": "store string, term string, id long, tf long, dl long, " + ", ".join(f"pos_{c} array<int>" for c in SEARCH_COLUMNS),
+    "postings": "store string, term string, uses array<struct<id: bigint, tf: bigint, dl: bigint, " + ", ".join(f"pos_{c}: array<int>" for c in SEARCH_COLUMNS) + ">>",
     "lengths": "store string, id long, dl long",
     "stats": "store string, n_docs long, n_tokens long, avgdl double",
     "terms": "store string, term string, df long, bits int, peak double",
@@ -345,10 +389,15 @@ SCHEMAS = {
 }
 
 
-def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
 
 
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A written table; postings as a row a posting."""
+    return _each(_read(spark, path, name)) if name == "postings" else _read(spark, path, name)
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
     read = lambda name: read_table(spark, path, name)
     return Index(entries=read("entries"), postings=read("postings"), lengths=read("lengths"), stats=read("stats"),
