@@ -3,9 +3,10 @@
 import random
 
 import brute
+import numpy as np
 from pyspark.sql import functions as F
 
-from knowspark.llm import decontam, quality, urls
+from knowspark.llm import decontam, minhash, quality, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string"
@@ -85,3 +86,27 @@ def test_neighbour_words_are_whole_however_long_or_far(spark):
     got = {(r["doc_id"], r["value"]): (r["left"], r["right"]) for r in spans.filter("kind = 0").collect()}
     assert got == {(1, "a@b.cd"): (long, long + "z"), (1, "x@y.zz"): ("end", long), (2, "a@b.cd"): ("", ""),
                    (3, "a@b.cd"): ("q" * 39, ",")}
+
+
+def test_signatures_of_many_sets_are_those_of_each():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)) for n in (3, 0, 1, 40, 0, 17, 5, 0)]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    for chunk in (1, 2, 7, 64, 1 << 16):
+        got = minhash.signatures(np.concatenate(sets), off, 12, chunk)
+        for x, row in zip(sets, got):
+            s = minhash.sigma((x >> np.uint64(32)).astype(np.uint32))
+            assert row.tolist() == [int(minhash.pi(s - np.uint32(k)).min()) if len(x) else 0 for k in range(12)]
+
+
+def test_maxima_in_blocks_are_those_of_whole_texts(monkeypatch):
+    m = toxicity.Model()
+    m.bias = [np.random.default_rng(k).normal(0, 0.1, toxicity.FILTERS).astype(np.float32) for k in range(len(m.bias))]
+    texts = [b"", b"a", b"one two", b"x " * 50, b"", b"the end of it", "dö 1 b".encode(), b""]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    ids, at, _ = toxicity.words(np.frombuffer(b"".join(texts), np.uint8), off)
+    want = m._pooled(ids, at, False)[0]
+    for block in (1, 2, 5, 4096):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        assert np.allclose(m._maxima(ids, at), want, rtol=1e-5, atol=1e-6)
+    assert not m._maxima(ids[:0], np.zeros(3, np.int64)).any()

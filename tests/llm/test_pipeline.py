@@ -52,3 +52,15 @@ def test_stage_on_odd_rows(spark, stage):
     out = stage[1](spark, df, SF)
     assert out.count() == 5
     assert stage[1](spark, df.limit(0), SF).count() == 0
+
+
+def test_near_copies_leave_without_a_shuffle_of_texts(spark, tmp_path):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join([*words[i % 40:], f"own{i}"])) for i in range(200)] + [(None, "a b c"), (7, " ".join([*words[7:], "own7"]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    out = P.drop_near_copies(spark, docs, SF)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    comps = brute.components([r for r in rows if r[0] is not None], 5)
+    assert {r["doc_id"] for r in out.collect()} == {None} | {i for i, (_, c) in comps.items() if i == c}
