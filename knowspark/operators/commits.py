@@ -82,6 +82,11 @@ def remove(spark: SparkSession, path: str) -> None:
     _fs(spark, path).delete(_path(spark, path), True)
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of the files of a folder."""
+    return _fs(spark, path).getContentSummary(_path(spark, path)).getLength()
+
+
 def prune(spark: SparkSession, root: str, keep: int, named) -> list[str]:
     """Keep the last ``keep`` manifests; delete the others and the folders that only they name.
 

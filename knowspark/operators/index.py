@@ -33,12 +33,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..schema import ENTRY_SCHEMA, SEARCH_COLUMNS
-from ..session import held, scratch_path
+from ..session import held, scratch_path, shuffles_removed
 from . import commits
 
 K1 = 1.2
@@ -132,6 +133,10 @@ def _uses(positions: bool, lengths: bool):
             coded = pa.concat_arrays(words).dictionary_encode()
             if not len(coded):
                 continue
+            order = pc.sort_indices(coded.dictionary)  # rows in order of their terms, so a slice of terms is a part of a file
+            rank = np.empty(len(order), np.int32)
+            rank[order.to_numpy(False)] = np.arange(len(order), dtype=np.int32)
+            coded = pa.DictionaryArray.from_arrays(rank[coded.indices.to_numpy(False)], coded.dictionary.take(order))
             code, of, col, pos = coded.indices.to_numpy(False).astype(np.int64), np.concatenate(of), np.concatenate(col), np.concatenate(pos)
             if not new.all():  # words come by column and position, but not those of several rows of a key
                 at = np.lexsort((pos, col))
@@ -329,10 +334,37 @@ def held_index(entries: DataFrame) -> Index:
     return build_index(entries, held(tokenized(entries), "tokens"))
 
 
+#: slices of the terms in which postings and blocks are written at most, and bytes of packed rows that need one
+SLICES, SLICE = 8, 1 << 25
+
+
+def _write(df: DataFrame, path: str, mode: str, *by: str) -> None:
+    """A table as Parquet; the shuffle files behind it go when it is written."""
+    with shuffles_removed(df.sparkSession):
+        df.write.mode(mode).option("compression", "zstd").partitionBy(*by).parquet(path)
+
+
+def _slices(packed: DataFrame, size: int) -> list[Column]:
+    """Conditions on ``term`` that cut rows of ``size`` bytes into ranges of about as many rows.
+
+    What is shuffled at once is one range, so it takes a part of the disk that the table itself takes.
+    """
+    n = min(SLICES, -(-size // SLICE))
+    if n < 2:
+        return [F.lit(True)]
+    head = F.rpad(F.hex(F.substring(F.encode("term", "UTF-8"), 1, 7)), 14, "0")
+    at = packed.agg(F.percentile_approx(F.conv(head, 16, 10).cast("long"), [k / n for k in range(1, n)], 10_000).alias("at")).first()["at"]
+    cuts = sorted({k.to_bytes(7).rstrip(b"\0").decode(errors="ignore") for k in at or []} - {""})
+    term = F.col("term")
+    if not cuts:
+        return [F.lit(True)]
+    between = [(term >= lo) & (term < hi) for lo, hi in zip(cuts[:-1], cuts[1:])]
+    return [term.isNull() | (term < cuts[0]), *between, term >= cuts[-1]]
+
+
 def write_entries(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Entries partitioned by (store, type), and sorted by id in narrow ranges."""
-    (entries.repartitionByRange("store", "type", "id").sortWithinPartitions("store", "type", "id")
-            .write.mode(mode).partitionBy("store", "type").parquet(path))
+    _write(entries.repartitionByRange("store", "type", "id").sortWithinPartitions("store", "type", "id"), path, mode, "store", "type")
 
 
 def write_index_from(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -342,40 +374,49 @@ def write_index_from(entries: DataFrame, path: str, mode: str = "overwrite") ->
     rows = read_table(spark, path, "entries").select("store", "id", *SEARCH_COLUMNS)
     uses = _cut(rows.repartitionByRange(_hash("id")).sortWithinPartitions("store", _hash("id"), "id"), lengths=True)
     draft = scratch_path(spark, "uses")
-    uses.write.parquet(draft)
+    _write(uses, draft, "overwrite")
     uses = spark.read.schema(uses.schema).parquet(draft)
     lengths = uses.filter("term IS NULL").select("store", F.inline(F.arrays_zip("uses.id", "uses.dl"))).toDF("store", "id", "dl")
-    _write_terms(lengths, uses.filter("term IS NOT NULL"), path, mode)
-    commits.remove(spark, draft)
+    stats = _write_lengths(lengths, path, mode)
+    write_postings(uses.filter("term IS NOT NULL"), stats, path, mode, draft)
 
 
 def write_index(index: Index, path: str, mode: str = "overwrite") -> None:
     """Write all tables of an index."""
     write_entries(index.entries, f"{path}/entries", mode)
     use = F.struct("id", "tf", "dl", *[f"pos_{c}" for c in SEARCH_COLUMNS])
-    _write_terms(index.lengths, index.postings.select("store", "term", F.array(use).alias("uses")), path, mode)
+    stats = _write_lengths(index.lengths, path, mode)
+    write_postings(index.postings.select("store", "term", F.array(use).alias("uses")), stats, path, mode)
 
 
-def _write_terms(lengths: DataFrame, packed: DataFrame, path: str, mode: str) -> None:
-    """Lengths and statistics; postings range-partitioned and sorted by (store, term, hash of the first id); terms and blocks from what was written."""
+def _write_lengths(lengths: DataFrame, path: str, mode: str) -> DataFrame:
+    """Lengths and statistics; the statistics as written."""
     spark = lengths.sparkSession
-    lengths.write.mode(mode).partitionBy("store").parquet(f"{path}/lengths")
-    store_stats(read_table(spark, path, "lengths")).coalesce(1).write.mode(mode).parquet(f"{path}/stats")
-    stats = read_table(spark, path, "stats")
-    write_postings(packed, stats, path, mode)
+    _write(lengths, f"{path}/lengths", mode, "store")
+    _write(store_stats(read_table(spark, path, "lengths")).coalesce(1), f"{path}/stats", mode)
+    return read_table(spark, path, "stats")
 
 
-def write_postings(packed: DataFrame, stats: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_postings(packed: DataFrame, stats: DataFrame, path: str, mode: str = "overwrite", draft: str | None = None) -> None:
+    """Postings range-partitioned and sorted by (store, term, hash of the first id); terms and blocks from what was written.
+
+    ``draft`` is the folder that ``packed`` reads, if it reads a written one; it goes before the blocks need room.
+    """
     spark = packed.sparkSession
     first = _hash(F.col("uses")[0]["id"])
-    (packed.repartitionByRange("store", "term", first).sortWithinPartitions("store", "term", first)
-           .write.mode(mode).partitionBy("store").parquet(f"{path}/postings"))
+    slices = [F.lit(True)] if draft is None else _slices(packed, commits.size(spark, draft))
+    for k, some in enumerate(slices):
+        part = packed.filter(some).repartitionByRange("store", "term", first).sortWithinPartitions("store", "term", first)
+        _write(part, f"{path}/postings", "append" if k else mode, "store")
+    if draft is not None:
+        commits.remove(spark, draft)
     packed = _read(spark, path, "postings")
-    (term_table(packed, stats).repartitionByRange("store", "term").sortWithinPartitions("store", "term")
-         .write.mode(mode).partitionBy("store").parquet(f"{path}/terms"))
+    _write(term_table(packed, stats).repartitionByRange("store", "term").sortWithinPartitions("store", "term"), f"{path}/terms", mode, "store")
     terms = read_table(spark, path, "terms")
-    (block_table(packed, terms, stats).repartitionByRange("store", "term", "block").sortWithinPartitions("store", "term", "block")
-         .write.mode(mode).partitionBy("store").parquet(f"{path}/blocks"))
+    for k, some in enumerate(slices if draft is not None else _slices(packed, commits.size(spark, f"{path}/postings"))):
+        part = block_table(packed.filter(some), terms.filter(some), stats).repartitionByRange("store", "term", "block")
+        part = part.sortWithinPartitions("store", "term", "block")
+        _write(part, f"{path}/blocks", "append" if k else mode, "store")
 
 
 #: columns of the written tables; a part without rows has no file that tells them

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job of this package relies on; all are plain Spark confs.
 BASE_CONF = {
@@ -74,3 +77,32 @@ def held(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it ends, and not when the driver happens to collect garbage.
+
+    For jobs that each write a table: no frame is run twice, and the caller's setting comes back.
+    """
+    before = spark.conf.get(_CLEANED, None)
+    spark.conf.set(_CLEANED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANED)
+        else:
+            spark.conf.set(_CLEANED, before)
+
+
+#: rows of keys that are sent to all tasks instead of shuffling the texts or postings that they are joined with
+SENT = 1 << 20
+
+
+def sent_if_few(keys: DataFrame, rows: int | None) -> DataFrame:
+    """``keys`` for a join, to be broadcast if its ``rows`` are known and few."""
+    return F.broadcast(keys) if rows is not None and rows <= SENT else keys
