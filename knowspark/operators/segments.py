@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import ENTRY_COLUMNS
+from ..session import sent_if_few, shuffles_removed
 from . import commits
 from . import entries as E
 from . import index as ix
@@ -37,13 +38,15 @@ def _write(spark: SparkSession, root: str, entries: DataFrame, gone: DataFrame |
     name = f"seg-{uuid.uuid4().hex}"
     path = f"{root}/{name}"
     if gone is not None:
-        gone.write.parquet(f"{path}/gone")
-        undo.repartitionByRange("store", "term").sortWithinPartitions("store", "term").write.partitionBy("store").parquet(f"{path}/undo")
-        undo_stats.write.parquet(f"{path}/undo_stats")
+        with shuffles_removed(spark):
+            gone.write.parquet(f"{path}/gone")
+            undo.repartitionByRange("store", "term").sortWithinPartitions("store", "term").write.partitionBy("store").parquet(f"{path}/undo")
+            undo_stats.write.parquet(f"{path}/undo_stats")
     ix.write_index_from(entries, path)
     stats = {r["store"]: [r["n_docs"], r["n_tokens"]] for r in ix.read_table(spark, path, "stats").collect()}  # a row a store
     line = {"name": name, "stats": stats, "gone": gone is not None}
     if gone is not None:
+        line["taken"] = spark.read.schema("store string, id long").parquet(f"{path}/gone").count()
         line["undo"] = {r["store"]: [r["n_docs"], r["n_tokens"]] for r in spark.read.schema(undo_stats.schema).parquet(f"{path}/undo_stats").collect()}
     return line
 
@@ -68,8 +71,10 @@ def _table(spark: SparkSession, root: str, segments: list[dict], name: str, gone
     parts = []
     for i, s in enumerate(segments):
         t = ix.read_table(spark, f"{root}/{s['name']}", name).withColumn("seg", F.lit(i))
-        if gone is not None and any(x["gone"] for x in segments[i + 1:]):
-            t = t.join(gone.filter(F.col("seg") > i).select("store", "id").distinct(), ["store", "id"], "left_anti")
+        later = [x.get("taken") for x in segments[i + 1:] if x["gone"]]
+        if gone is not None and later:
+            ids = gone.filter(F.col("seg") > i).select("store", "id").distinct()
+            t = t.join(sent_if_few(ids, None if None in later else sum(later)), ["store", "id"], "left_anti")
         parts.append(t)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
@@ -147,6 +152,13 @@ def annotate(spark: SparkSession, root: str, extra: dict) -> int:
     return commits.commit(spark, root, version, {**manifest, **extra})
 
 
+def _held(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as written to a draft."""
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _change(spark: SparkSession, root: str, segments: list[dict], changes: DataFrame | None, deleted: DataFrame | None, now: str | Column) -> dict:
     current = _index(spark, root, segments).entries
     draft = f"{root}/draft-{uuid.uuid4().hex}"
@@ -154,12 +166,9 @@ def _change(spark: SparkSession, root: str, segments: list[dict], changes: DataF
     victims = none if deleted is None else E.delete_names(current, deleted)[1]
     rest = current if deleted is None else current.join(victims, ["store", "name"], "left_anti")
     rows = (current.limit(0) if changes is None else E.changed_rows(rest, changes, now)).select(*ENTRY_COLUMNS)
-    rows.write.parquet(f"{draft}/rows")
-    rows = spark.read.schema(rows.schema).parquet(f"{draft}/rows")
-    left = victims.unionByName(rows.select("store", "name")).distinct()
-    old = current.join(left, ["store", "name"], "left_semi").select(*SEARCHED)
-    old.write.parquet(f"{draft}/old")
-    old = spark.read.schema(old.schema).parquet(f"{draft}/old")
+    rows = _held(rows, f"{draft}/rows")
+    left = _held(victims.unionByName(rows.select("store", "name")).distinct(), f"{draft}/left")
+    old = _held(current.join(sent_if_few(left, left.count()), ["store", "name"], "left_semi").select(*SEARCHED), f"{draft}/old")
     line = _write(spark, root, rows, *_taken(old))
     commits.remove(spark, draft)
     return line

@@ -7,6 +7,7 @@ import pytest
 from entry_rows import make_entries
 from pyspark.sql import functions as F
 
+from knowspark import session
 from knowspark.operators import commits
 from knowspark.operators import entries as E
 from knowspark.operators import index as ix
@@ -104,3 +105,21 @@ def test_names_with_one_hash_get_ids_of_their_own(spark, tmp_path, monkeypatch):
     hits = S.evaluate(idx, {0: S.parse_match("a"), 1: S.parse_match("b"), 2: S.parse_match("words")})
     assert sorted((r["qid"], r["id"]) for r in hits.collect()) == sorted(
         [(0, rows["user", "a"][0]), (1, rows["user", "b"][0])] + [(2, i) for i in ids])
+
+
+def test_few_ids_that_are_gone_are_sent_and_postings_stay(spark, tmp_path, monkeypatch):
+    root, r = str(tmp_path / "index"), random.Random(9)
+    entries = make_entries(spark, [{"name": f"n{i}", "content": text(r), "id": i, "store": r.choice(["user", "system"])} for i in range(40)])
+    SG.create(entries, root)
+    SG.update(spark, root, None, spark.createDataFrame([("n3",), ("n4",)], "name string"), "2024-07-01 00:00:00")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda: SG.read(spark, root).postings._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan() and "SortMergeJoin" not in plan()
+        left = entries.filter(~F.col("name").isin("n3", "n4"))
+        same(spark, root, left)
+        monkeypatch.setattr(session, "SENT", 1)  # too many to be sent
+        assert "SortMergeJoin" in plan()
+        same(spark, root, left)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
